@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +103,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         x, span = np.minimum(x[:-span], x[span:]), span * 2
     rest = width - span
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the i and its inverse, modulo 2**64."""
+    with np.errstate(over="ignore"):
+        found = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.ones(1, np.uint64)
+            while len(p) < n:
+                p = np.concatenate([p, p * power(base, len(p))])
+            found.append(p[:n])
+    return found[0], found[1]
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each range, by one running sum whatever the ranges' lengths; equal bytes have equal hashes."""
+    up, down = _powers(1 << max(16, int(len(data) + 1).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.r_[np.uint64(0), np.cumsum(BYTE[data] * up[: len(data)])]
+        return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
