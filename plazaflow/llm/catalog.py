@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazaflow.llm import bpe, decontaminate, embeddings, pages, quality, secrets, sentences, simhash, toxicity
+from plazaflow.llm import bpe, decontaminate, embeddings, pages, quality, secrets, sentences, simhash, substrings, toxicity
 from plazaflow.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality, op3_embedding_dedup, op4_decontamination, op6_html_extraction, op7_byte_bpe, op8_secret_scan, op9_sentence_dedup, op10_simhash)
+    for f in (op1_toxicity, op2_quality, op3_embedding_dedup, op4_decontamination, op5_suffix_dedup, op6_html_extraction, op7_byte_bpe, op8_secret_scan, op9_sentence_dedup, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {}
