@@ -312,9 +312,7 @@ def gmt_iso(c: Column | str) -> Column:
 
 def view_time(c: Column | str) -> Column:
     """D32. A day is its noon, a time itself; local, null for anything else."""
-    text = clean_text(c)
-    t = parse_temporal(text)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.timestamp_add("HOUR", F.lit(12), t["ts"])).otherwise(t["ts"])
+    return let(clean_text(c), lambda t: F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit(" 12:00:00")).try_cast("timestamp_ntz")).otherwise(parse_temporal(t)["ts"]))
 
 
 def day_start(now: Column) -> Column:
@@ -339,23 +337,32 @@ def resolve_dates(r: dict[str, Column], now: Column) -> Column:
     """D35. struct<primary, end, ongoing, time_source>: the next date that matters to someone looking now."""
     today = day_start(now)
     noon = F.timestamp_add("HOUR", F.lit(12), today)
+    none = F.lit(None)
     filled = lambda *names: F.coalesce(*(F.nullif(r[n].cast("string"), F.lit("")) for n in names))
-    start, end = view_time(filled("datetime_inicio", "fecha_inicio")), view_time(filled("fecha_fin"))
     options = F.transform(F.coalesce(r["sesiones"], F.array().cast(f"array<{SESSION}>")), lambda s: F.struct(view_time(F.coalesce(F.nullif(s["datetime"], F.lit("")), s["fecha"])).alias("ts"), F.nullif(s["datetime"], F.lit("")).alias("iso")))
     ahead = F.get(F.array_sort(F.filter(options, lambda s: s["ts"] >= today)), F.lit(0))
-    fallback = view_time(filled("proximo_datetime", "proxima_fecha", "sort_datetime"))
-    case = lambda primary, ongoing, source: F.struct(primary.alias("primary"), end.alias("end"), F.lit(ongoing).alias("ongoing"), source.cast("string").alias("time_source")).cast(RESOLVED)
-    none = F.lit(None)
-    return (
-        F.when((r["modo_fecha"] == "multiple") & ahead.isNotNull(), case(ahead["ts"], False, ahead["iso"]))
-        .when((start < today) & (end >= today), case(noon, True, none))
-        .when(start >= today, case(start, False, filled("datetime_inicio")))
-        .when(ahead.isNotNull(), case(ahead["ts"], False, ahead["iso"]))
-        .when(end >= today, case(noon, True, none))
-        .when(fallback >= today, case(fallback, False, filled("proximo_datetime")))
-        .otherwise(case(none.cast("timestamp_ntz"), False, none))
+    facts = F.struct(
+        view_time(filled("datetime_inicio", "fecha_inicio")).alias("start"),
+        view_time(filled("fecha_fin")).alias("end"),
+        ahead.alias("ahead"),
+        view_time(filled("proximo_datetime", "proxima_fecha", "sort_datetime")).alias("fallback"),
     )
 
+    def decided(f: Column) -> Column:
+        start, end, ahead, fallback = f["start"], f["end"], f["ahead"], f["fallback"]
+        case = lambda primary, ongoing, source: F.struct(primary.alias("primary"), end.alias("end"), F.lit(ongoing).alias("ongoing"), source.cast("string").alias("time_source")).cast(RESOLVED)
+        return (
+            F.when((r["modo_fecha"] == "multiple") & ahead.isNotNull(), case(ahead["ts"], False, ahead["iso"]))
+            .when((start < today) & (end >= today), case(noon, True, none))
+            .when(start >= today, case(start, False, filled("datetime_inicio")))
+            .when(ahead.isNotNull(), case(ahead["ts"], False, ahead["iso"]))
+            .when(end >= today, case(noon, True, none))
+            .when(fallback >= today, case(fallback, False, filled("proximo_datetime")))
+            .otherwise(case(none.cast("timestamp_ntz"), False, none))
+        )
+
+    return let(facts, decided)
+
 
 def has_real_time(c: Column | str) -> Column:
     """D36. Whether an ISO text has a time other than 0:00 and 23:59."""
@@ -368,9 +375,13 @@ def is_upcoming(r: dict[str, Column], now: Column) -> Column:
     today = day_start(now)
     filled = lambda *names: F.coalesce(*(F.nullif(r[n].cast("string"), F.lit("")) for n in names))
     end_text = filled("vigente_hasta", "fecha_fin")
-    end, start = view_time(end_text), view_time(filled("datetime_inicio", "fecha_inicio"))
-    timed = now <= F.timestamp_add("HOUR", F.lit(dims.GRACE_HOURS), end)
-    return F.when(end.isNotNull(), F.when(has_real_time(end_text), timed).otherwise(end >= today)).when(start.isNotNull(), start >= today).otherwise(True)
+    facts = F.struct(end_text.alias("text"), view_time(end_text).alias("end"), view_time(filled("datetime_inicio", "fecha_inicio")).alias("start"))
+
+    def decided(f: Column) -> Column:
+        timed = now <= F.timestamp_add("HOUR", F.lit(dims.GRACE_HOURS), f["end"])
+        return F.when(f["end"].isNotNull(), F.when(has_real_time(f["text"]), timed).otherwise(f["end"] >= today)).when(f["start"].isNotNull(), f["start"] >= today).otherwise(True)
+
+    return let(facts, decided)
 
 
 def buckets(resolved: Column, now: Column) -> dict[str, Column]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from plazaflow.functions import arrays, dates, numbers, text, urls
 from plazaflow.operators import predicates
 from plazaflow.plans import dims
+from plazaflow.plans.storage import kept
 
 
 @dataclass(frozen=True)
@@ -152,10 +152,7 @@ def first_rows(df: DataFrame, order: list[Column], most: int, name: str = "rank"
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """All rows with their place in an order, from 1. Rows are dealt out by range and numbered there; only the partitions'
     sizes meet, as one row each. The dealt rows are kept in the checkpoint folder, as ranges must not differ between uses."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plazaflow-"))
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plazaflow.operators.enrich import classify
 from plazaflow.operators.normalize import normalize_plans
 from plazaflow.plans import dims
+from plazaflow.plans.storage import kept
 
 TODAY_TEXT, NOW_TEXT, SCRAPED = "2024-01-15", "2024-01-15 12:00:00", "2024-01-15T04:15:00Z"
 SOURCES = list(dims.SOURCE_PRIORITY)
@@ -65,8 +66,9 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans with their categories, as the discovery queries read them: without what only the archive keeps."""
-    return classify(plans(spark, sf_dir).drop("contenido", "metadata", "source_links"))
+    """Plans with their categories, without what only the archive keeps: published to the shared folder and read again, as
+    the discovery queries run over a feed that is there."""
+    return kept(classify(plans(spark, sf_dir).drop("contenido", "metadata", "source_links")))
 
 
 def _listed(values: list[str]) -> str:
