@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +36,11 @@ from plazaflow.llm.suffixes import equal_runs, suffix_order
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a group of documents and in a bucket, about; fewest of either.
-GROUP_BYTES, BUCKET_BYTES, FEWEST = 6 << 20, 12 << 20, 24
+GROUP_BYTES, BUCKET_BYTES, FEWEST = 4 << 20, 12 << 20, 24
 #: An anchor that stands more often than this has its strings sent one by one.
-HOT = 4096
+HOT = 2048
 #: Bytes that are looked at together, and that are sorted together.
-SLICE, SORTED = 1 << 20, 600_000
+SLICE, SORTED = 1 << 19, 300_000
 
 HIGH = np.uint64(0xFFFFFFFF00000000)
 LOW = np.uint64(0xFFFFFFFF)
@@ -97,13 +98,27 @@ def _unpack5(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers or text, compressed: what moves between stages is mostly these."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def _deltas(x: np.ndarray) -> np.ndarray:
+    """Differences, which compress better; np.cumsum undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema)
 
 
 HASHES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("hashes", pa.binary()), ("times", pa.binary())])
 ANSWER = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("hot", pa.binary())])
-CLASSES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("hash", pa.binary()), ("context", pa.binary()), ("owner", pa.binary()), ("size", pa.binary()), ("text", pa.binary()), ("klass", pa.binary()), ("of_owner", pa.binary()), ("place", pa.binary())])
+CLASSES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("hash", pa.binary()), ("owner", pa.binary()), ("size", pa.binary()), ("text", pa.binary()), ("klass", pa.binary()), ("of_owner", pa.binary()), ("place", pa.binary())])
 LOST = pa.schema([("grp", pa.int64()), ("place", pa.binary()), ("mask", pa.binary())])
 DDL = {pa.int64(): "bigint", pa.binary(): "binary"}
 
@@ -133,7 +148,7 @@ def anchor_hashes(rows: pa.Table, bits: int) -> pa.Table:
     several = doc[first] != doc[last] if len(h) else np.zeros(0, bool)
     times = (np.ceil(np.log2(last - first + 1)).astype(np.uint8) + 128 * several).astype(np.uint8)
     grp = int(rows.column("grp")[0].as_py())
-    return _table([{"bucket": b, "grp": grp, "hashes": _pack5(_cut(h[first][s], bits)), "times": times[s].tobytes()} for b, s in _by_bucket(h[first], bits)], HASHES)
+    return _table([{"bucket": b, "grp": grp, "hashes": _pack5(_cut(h[first][s], bits)), "times": _packed(times[s])} for b, s in _by_bucket(h[first], bits)], HASHES)
 
 
 def repeated(rows: pa.Table) -> pa.Table:
@@ -141,7 +156,7 @@ def repeated(rows: pa.Table) -> pa.Table:
     if not rows.num_rows:
         return _table([], ANSWER)
     blobs = [_unpack5(x.as_py()) for x in rows.column("hashes")]
-    times = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("times")])
+    times = np.concatenate([_unpacked(x.as_py(), np.uint8) for x in rows.column("times")])
     x = np.concatenate(blobs)
     order = np.argsort(x, kind="stable")
     edge = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
@@ -156,7 +171,7 @@ def repeated(rows: pa.Table) -> pa.Table:
         at += len(blob)
         if back_some[own].any():
             good = back_some[own]
-            out.append({"grp": grp, "bucket": bucket, "hashes": _pack5(blob[good]), "hot": back_hot[own][good].tobytes()})
+            out.append({"grp": grp, "bucket": bucket, "hashes": _pack5(blob[good]), "hot": _packed(back_hot[own][good])})
     return _table(out, ANSWER)
 
 
@@ -167,7 +182,7 @@ def context_classes(rows: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     group = Group(rows)
     row, at, h = group.anchors()
     known = np.concatenate([np.uint64(b << 40) | _unpack5(x.as_py()) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("hashes"))])
-    hot = np.concatenate([np.frombuffer(x.as_py(), bool) for x in answers.column("hot")])
+    hot = np.concatenate([_unpacked(x.as_py(), bool) for x in answers.column("hot")])
     order = np.argsort(known)
     known, hot = known[order], hot[order]
     short = h >> np.uint64(24 - bits)
@@ -213,19 +228,25 @@ def context_classes(rows: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
             {
                 "bucket": bucket,
                 "grp": grp,
-                "hash": h[head][s].tobytes(),
-                "context": context[head][s].tobytes(),
-                "owner": owner[s].tobytes(),
-                "size": size[s].astype(np.uint8).tobytes(),
-                "text": group.raw[texts].tobytes(),
-                "klass": (klass[occ] - s.start).astype(np.uint32).tobytes(),
-                "of_owner": of_owner[occ].tobytes(),
-                "place": low[occ].astype(np.int64).tobytes(),
+                "hash": _packed(_deltas(h[head][s])),
+                "owner": _packed(owner[s]),
+                "size": _packed(size[s].astype(np.uint8)),
+                "text": _packed(group.raw[texts]),
+                "klass": _packed(_deltas((klass[occ] - s.start).astype(np.uint32))),
+                "of_owner": _packed(of_owner[occ]),
+                "place": _packed(low[occ].astype(np.uint32)),
             }
         )
     return _table(out, CLASSES)
 
 
+def _runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries that hold about `most` bytes."""
+    part = np.cumsum(size) // most
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    yield from zip(edge[:-1], edge[1:])
+
+
 def _masks(owner: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For each context the strings (bits by their place) that a context with a smaller owner has too.
 
@@ -256,12 +277,12 @@ def lost_strings(rows: pa.Table) -> pa.Table:
     """Round 3, a bucket: for each group the places of occurrences that lose strings, and which (bits by their place)."""
     if not rows.num_rows:
         return _table([], LOST)
-    get = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in rows.column(name)]
-    hashes = get("hash", np.uint64)
-    h, context, owner, size = np.concatenate(hashes), *(np.concatenate(get(n, k)) for n, k in (("context", np.uint64), ("owner", np.int64), ("size", np.uint8)))
-    size = size.astype(np.int64)
+    get = lambda name, kind: [_unpacked(x.as_py(), kind) for x in rows.column(name)]
+    hashes = [np.cumsum(x, dtype=np.uint64) for x in get("hash", np.uint64)]
+    h, owner, size = np.concatenate(hashes), np.concatenate(get("owner", np.int64)), np.concatenate(get("size", np.uint8)).astype(np.int64)
     data = np.concatenate(get("text", np.uint8))
     start = np.cumsum(size) - size
+    context = np.concatenate([range_hashes(data[start[a] : start[b - 1] + size[b - 1]], start[a:b] - start[a], start[a:b] - start[a] + size[a:b]) for a, b in _runs(size, SLICE)])
     order = np.lexsort((owner, context, h))
     fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (context[order][1:] != context[order][:-1])]
     head = order[np.flatnonzero(fresh)]  # of each class the entry with the smallest owner
@@ -283,13 +304,13 @@ def lost_strings(rows: pa.Table) -> pa.Table:
             mask[many[a:b]] = _masks(owner[own], n, at, data[np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(at, n)])
     every = (np.uint64(1) << (size - LENGTH + 1).astype(np.uint64)) - np.uint64(1)
     out, base = [], 0
-    for grp, own, k, of_owner, place in zip(rows.column("grp").to_pylist(), hashes, get("klass", np.uint32), get("of_owner", bool), get("place", np.int64)):
-        entry = base + k.astype(np.int64)
+    for grp, own, k, of_owner, place in zip(rows.column("grp").to_pylist(), hashes, get("klass", np.uint32), get("of_owner", bool), get("place", np.uint32)):
+        entry = base + np.cumsum(k, dtype=np.uint32).astype(np.int64)
         base += len(own)
         first = of_owner & (owner[entry] == owner[head[klass[entry]]])
         gone = np.where(first, mask[klass[entry]], every[entry])
         if gone.any():
-            out.append({"grp": grp, "place": place[gone > 0].tobytes(), "mask": gone[gone > 0].tobytes()})
+            out.append({"grp": grp, "place": _packed(place[gone > 0]), "mask": _packed(gone[gone > 0])})
     return _table(out, LOST)
 
 
@@ -298,7 +319,7 @@ def covered(rows: pa.Table, lost: pa.Table) -> tuple[Group, np.ndarray]:
     group = Group(rows)
     begins = np.zeros(len(group.raw), bool)
     for place, mask in zip(lost.column("place"), lost.column("mask")):
-        place, mask = np.frombuffer(place.as_py(), np.int64), np.frombuffer(mask.as_py(), np.uint64)
+        place, mask = _unpacked(place.as_py(), np.uint32).astype(np.int64), _unpacked(mask.as_py(), np.uint64)
         for k in range(WINDOW):
             begins[place[(mask >> np.uint64(k)) & np.uint64(1) > 0] + k] = True
     count = np.cumsum(begins, dtype=np.int32)
