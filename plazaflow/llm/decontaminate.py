@@ -56,8 +56,8 @@ def template(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         capital[:-1] |= accent[1:]
     digit = (raw >= 48) & (raw <= 57)
     letter = ((low >= 97) & (low <= 122)) | (raw >= 0x80)
-    if len(raw) > 2:  # punctuation beyond ASCII
-        lead = np.flatnonzero((raw[:-2] == 0xE2) & ((raw[1:-1] == 0x80) | (raw[1:-1] == 0x81)))
+    if len(raw) > 2:  # punctuation and signs beyond ASCII
+        lead = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] <= 0xAF))
         for k in range(3):
             letter[lead + k] = False
         lead = np.flatnonzero((raw[:-1] == 0xC2))

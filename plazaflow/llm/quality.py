@@ -98,9 +98,9 @@ def _gradients(net: Network, blocks: np.ndarray, first: np.ndarray, y: np.ndarra
     at = z.argmax(1)
     top = np.take_along_axis(z, at[:, None], 1)[:, 0] + net.bias
     pooled = np.maximum(top, 0)
-    x = combined(pooled, first).astype(np.float32)
-    error = ((sigmoid(x @ net.out + net.start[0]) - y) * weight / len(y)).astype(np.float32)
-    d_out, d_start = x.T @ error, np.array([error.sum()], np.float32)
+    x = combined(pooled, first).astype(pooled.dtype)
+    error = ((sigmoid(x @ net.out + net.start[0]) - y) * weight / len(y)).astype(pooled.dtype)
+    d_out, d_start = x.T @ error, np.array([error.sum()], pooled.dtype)
     dx = error[:, None] * net.out
     size = np.diff(first)
     text = np.repeat(np.arange(len(y)), size)
@@ -114,13 +114,13 @@ def _gradients(net: Network, blocks: np.ndarray, first: np.ndarray, y: np.ndarra
     d_pooled = d_pooled + np.where(own, share, 0)
     other = np.flatnonzero(head & ~alone)
     d_pooled[other + 1] += np.where(own[other], 0, share[other])
-    d_pooled = np.where(top > 0, d_pooled, 0).astype(np.float32)
+    d_pooled = np.where(top > 0, d_pooled, 0).astype(pooled.dtype)
     rows = np.arange(number)[:, None]
     chosen = windows[rows, at]  # number x FILTERS x WIDTH * DIM
     d_filters = np.einsum("nfk,nf->kf", chosen, d_pooled)
     d_window = (d_pooled[:, :, None] * net.filters.T[None]).reshape(-1, DIM)
     used = blocks[np.arange(number)[:, None, None], (at * STRIDE)[:, :, None] + np.arange(WIDTH)].ravel()
-    d_embed = np.stack([np.bincount(used, d_window[:, k], 257) for k in range(DIM)], 1).astype(np.float32)
+    d_embed = np.stack([np.bincount(used, d_window[:, k], 257) for k in range(DIM)], 1).astype(pooled.dtype)
     return [d_embed, d_filters, d_pooled.sum(0), d_out, d_start]
 
 
