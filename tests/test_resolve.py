@@ -144,7 +144,7 @@ def test_validate(spark):
 
 def test_nightly_run(spark, tmp_path):
     sources = {
-        "fever": raw(spark, [plan("fever", "GRAN CONCIERTO DE JAZZ", "2024-01-20T20:00", "Sala Uno", url="https://s/1", descripcion="Texto &amp; más", id="1", imagen="https://images.unsplash.com/x")]),
+        "fever": raw(spark, [plan("fever", "GRAN CONCIERTO DE JAZZ", "2024-01-20T20:00", "Sala Uno", url="https://s/1", descripcion="Texto &amp; más, bastante largo", id="1", imagen="https://images.unsplash.com/x")]),
         "wegow": raw(spark, [plan("wegow", "Gran concierto de jazz", "2024-01-20T20:00", "Sala Uno", url="https://s/1", id="2")]),
         "timeout": raw(spark, [{"fuente": "timeout", "id": "n", "titulo": "Noticia", "url": "https://n", "fecha_publicacion": "2024-01-14"}]),
     }
@@ -153,7 +153,7 @@ def test_nightly_run(spark, tmp_path):
     events = {r.id: r for r in out["web_events"].collect()}
     assert len(events) == 2 and len(out["web_news"].collect()) == 1
     jazz = next(r for r in events.values() if r.fuentes_relacionadas)
-    assert jazz.titulo == "Gran concierto de jazz" and jazz.imagen is None and jazz.descripcion == "Texto & más"
+    assert jazz.titulo == "Gran concierto de jazz" and jazz.imagen is None and jazz.descripcion == "Texto & más, bastante largo"
     m = out["manifest"].first()
     assert {s.name: (s.status, s.stale) for s in m.sources} == {"fever": ("ok", False), "wegow": ("ok", False), "meetup": ("failed", True)}
     assert m.planes.total == 2 and m.trigger.type == "test"
