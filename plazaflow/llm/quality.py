@@ -58,18 +58,23 @@ def laid_out(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return buffer, first
 
 
-def pooled_blocks(net: Network, buffer: np.ndarray, most: int = 2048) -> np.ndarray:
+def pooled_blocks(net: Network, buffer: np.ndarray, first: np.ndarray, most: int = 2048) -> np.ndarray:
     """Largest response of each filter in each block, 0 at least. Windows start every STRIDE bytes: as many passes over
-    windows that don't overlap as strides in a width, each one matrix product without a copy."""
+    windows that don't overlap as strides in a width, each one matrix product without a copy. A window that leaves a text's
+    last block, which ends in pads, doesn't count: it would see the next text."""
     number = (len(buffer) - WIDTH) // BLOCK
+    ends = np.zeros(number, bool)
+    ends[first[1:] - 1] = True
     out = np.empty((number, FILTERS), np.float32)
     for a in range(0, number, most):
         b = min(number, a + most)
         inputs = net.embed[buffer[a * BLOCK : b * BLOCK + WIDTH]]
         best = None
         for shift in range(0, WIDTH, STRIDE):
-            z = (inputs[shift : shift + (b - a) * BLOCK].reshape(-1, WIDTH * DIM) @ net.filters).reshape(b - a, -1, FILTERS).max(1)
-            best = z if best is None else np.maximum(best, z)
+            z = (inputs[shift : shift + (b - a) * BLOCK].reshape(-1, WIDTH * DIM) @ net.filters).reshape(b - a, -1, FILTERS)
+            if shift:
+                z[ends[a:b], -1] = -np.inf
+            best = z.max(1) if best is None else np.maximum(best, z.max(1))
         out[a:b] = np.maximum(best + net.bias, 0)
     return out
 
@@ -85,7 +90,7 @@ def combined(blocks: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def probabilities(net: Network, column: pa.Array) -> np.ndarray:
     buffer, first = laid_out(*utf8(column))
-    return sigmoid(combined(pooled_blocks(net, buffer), first) @ net.out.astype(np.float64) + float(net.start[0]))
+    return sigmoid(combined(pooled_blocks(net, buffer, first), first) @ net.out.astype(np.float64) + float(net.start[0]))
 
 
 def _gradients(net: Network, blocks: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -155,7 +160,9 @@ def sampled_blocks(raw: np.ndarray, starts: np.ndarray, most: int = SAMPLE_BLOCK
     buffer, first = laid_out(raw, starts)
     for a, b in zip(first[:-1], first[1:]):
         chosen = np.unique(np.linspace(a, b - 1, min(most, b - a)).astype(np.int64))
-        yield buffer[chosen[:, None] * BLOCK + np.arange(BLOCK + WIDTH)]
+        blocks = buffer[chosen[:, None] * BLOCK + np.arange(BLOCK + WIDTH)]
+        blocks[-1, BLOCK:] = PAD  # the last block is always among them
+        yield blocks
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Network:
