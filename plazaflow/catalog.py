@@ -80,7 +80,7 @@ def summary(spark, d):
 @query(
     r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM a)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b"""
 )
 def strip_html(spark, d):
     """T13."""
@@ -90,7 +90,7 @@ def strip_html(spark, d):
 @query(
     """WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 2) AS t FROM pages),
 b AS (SELECT page_id, unnest(h) AS href, unnest(t) AS text, unnest(range(len(h))) AS pos FROM a)
-SELECT page_id, CAST(pos AS INTEGER) AS pos, href, trim(replace(text, '&amp;', '&')) AS text FROM b"""
+SELECT page_id, CAST(pos AS INTEGER) AS pos, href, trim(replace(replace(text, '&quot;', '"'), '&amp;', '&')) AS text FROM b"""
 )
 def page_links(spark, d):
     """H1."""
