@@ -69,9 +69,8 @@ def search_blob(*parts: Column) -> Column:
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "ccedil": "ç", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "middot": "·", "laquo": "«", "raquo": "»", "iexcl": "¡", "iquest": "¿", "copy": "©"}
 
 
-def unescape(c: Column | str) -> Column:
-    """Character references decoded once: names above and their capitals, decimal and hexadecimal numbers."""
-    out = col(c)
+def _decoded(text: Column) -> Column:
+    out = text
     for name, value in ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
         if value.isalpha():
@@ -89,6 +88,12 @@ def unescape(c: Column | str) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+def unescape(c: Column | str) -> Column:
+    """Character references decoded once: names above and their capitals, decimal and hexadecimal numbers. A text without
+    an ampersand and a semicolon is taken as it is."""
+    return let(col(c), lambda text: F.when(F.contains(text, F.lit("&")) & F.contains(text, F.lit(";")), _decoded(text)).otherwise(text))
+
+
 def web_text(c: Column | str) -> Column:
     """T7. Character references decoded twice, then clean."""
     return clean_text(unescape(unescape(F.coalesce(col(c), F.lit("")))))

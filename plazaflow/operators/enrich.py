@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from re import _constants as op
+from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,9 +15,38 @@ from plazaflow.operators.predicates import worth_geocoding
 from plazaflow.plans import dims
 
 
-def rule_hits(blob: Column) -> list[Column]:
-    """Whether each rule's pattern occurs at a word's start, in Unicode and whatever the case."""
-    return [blob.rlike(rf"(?iU)\b{pattern}") for pattern, _ in dims.RULES]
+def stems(pattern: str) -> list[str] | None:
+    """Literals of which every match of a rule holds one: of each alternative the longest; null if one has none of two letters."""
+    found = []
+    (kind, group), *_ = parser.parse(pattern)
+    tree = group[3] if kind is op.SUBPATTERN else []
+    options = tree[0][1][1] if len(tree) == 1 and tree[0][0] is op.BRANCH else [tree]
+    prefix = ""
+    if len(tree) > 1:  # the parser moves what all alternatives begin with before the branch
+        prefix, options = "", [tree]
+    for option in options:
+        runs, run = [], prefix
+        for k, value in option:
+            if k is op.LITERAL:
+                run += chr(value)
+            else:
+                runs.append(run)
+                run = ""
+        longest = max([*runs, run], key=len)
+        if len(longest) < 2:
+            return None
+        found.append(longest)
+    return found
+
+
+def rule_hits(low: Column) -> list[Column]:
+    """Whether each rule's pattern occurs at a word's start of a lower-case text. A text without any of the rule's stems
+    isn't searched by the expression."""
+    hits = []
+    for pattern, _ in dims.RULES:
+        search, words = low.rlike(rf"(?U)\b{pattern}"), stems(pattern)
+        hits.append(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)) & search if words else search)
+    return hits
 
 
 def strong_blob(r: dict[str, Column]) -> Column:
@@ -26,7 +57,7 @@ def strong_blob(r: dict[str, Column]) -> Column:
 
 
 def labels(strong: Column, weak: Column) -> Column:
-    """R3. Up to three categories: of all rules that hit the strong text; with fewer than two, further ones that hit the weak
+    """R3. Up to three categories, from lower-case texts: of all rules that hit the strong text; with fewer than two, further ones that hit the weak
     text until there are two; leisure only where there is nothing else."""
     from_ = lambda blob: F.array_compact(F.array(*(F.when(hit, F.lit(c)) for hit, (_, c) in zip(rule_hits(blob), dims.RULES))))
     first = F.array_distinct(from_(strong))
@@ -42,7 +73,7 @@ def classify(plans: DataFrame, force: bool = True) -> DataFrame:
     """R3, R4. categorias_normalizadas and categoria_principal_norm; without `force`, categories that there are stay."""
     r = {c: F.col(c) if c in plans.columns else F.lit(None).cast("string") for c in ("titulo", "subtitulo", "lugar", "categoria_principal", "fuente", "resumen", "descripcion")}
     r |= {c: F.col(c) if c in plans.columns else F.lit(None).cast("array<string>") for c in ("categorias", "etiquetas")}
-    blobs = plans.withColumns({"_strong": strong_blob(r), "_weak": F.concat_ws(" ", r["resumen"], r["descripcion"])})
+    blobs = plans.withColumns({"_strong": F.lower(strong_blob(r)), "_weak": F.lower(F.concat_ws(" ", r["resumen"], r["descripcion"]))})
     found = labels(F.col("_strong"), F.col("_weak"))
     if not force and "categorias_normalizadas" in plans.columns:
         found = F.when(F.size("categorias_normalizadas") > 0, F.col("categorias_normalizadas")).otherwise(found)

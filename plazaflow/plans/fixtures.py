@@ -27,11 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt out by a key if it comes from fewer partitions than there are cores: one small file would be one task."""
+    return df.repartition(key) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def raw_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw plan records: one a document, with page, supplier and part by remainders of its id."""
     t = lambda n: table(spark, sf_dir, n)
     size = {n: t(n).agg(F.count(F.lit(1)).alias(f"_{n}")) for n in ("pages", "supplier", "part")}
-    docs = t("documents").select("doc_id", "text")
+    docs = spread(t("documents").select("doc_id", "text"), "doc_id")
     for one in size.values():
         docs = docs.crossJoin(F.broadcast(one))  # one row
     k = F.col("doc_id")
