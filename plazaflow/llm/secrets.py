@@ -43,10 +43,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]+", 24),
 )
+#: The rest of a private key: up to the END line of the same label, with no other BEGIN between; where there
+#: is none, over all following lines of base64 or PEM headers (line ends also as a backslash and n) and long runs of base64.
+_EOL = r"(?:\r?\n|(?:\\r)?\\n)"
+_BASE64_LINE = rf"""(?:[\x20\t]*{_EOL})+[\x20\t>]*(?:[A-Za-z0-9+/=]+|(?:Proc-Type|DEK-Info):[^\r\n\\]*)(?=[\x20\t]*(?:[\r\n"']|\\[rn]|\Z))"""
+_KEY_BODY = rf"(?:(?:(?!-----BEGIN\x20)[\s\S])*?-----END\x20\1PRIVATE\x20KEY-----|(?:{_BASE64_LINE}|[\x20\t]+[A-Za-z0-9+/=]{{40,}})*)"
 #: Published formats of other credentials.
 MORE = (
     Rule("temporary", r"ASIA[A-Z0-9]+", 20),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----" + _KEY_BODY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),

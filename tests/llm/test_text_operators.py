@@ -81,6 +81,26 @@ def test_secrets_match_plain_search(docs, odd):
     assert secrets.redact(odd).columns == ["doc_id", "text", "fp"]
 
 
+def test_private_keys_go_whole(spark):
+    body = ["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6] * 4 + ["Qk9EWQ=="]
+    key = lambda label, end="\n": end.join([f"-----BEGIN {label}PRIVATE KEY-----", *body, f"-----END {label}PRIVATE KEY-----"])
+    head = "-----BEGIN RSA PRIVATE KEY-----"
+    made = {
+        1: (f"before\n{key('RSA ')}\nafter", "before\n[SECRET]\nafter"),
+        2: (f"{key('')} and {key('EC ')} end", "[SECRET] and [SECRET] end"),
+        3: ("\r\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *body, "plain words here"]), "[SECRET]\r\nplain words here"),
+        4: ('{"key": "' + key("RSA ", "\\n") + '\\n"}', '{"key": "[SECRET]\\n"}'),
+        5: (f"the line {head} opens a key\n{key('RSA ')}.", "the line [SECRET] opens a key\n[SECRET]."),
+        6: ("\n".join([head, *body]), "[SECRET]"),
+        7: ('"' + "\\n".join([head, *body]) + '", x', '"[SECRET]", x'),
+        8: (key("RSA ", " "), "[SECRET]"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in made.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {i: want for i, (_, want) in made.items()}
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "private_key"] for r in secrets.find_secrets(df).collect()}
+    assert found[6] == [(0, len(made[6][0]))] and len(found[2]) == 2
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is None
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
