@@ -5,6 +5,10 @@ units after a number give way to typed placeholders, their values kept as slots;
 of WINDOW template tokens are joined by hash between documents and benchmark items. On one alignment of a document with an
 item, a value in the item must always meet the same value in the document: a question asked again with other numbers or
 names stays consistent, a chance likeness of templates does not.
+
+Whether a capitalised word is a name can't always be told, so texts are read in several ways, and windows meet only within
+one reading: USUAL as above; OPENED with capitalised words that open a sentence as names too; SPELLED with all names as plain
+words, which finds copies in lower case.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ SIFTED = 1_000_000
 #: Words for units, after a number.
 UNITS = "mm cm m km kg g mg lb lbs oz l ml mi mile miles foot feet inch inches meter meters metre metres gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degree degrees mph kph".split()
 WORD, NUMBER, NAME, UNIT = range(4)
+READINGS = USUAL, OPENED, SPELLED = range(3)
 SLICE = 4 << 20
 
 
@@ -45,8 +50,8 @@ def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
-def template(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of all rows: row, kind, token's hash (of its kind for a placeholder), and the word's own hash."""
+def words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all rows: row, the word's hash, and whether it is its row's first, a number, capitalised, the first of a sentence."""
     low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     before = np.r_[np.uint8(0), raw[:-1]] if len(raw) else raw
     capital = (raw >= 65) & (raw <= 90)
@@ -77,7 +82,17 @@ def template(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     opens = first | (stops[start] > stops[last_end])  # at the start of a sentence
     small = ~capital[np.minimum(start + 1 + (raw[start] == 0xC3), max(len(raw) - 1, 0))] & (end - start > 1) if len(start) else np.zeros(0, bool)
     number = digit[start] if len(start) else np.zeros(0, bool)
-    name = (capital[start] & small & ~opens & ~number) if len(start) else number
+    proper = (capital[start] & small & ~number) if len(start) else number
+    return row, own, first, number, proper, opens
+
+
+def template(raw: np.ndarray, starts: np.ndarray, reading: int = USUAL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of all rows: row, kind, token's hash (of its kind for a placeholder), and the word's own hash."""
+    return _read(*words(raw, starts), reading)
+
+
+def _read(row, own, first, number, proper, opens, reading):
+    name = proper & ~opens if reading == USUAL else proper if reading == OPENED else np.zeros(len(row), bool)
     kind = np.where(number, NUMBER, np.where(name, NAME, WORD))
     after_number = np.r_[False, number[:-1]] & ~first if len(number) else number
     kind[after_number & (kind == WORD) & _within(own, _unit_hashes())] = UNIT
@@ -87,7 +102,7 @@ def template(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row[keep], kind[keep], tokens[keep], own[keep]
 
 
-def _windows(row, kind, tokens, own, width):
+def _windows(row, kind, tokens, width, reading):
     """Of each run of `width` tokens of one row: its place, hash, and whether it has enough words; widths below WINDOW need one."""
     n = len(tokens) - width + 1
     if n <= 0:
@@ -97,28 +112,29 @@ def _windows(row, kind, tokens, own, width):
         for k in range(width):
             h = h * np.uint64(BASE) + tokens[k : k + n]
             literals += kind[k : k + n] == WORD
-        h = mixed(h + np.uint64(width))
+        h = mixed(h + np.uint64(width) + np.uint64(reading << 8))
     good = (row[width - 1 :] == row[:n]) & (literals >= (LITERALS if width == WINDOW else 1))
     at = np.flatnonzero(good)
     return at, h[at]
 
 
-ROWS = "row_key bigint, text_key bigint, at bigint, h bigint, slots array<bigint>"
+ROWS = "row_key bigint, text_key bigint, reading int, at bigint, h bigint, slots array<bigint>"
 
 
-def _emit(rows, row_key, text_key, at, first, h, kind, own, width):
+def _emit(rows, row_key, text_key, at, first, h, kind, own, width, reading):
     place = at - first[rows[at]]
     slots = [[int(x) for x in own[i : i + width][kind[i : i + width] != WORD].view(np.int64)] for i in at]
     return pa.RecordBatch.from_arrays(
-        [pa.array(row_key[rows[at]], pa.int64()), pa.array(text_key[rows[at]], pa.int64()), pa.array(place, pa.int64()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
-        ["row_key", "text_key", "at", "h", "slots"],
+        [pa.array(row_key[rows[at]], pa.int64()), pa.array(text_key[rows[at]], pa.int64()), pa.array(np.full(len(at), reading), pa.int32()), pa.array(place, pa.int64()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
+        ["row_key", "text_key", "reading", "at", "h", "slots"],
     )
 
 
-def windows(df: DataFrame, key: str, widths: tuple[int, ...], among: np.ndarray | None = None) -> DataFrame:
-    """(row_key, text_key, at, h, slots) of every window of each text; only those whose hash is in `among`, if that is given.
+def windows(df: DataFrame, key: str, widths: tuple[int, ...], among: np.ndarray | None = None, readings: tuple[int, ...] = READINGS) -> DataFrame:
+    """(row_key, text_key, reading, at, h, slots) of every window of each text; only those whose hash is in `among`, if that is given.
 
-    text_key tells apart texts that share an id. For items (widths is empty) a text shorter than a window is one window.
+    text_key tells apart texts that share an id. For items (widths is empty) a text shorter than a window is one window, and
+    readings that change nothing are left out. OPENED has whole windows only: a name and few words would meet chance likenesses.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,30 +143,38 @@ def windows(df: DataFrame, key: str, widths: tuple[int, ...], among: np.ndarray
             null = keys.isna().to_numpy()
             keys, text_keys = keys.fillna(0).to_numpy(np.int64), batch.column("text_key").to_numpy(zero_copy_only=False)
             raw, starts = utf8(batch.column("text"))
-            row, kind, tokens, own = template(raw, starts)
-            count = np.bincount(row, minlength=len(starts) - 1)
-            first = np.r_[0, np.cumsum(count)[:-1]]
-            for width in widths or sorted({min(WINDOW, int(c)) for c in count if c}):
-                at, h = _windows(row, kind, tokens, own, width)
-                if not widths and width < WINDOW:
-                    own_width = count[row[at]] == width
-                    at, h = at[own_width], h[own_width]
-                if among is not None:
-                    good = _within(h, among)
-                    at, h = at[good], h[good]
-                if len(at):
-                    out = _emit(row, keys, text_keys, at, first, h, kind, own, width)
-                    if null.any():
-                        mask = pa.array(null[row[at]])
-                        out = out.set_column(0, "row_key", pa.array(np.where(null[row[at]], None, out.column(0).to_pandas()), pa.int64()))
-                    yield out
+            found = words(raw, starts)
+            rows, proper, opens = found[0], found[4], found[5]
+            named = {OPENED: proper & opens, SPELLED: proper & ~opens}
+            for reading in readings:
+                row, kind, tokens, own = _read(*found, reading)
+                count = np.bincount(row, minlength=len(starts) - 1)
+                first = np.r_[0, np.cumsum(count)[:-1]]
+                useful = np.bincount(rows[named[reading]], minlength=len(starts) - 1) > 0 if reading in named and not widths else None
+                for width in widths or sorted({min(WINDOW, int(c)) for c in count if c}):
+                    if reading == OPENED and width < WINDOW:
+                        continue
+                    at, h = _windows(row, kind, tokens, width, reading)
+                    if not widths and width < WINDOW:
+                        own_width = count[row[at]] == width
+                        at, h = at[own_width], h[own_width]
+                    if useful is not None:
+                        at, h = at[useful[row[at]]], h[useful[row[at]]]
+                    if among is not None:
+                        good = _within(h, among)
+                        at, h = at[good], h[good]
+                    if len(at):
+                        out = _emit(row, keys, text_keys, at, first, h, kind, own, width, reading)
+                        if null.any():
+                            out = out.set_column(0, "row_key", pa.array(np.where(null[row[at]], None, out.column(0).to_pandas()), pa.int64()))
+                        yield out
 
     return df.select(F.col(key).cast("bigint").alias("row_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(run, ROWS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, item_windows, coverage, n_changed): documents that hold at least `share` of an
-    item's template windows on consistent alignments; n_changed counts slot values that differ from the item's.
+    item's template windows on consistent alignments, in the first reading that does; n_changed counts slot values that differ from the item's.
 
     Benchmark windows are unique by item and place. Up to SIFTED of them, their hashes sift the documents' windows in the
     map; beyond, all windows go into the join: same result. The join runs on window hashes, so a passage in very many
@@ -160,22 +184,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     texts each counts by itself.
     """
     items = windows(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id", ())
-    items = items.select(F.col("row_key").alias("item_id"), F.col("text_key").alias("item_key"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
-    sized = items.withColumn("item_windows", F.count(F.lit(1)).over(Window.partitionBy("item_id", "item_key")))
+    items = items.select(F.col("row_key").alias("item_id"), F.col("text_key").alias("item_key"), F.col("at").alias("item_at"), "reading", "h", F.col("slots").alias("item_slots"))
+    sized = items.withColumn("item_windows", F.count(F.lit(1)).over(Window.partitionBy("item_id", "item_key", "reading")))
     head = items.select("h").distinct().limit(SIFTED + 1).toPandas().h.to_numpy(np.int64)
+    readings = tuple(sorted(r.reading for r in items.select("reading").distinct().collect()))
     among = np.sort(head.view(np.uint64)) if len(head) <= SIFTED else None
     widths = tuple(range(1, WINDOW + 1)) if among is None else _needed_widths(benchmark)
-    found = windows(docs.select("doc_id", "text"), "doc_id", widths, among).withColumnRenamed("row_key", "doc_id").distinct()
-    met = found.join(sized, "h")
+    found = windows(docs.select("doc_id", "text"), "doc_id", widths, among, readings).withColumnRenamed("row_key", "doc_id").distinct()
+    met = found.join(sized, ["reading", "h"])
     pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    aligned = met.groupBy("doc_id", "text_key", "item_id", "item_key", "item_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    aligned = met.groupBy("doc_id", "text_key", "item_id", "item_key", "reading", "item_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     consistent = aligned.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs"))
     changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))
-    whole = consistent.groupBy("doc_id", "text_key", "item_id", "item_key", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"), F.max(changed).cast("bigint").alias("n_changed"))
+    whole = consistent.groupBy("doc_id", "text_key", "item_id", "item_key", "reading", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"), F.max(changed).cast("bigint").alias("n_changed"))
     whole = whole.withColumn("coverage", F.round(F.col("n_windows") / F.col("item_windows"), 6)).where(F.col("n_windows") >= share * F.col("item_windows"))
-    return whole.select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "coverage", "n_changed")
+    first = F.min(F.struct("reading", "n_windows", "item_windows", "coverage", "n_changed")).alias("first")
+    return whole.groupBy("doc_id", "text_key", "item_id", "item_key").agg(first).select("doc_id", "text_key", "item_id", "first.n_windows", "first.item_windows", "first.coverage", "first.n_changed")
 
 
 def _needed_widths(benchmark: DataFrame) -> tuple[int, ...]:

@@ -289,6 +289,23 @@ def test_leaks(spark, docs, sf_dir):
     assert not decontaminate.leaks(made.limit(0), bench).collect() and not decontaminate.leaks(made, bench.limit(0)).collect()
 
 
+def test_leaks_with_names_that_open_sentences(spark, monkeypatch):
+    item = "Tom has 3 apples. Ann has 5 apples. Sue has twice as many as Ann. How many apples in all?"
+    bench = spark.createDataFrame([(1, item), (2, "Yesterday Anna met Boris near Vienna while Clara phoned Dmitri from Essen and Felix wrote.")], "item_id long, text string")
+    made = [
+        (1, "Max has 4 apples. Eva has 7 apples. Kim has twice as many as Eva. How many apples in all?"),
+        (2, "yesterday anna met boris near vienna while clara phoned dmitri from essen and felix wrote."),
+        (3, "Well, max has 4 pears. Nobody knows how many pears are there in all the land."),
+        (4, item.lower()),
+        (5, "Max has 4 apples. Eva has 7 apples. Kim has twice as many as Max. Why do apples fall at all?"),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 1)} and got[1, 1] == 4 and not got[2, 2] and not got[4, 1]
+    monkeypatch.setattr(decontaminate, "SIFTED", 10)
+    assert {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.leaks(docs, bench).collect()} == got
+
+
 def test_leaks_on_documents(spark, docs, sf_dir, monkeypatch):
     bench = table(spark, sf_dir, "benchmark")
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
