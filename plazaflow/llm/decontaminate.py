@@ -8,7 +8,8 @@ names stays consistent, a chance likeness of templates does not.
 
 Whether a capitalised word is a name can't always be told, so texts are read in several ways, and windows meet only within
 one reading: USUAL as above; OPENED with capitalised words that open a sentence as names too; SPELLED with all names as plain
-words, which finds copies in lower case.
+words, which finds copies in lower case. Items without a window of enough words in the usual reading, such as lists of numbers,
+are read as EXACT: every word and number stands for itself, so their windows must agree in all values.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SIFTED = 1_000_000
 #: Words for units, after a number.
 UNITS = "mm cm m km kg g mg lb lbs oz l ml mi mile miles foot feet inch inches meter meters metre metres gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degree degrees mph kph".split()
 WORD, NUMBER, NAME, UNIT = range(4)
-READINGS = USUAL, OPENED, SPELLED = range(3)
+READINGS = USUAL, OPENED, SPELLED, EXACT = range(4)
 SLICE = 4 << 20
 
 
@@ -94,6 +95,8 @@ def template(raw: np.ndarray, starts: np.ndarray, reading: int = USUAL) -> tuple
 def _read(row, own, first, number, proper, opens, reading):
     name = proper & ~opens if reading == USUAL else proper if reading == OPENED else np.zeros(len(row), bool)
     kind = np.where(number, NUMBER, np.where(name, NAME, WORD))
+    if reading == EXACT:
+        return row, np.full(len(row), WORD), own, own
     after_number = np.r_[False, number[:-1]] & ~first if len(number) else number
     kind[after_number & (kind == WORD) & _within(own, _unit_hashes())] = UNIT
     again = np.r_[False, name[:-1]] & name & ~first if len(name) else name
@@ -135,6 +138,7 @@ def windows(df: DataFrame, key: str, widths: tuple[int, ...], among: np.ndarray
 
     text_key tells apart texts that share an id. For items (widths is empty) a text shorter than a window is one window, and
     readings that change nothing are left out. OPENED has whole windows only: a name and few words would meet chance likenesses.
+    EXACT is for items that have no window in the usual reading, so every item with a letter or digit has a window.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +150,12 @@ def windows(df: DataFrame, key: str, widths: tuple[int, ...], among: np.ndarray
             found = words(raw, starts)
             rows, proper, opens = found[0], found[4], found[5]
             named = {OPENED: proper & opens, SPELLED: proper & ~opens}
+            held = np.zeros(len(starts) - 1, bool)  # rows with a window in the usual reading
             for reading in readings:
                 row, kind, tokens, own = _read(*found, reading)
                 count = np.bincount(row, minlength=len(starts) - 1)
                 first = np.r_[0, np.cumsum(count)[:-1]]
-                useful = np.bincount(rows[named[reading]], minlength=len(starts) - 1) > 0 if reading in named and not widths else None
+                useful = np.bincount(rows[named[reading]], minlength=len(starts) - 1) > 0 if reading in named and not widths else ~held if reading == EXACT and not widths else None
                 for width in widths or sorted({min(WINDOW, int(c)) for c in count if c}):
                     if reading == OPENED and width < WINDOW:
                         continue
@@ -160,6 +165,8 @@ def windows(df: DataFrame, key: str, widths: tuple[int, ...], among: np.ndarray
                         at, h = at[own_width], h[own_width]
                     if useful is not None:
                         at, h = at[useful[row[at]]], h[useful[row[at]]]
+                    if reading == USUAL:
+                        held[row[at]] = True
                     if among is not None:
                         good = _within(h, among)
                         at, h = at[good], h[good]
@@ -180,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     map; beyond, all windows go into the join: same result. The join runs on window hashes, so a passage in very many
     documents is a skewed key on one side with few rows on the other, which Spark splits or broadcasts by size; groups are
     one document's matches with one item. Null or empty texts match nothing; a null doc_id is reported as null; repeated
-    rows are reported once; items with a null id or without a word are left out, and of items with one id and unequal
+    rows are reported once; items with a null id or without a letter or digit are left out, and of items with one id and unequal
     texts each counts by itself.
     """
     items = windows(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id", ())

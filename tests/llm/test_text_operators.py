@@ -306,6 +306,18 @@ def test_leaks_with_names_that_open_sentences(spark, monkeypatch):
     assert {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.leaks(docs, bench).collect()} == got
 
 
+def test_leaks_of_items_with_few_words(spark, monkeypatch):
+    items = ["Compute 12 + 34 * 56 - 78.", "3 1 4 1 5 9 2 6 5 3", "17 42", "take 5 km 6 km 7 km 8 km"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    made = [(i, f"Well then. {t} And more of it") for i, t in enumerate(items, 1)]
+    made += [(5, "compute 13 + 35 * 57 - 79."), (6, "5 3 9 2 6 1 4 8 17 43"), (7, "take 1 km 2 km 3 km 4 km")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_changed) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0)}
+    monkeypatch.setattr(decontaminate, "SIFTED", 2)
+    assert {(r.doc_id, r.item_id, r.n_changed) for r in decontaminate.leaks(docs, bench).collect()} == got
+
+
 def test_leaks_on_documents(spark, docs, sf_dir, monkeypatch):
     bench = table(spark, sf_dir, "benchmark")
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
