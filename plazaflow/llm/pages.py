@@ -3,7 +3,7 @@
 A page is a sequence of tokens: tags told apart by the path of elements they stand in, and pieces of text told apart by
 path and words. Tokens of one host that have the same occurrence vector (how often each page of the host holds them) form
 an equivalence class. Vectors are never gathered: a sum of hashes of (page, count), which partial aggregation forms, is
-equal for equal vectors. Classes that every page supports are checked for order and nesting and make the host's template;
+equal for equal vectors. Classes that SUPPORT of the host's pages hold, pages without any token not counted, are checked for order and nesting and make the host's template;
 what stands between its tokens are slots. Text in the template is dropped, and of the slots those within the main
 container are extracted: the article element if the template has one, else the container that holds most of the text that
 varies, never one whose element or class names a menu, header, footer, sidebar, notice, advert, form or comment.
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from plazaflow.llm.common import batches, cut, texts
 
-#: On hosts with fewer pages a text that all of them share may be an article that was copied, not the template.
+#: A text that fewer pages of a host share may be an article that was copied, not the template.
 LEAST_PAGES = 5
+#: Share of a host's pages that must hold a class of its template.
+SUPPORT = 0.8
 #: Share of a host's varying text that its main container must hold, where it has no article element.
 MAIN_SHARE = 0.6
 #: Templates up to this size are broadcast.
@@ -146,6 +148,10 @@ def parse(html: str) -> Page:
     return page
 
 
+#: Stands for the page itself: its sum of n_pages is the number of a host's pages with any token.
+PAGE = "\0page"
+
+
 def text_token(piece: Piece) -> str:
     return f"\0{xxhash.xxh3_64_hexdigest(f'{piece.path}\0{piece.text}')}"
 
@@ -166,6 +172,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     count[text_token(piece)] += 1
                     if not piece.never:
                         chars[piece.path] += len(piece.text)
+                if count:
+                    rows.append((host, PAGE, 0, 1, 0.0, 0))
                 for token, n in count.items():
                     vector = xxhash.xxh64_intdigest(f"{key}:{n}") >> 24  # sums of very many stay within 64 bits
                     rows.append((host, token, vector, 1, float(page.order.get(token, 0)), chars.get(token, 0)))
@@ -184,12 +192,15 @@ class Template:
     main: str
 
 
-def deduce(tokens: list[tuple[str, int, float, int]], pages: int) -> Template:
-    """Template of a host with so many pages. tokens: (token, vector, mean place, chars) of those that every page holds."""
+def deduce(tokens: list[tuple[str, int, float, int, int]]) -> Template:
+    """Template of a host. tokens: (token, vector, mean place, chars, pages that hold it) of those that SUPPORT of its pages hold."""
     classes: dict[int, list[tuple[float, str]]] = defaultdict(list)
     chars: Counter = Counter()
-    for token, vector, place, n in tokens:
+    shared = set()  # by enough pages not to be a copied article
+    for token, vector, place, n, pages in tokens:
         classes[vector].append((place, token))
+        if pages >= LEAST_PAGES:
+            shared.add(token)
         if n:
             chars[token] += n
     valid, known = [], set()
@@ -199,7 +210,7 @@ def deduce(tokens: list[tuple[str, int, float, int]], pages: int) -> Template:
         if len(ordered) > 1 and _nested(ordered):
             valid.append(ordered)
             known.update(ordered)
-    boilerplate = frozenset(t for c in valid for t in c if "\0" in t) if pages >= LEAST_PAGES else frozenset()
+    boilerplate = frozenset(t for c in valid for t in c if "\0" in t and t in shared)
     held: Counter = Counter()
     for path, n in chars.items():
         parts = path.split(">")
@@ -244,13 +255,13 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, tokens): what every page of a host holds. A host's pages are never gathered, only sums over them; what
-    is listed is held by each of its pages, so no longer than one. pages: with_host()."""
-    found = occurrences(pages).groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n_pages").alias("n_pages"), F.sum("place").alias("place"), F.sum("chars").alias("chars"))
-    number = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    every = found.join(number, "host").where("n_pages = pages")
-    each = F.struct("token", "vector", (F.col("place") / F.col("pages")).alias("place"), "chars")
-    return every.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(each).alias("tokens"))
+    """(host, tokens): what SUPPORT of a host's pages hold; pages without a token, such as null html, don't count. A host's
+    pages are never gathered, only sums over them; what is listed is no longer than a page's tokens divided by SUPPORT."""
+    found = cut(occurrences(pages).groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n_pages").alias("n_pages"), F.sum("place").alias("place"), F.sum("chars").alias("chars")))
+    number = found.where(F.col("token") == PAGE).select("host", F.col("n_pages").alias("pages"))
+    listed = found.where(F.col("token") != PAGE).join(number, "host").where(F.col("n_pages") >= SUPPORT * F.col("pages"))
+    each = F.struct("token", "vector", (F.col("place") / F.col("n_pages")).alias("place"), "chars", "n_pages")
+    return listed.groupBy("host").agg(F.collect_list(each).alias("tokens"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -264,19 +275,19 @@ def extract(pages: DataFrame) -> DataFrame:
     known = cut(templates(base).withColumnRenamed("host", "_host"))
     size = known.agg(F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda n, t: n + F.length(t["token"]) + 40))).first()[0] or 0
     known = F.broadcast(known) if size <= BROADCAST_BYTES else known
-    joined = base.join(known, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "host", "pages", "tokens")
+    joined = base.join(known, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "host", "tokens")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, Template] = {}
         for batch in batches(source, "html"):
             out = []
             tokens = batch.column("tokens")
-            for k, (host, number, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("pages").to_pylist(), texts(batch.column("html")))):
+            for k, (host, html) in enumerate(zip(batch.column("host").to_pylist(), texts(batch.column("html")))):
                 if host not in own:
                     if len(own) > 1000:
                         own.clear()
                     listed = tokens[k].as_py()
-                    own[host] = deduce([(t["token"], t["vector"], t["place"], t["chars"]) for t in listed], number) if listed else NO_TEMPLATE
+                    own[host] = deduce([(t["token"], t["vector"], t["place"], t["chars"], t["n_pages"]) for t in listed]) if listed else NO_TEMPLATE
                 out.append("\n".join(slots(parse(html), own[host])))
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -89,6 +89,16 @@ def test_template_drops_what_all_pages_share(spark):
     assert got[3] == "Story number 3 is about 21 things and goes on for quite a while."
 
 
+def test_template_survives_odd_pages(spark):
+    page = "<html><body><div id=x><div><p>Story number {k} is about {n} things and goes on for quite a while.</p>{note}<p>Share this on paper</p></div></div><div>Short {k}</div></body></html>"
+    note = "<div class=strip><p>Prices are without tax</p></div>"
+    html = [page.format(k=k, n=k * 7, note=note if k else "") for k in range(12)] + [None, "", "<p>Error 500"]
+    df = spark.createDataFrame([(k, f"http://h/{k}", t) for k, t in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert all(got[k] == f"Story number {k} is about {k * 7} things and goes on for quite a while." for k in range(12))
+    assert got[12] == got[13] == "" and got[14] == "Error 500"
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kept = docs
