@@ -640,8 +640,8 @@ def visible_page(spark, d):
 
 @query()
 def diversify(spark, d):
-    """S6. The neutral browse view."""
-    return discover.discover(discover.view_events(feed(spark, d), now()), State(show=48)).select("id", "primary_category", "rank", "place")
+    """S6. The neutral browse view, all of it."""
+    return discover.discover(discover.view_events(feed(spark, d), now()), State(show=None)).select("id", "primary_category", "rank", "place")
 
 
 ASKED = f"{RANKED}, f AS (SELECT *, row_number() OVER (ORDER BY CAST(prim AS DATE), ongoing, prim, {FOLD.format('titulo')}, titulo, pid) AS rank FROM s WHERE contains({SEARCHED}, 'supplier#0') AND contains({SEARCHED}, 'the') AND (prim < {T} + 8 OR ongoing))"

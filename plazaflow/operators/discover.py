@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -26,7 +27,7 @@ class State:
     date_filter: str = "all"
     free_only: bool = False
     zone: str = ""
-    show: int = dims.PAGE_SIZE
+    show: int | None = dims.PAGE_SIZE  # None: the whole neutral list
 
 
 @dataclass(frozen=True)
@@ -159,36 +160,44 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
-def diversify(df: DataFrame, most: int, category: str = "primary_category", rank: str = "rank") -> DataFrame:
-    """S6. The first `most` ranked rows in an order that shows at most two neighbours of one category while others are left:
-    a row that would be the third waits, and comes as soon as it may. place numbers the new order from 1.
+def diversify(df: DataFrame, most: int | None, category: str = "primary_category", rank: str = "rank") -> DataFrame:
+    """S6. Ranked rows in an order that shows at most two neighbours of one category while others are left: a row that would
+    be the third waits, and comes as soon as it may. place numbers the new order from 1; its first `most` rows, or all.
 
-    Readers see pages, so the fold runs over the rows of the pages asked for, not over the table.
+    A category's rows keep their order, so the first `most` places need only the first `most` rows of each category. The fold
+    is sequential: it streams over ranks and categories alone in one task, and holds what waits.
     """
-    top = df.where(F.col(rank) <= most)
+    own = F.row_number().over(Window.partitionBy(category).orderBy(rank))
+    top = df if most is None else df.withColumn("_own", own).where(F.col("_own") <= most).drop("_own")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(rank, kind="stable") if (frames := list(frames)) else None
-        if rows is None:
-            return
-        kinds = rows[category].tolist()
-        shown: list[int] = []
-        waiting: list[int] = []
-        blocked = lambda k: len(shown) > 1 and kinds[shown[-1]] == kinds[shown[-2]] == kinds[k]
-        for k in range(len(kinds)):
-            if blocked(k):
-                waiting.append(k)
-                continue
-            shown.append(k)
-            while (free := next((w for w in waiting if not blocked(w)), None)) is not None:
-                waiting.remove(free)
-                shown.append(free)
-        out = rows.iloc[shown + waiting].copy()
-        out["place"] = range(1, len(out) + 1)
-        yield out
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", place bigint"
-    return top.coalesce(1).mapInPandas(fold, schema)
+        last: list = []  # categories of the last two rows shown
+        waiting: deque = deque()  # rows of one category only: all others would have been shown
+        shown = 0
+        blocked = lambda kind: len(last) == 2 and last[0] == last[1] == kind
+        for frame in frames:
+            out = []
+            for row in zip(frame["_rank"].tolist(), frame["_kind"].tolist()):
+                if blocked(row[1]):
+                    waiting.append(row)
+                    continue
+                while True:
+                    out.append(row[0])
+                    last = [*last[-1:], row[1]]
+                    if not waiting or blocked(waiting[0][1]):
+                        break
+                    row = waiting.popleft()
+            yield pd.DataFrame({"_rank": out, "place": range(shown + 1, shown + len(out) + 1)})
+            shown += len(out)
+        while waiting:
+            out = [waiting.popleft()[0] for _ in range(min(len(waiting), 10_000))]
+            yield pd.DataFrame({"_rank": out, "place": range(shown + 1, shown + len(out) + 1)})
+            shown += len(out)
+
+    keys = top.select(F.col(rank).cast("bigint").alias("_rank"), F.coalesce(F.col(category), F.lit("")).alias("_kind"))
+    places = keys.repartition(1).sortWithinPartitions("_rank").mapInPandas(fold, "_rank bigint, place bigint")
+    places = places if most is None else places.where(F.col("place") <= most)
+    return top.join(places, F.col(rank) == F.col("_rank")).drop("_rank")
 
 
 def discover(view: DataFrame, state: State, profile: Profile = Profile()) -> DataFrame:
@@ -196,8 +205,9 @@ def discover(view: DataFrame, state: State, profile: Profile = Profile()) -> Dat
     matching = filtered(view, state).withColumn("score", score(profile))
     order = rank_order(profile.personal)
     neutral = not profile.personal and not state.category and not state.query.split()
-    page = first_rows(matching, order, state.show * (4 if neutral else 1))
-    return diversify(page, state.show * 4).where(F.col("place") <= state.show) if neutral else page
+    if not neutral:
+        return first_rows(matching, order, state.show)
+    return diversify(with_rank(matching, order).withColumn("rank", F.col("rank").cast("int")), state.show)
 
 
 def featured(view: DataFrame, profile: Profile) -> DataFrame:

@@ -122,6 +122,25 @@ def test_diversify(spark):
     assert not discover.diversify(df.limit(0), 10).collect()
 
 
+def test_diversify_reaches_far_down(spark):
+    kinds = "A" * 300 + "BBBC" + "A" * 5 + "CCCC"
+    df = spark.createDataFrame(list(enumerate(kinds, 1)), "rank int, primary_category string").repartition(4)
+    shown, waiting = [], []
+    blocked = lambda k: len(shown) > 1 and kinds[shown[-1]] == kinds[shown[-2]] == kinds[k]
+    for k in range(len(kinds)):  # the reference, over the whole list
+        if blocked(k):
+            waiting.append(k)
+            continue
+        shown.append(k)
+        while (free := next((w for w in waiting if not blocked(w)), None)) is not None:
+            waiting.remove(free)
+            shown.append(free)
+    wanted = [k + 1 for k in shown + waiting]
+    for most in (1, 6, 12, None):
+        got = [r["rank"] for r in sorted(discover.diversify(df, most).collect(), key=lambda r: r.place)]
+        assert got == wanted[:most]
+
+
 def test_ranks_are_whole(spark):
     df = spark.range(1000).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(97)))
     got = sorted((r.rank, r.v, r.id) for r in discover.with_rank(df, [F.col("v"), F.col("id")]).collect())
