@@ -82,8 +82,9 @@ SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_s
     "op9_sentence_dedup": r"""WITH p AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]\s+|\s*\n\s*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
 q AS (SELECT *, list_transform(s, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS t FROM p), u AS (SELECT *, list_transform(t, lambda x: len(string_split(x, ' '))) AS n FROM q),
 e AS (SELECT doc_id, t, n, unnest(range(1, len(t) + 1)) AS i FROM u),
-j AS (SELECT doc_id, t, i, list_min(list_filter(range(i + 1, least(i + 13, len(t) + 1)), lambda k: list_sum(n[i:k]) >= 12)) AS j FROM e UNION ALL SELECT doc_id, t, i, i FROM e WHERE n[i] >= 30),
-x AS (SELECT doc_id, i, j, array_to_string(t[i:j], ' ') AS span FROM j WHERE j IS NOT NULL),
+j AS (SELECT doc_id, t, i, list_min(list_filter(range(i + 1, least(i + 13, len(t) + 1)), lambda k: list_sum(n[i:k]) >= 12)) AS j FROM e UNION SELECT doc_id, t, i, i FROM e WHERE n[i] >= 30
+  UNION SELECT doc_id, t, list_max(list_filter(range(greatest(i - 12, 1), i), lambda k: list_sum(n[k:i]) >= 12)), i FROM e),
+x AS (SELECT doc_id, i, j, array_to_string(t[i:j], ' ') AS span FROM j WHERE i IS NOT NULL AND j IS NOT NULL),
 o AS (SELECT span, min(doc_id * 1000000 + i) AS origin FROM x GROUP BY span HAVING count(*) > 1),
 m AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS k FROM x JOIN o USING (span) WHERE doc_id * 1000000 + i <> origin),
 z AS (SELECT doc_id, list(k ORDER BY k) AS gone FROM m GROUP BY doc_id),
