@@ -22,13 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, as in tests, one of its own."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, one of its own: a temporary
+    one on a single machine, as in tests, and one in the warehouse on a cluster, never a machine's own folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plazaflow-"))
+        own = tempfile.mkdtemp(prefix="plazaflow-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return sc.getCheckpointDir()
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, lengthened until no frame has such a column in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder, without its lineage."""
     shared_folder(df.sparkSession)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plazaflow.llm.common import BASE, batches, mixed, range_hashes, utf8
+from plazaflow.llm.common import BASE, batches, cut, mixed, range_hashes, unused, utf8
 
 #: Template tokens in a window; words among them that must not be placeholders; share of an item's windows that makes a leak.
 WINDOW, LITERALS, SHARE = 5, 3, 0.5
@@ -121,23 +121,24 @@ def _windows(row, kind, tokens, width, reading):
     return at, h[at]
 
 
-ROWS = "row_key bigint, text_key bigint, reading int, at bigint, h bigint, slots array<bigint>"
+ROWS = "row_key bigint, text_key bigint, reading int, width int, at bigint, h bigint, slots array<bigint>"
 
 
 def _emit(rows, row_key, text_key, at, first, h, kind, own, width, reading):
     place = at - first[rows[at]]
     slots = [[int(x) for x in own[i : i + width][kind[i : i + width] != WORD].view(np.int64)] for i in at]
     return pa.RecordBatch.from_arrays(
-        [pa.array(row_key[rows[at]], pa.int64()), pa.array(text_key[rows[at]], pa.int64()), pa.array(np.full(len(at), reading), pa.int32()), pa.array(place, pa.int64()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
-        ["row_key", "text_key", "reading", "at", "h", "slots"],
+        [pa.array(row_key[rows[at]], pa.int64()), pa.array(text_key[rows[at]], pa.int64()), pa.array(np.full(len(at), reading), pa.int32()), pa.array(np.full(len(at), width), pa.int32()), pa.array(place, pa.int64()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
+        ["row_key", "text_key", "reading", "width", "at", "h", "slots"],
     )
 
 
-def windows(df: DataFrame, key: str, widths: tuple[int, ...], among: np.ndarray | None = None, readings: tuple[int, ...] = READINGS) -> DataFrame:
-    """(row_key, text_key, reading, at, h, slots) of every window of each text; only those whose hash is in `among`, if that is given.
+def windows(df: DataFrame, key: str, looked: dict[int, list[int]] | None = None, among: np.ndarray | None = None) -> DataFrame:
+    """(row_key, text_key, reading, width, at, h, slots) of every window of each text; text_key tells apart texts that share an id.
 
-    text_key tells apart texts that share an id. For items (widths is empty) a text shorter than a window is one window, and
-    readings that change nothing are left out. OPENED has whole windows only: a name and few words would meet chance likenesses.
+    For documents, `looked` says which widths of window to look for in which reading, and only those whose hash is in
+    `among` are given, if there is such. For items (no `looked`) a text shorter than a window is one window, and readings
+    that change nothing are left out. OPENED has whole windows only: a name and few words would meet chance likenesses.
     EXACT is for items that have no window in the usual reading, so every item with a letter or digit has a window.
     """
 
@@ -151,16 +152,18 @@ def windows(df: DataFrame, key: str, widths: tuple[int, ...], among: np.ndarray
             rows, proper, opens = found[0], found[4], found[5]
             named = {OPENED: proper & opens, SPELLED: proper & ~opens}
             held = np.zeros(len(starts) - 1, bool)  # rows with a window in the usual reading
-            for reading in readings:
+            for reading in READINGS if looked is None else sorted(looked):
                 row, kind, tokens, own = _read(*found, reading)
                 count = np.bincount(row, minlength=len(starts) - 1)
                 first = np.r_[0, np.cumsum(count)[:-1]]
-                useful = np.bincount(rows[named[reading]], minlength=len(starts) - 1) > 0 if reading in named and not widths else ~held if reading == EXACT and not widths else None
-                for width in widths or sorted({min(WINDOW, int(c)) for c in count if c}):
+                useful = None
+                if looked is None and reading != USUAL:
+                    useful = ~held if reading == EXACT else np.bincount(rows[named[reading]], minlength=len(starts) - 1) > 0
+                for width in sorted({min(WINDOW, int(c)) for c in count if c}) if looked is None else looked[reading]:
                     if reading == OPENED and width < WINDOW:
                         continue
                     at, h = _windows(row, kind, tokens, width, reading)
-                    if not widths and width < WINDOW:
+                    if looked is None and width < WINDOW:
                         own_width = count[row[at]] == width
                         at, h = at[own_width], h[own_width]
                     if useful is not None:
@@ -184,21 +187,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     item's template windows on consistent alignments, in the first reading that does; n_changed counts slot values that differ from the item's.
 
     Benchmark windows are unique by item and place. Up to SIFTED of them, their hashes sift the documents' windows in the
-    map; beyond, all windows go into the join: same result. The join runs on window hashes, so a passage in very many
-    documents is a skewed key on one side with few rows on the other, which Spark splits or broadcasts by size; groups are
-    one document's matches with one item. Null or empty texts match nothing; a null doc_id is reported as null; repeated
-    rows are reported once; items with a null id or without a letter or digit are left out, and of items with one id and unequal
-    texts each counts by itself.
+    map; beyond, all windows of the widths that items have go into the join: same result. Documents first meet items only in
+    each item's rarest windows, so many that a leak must hold one of them; so a window that many items share makes no
+    pairs of all of them with all documents that hold it. The pairs found are then held against all windows. The join runs
+    on window hashes, so a passage in very many documents is a skewed key on one side with few rows on the other, which
+    Spark splits or broadcasts by size; groups are one document's matches with one item. Null or empty texts match nothing;
+    a null doc_id is reported as null; repeated rows are reported once; items with a null id or without a letter or digit
+    are left out, and of items with one id and unequal texts each counts by itself. Other columns are ignored.
     """
-    items = windows(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id", ())
-    items = items.select(F.col("row_key").alias("item_id"), F.col("text_key").alias("item_key"), F.col("at").alias("item_at"), "reading", "h", F.col("slots").alias("item_slots"))
-    sized = items.withColumn("item_windows", F.count(F.lit(1)).over(Window.partitionBy("item_id", "item_key", "reading")))
+    items = windows(benchmark.select("item_id", "text").where("item_id is not null").dropDuplicates(), "item_id")
+    items = cut(items.select(F.col("row_key").alias("item_id"), F.col("text_key").alias("item_key"), F.col("at").alias("item_at"), "reading", "width", "h", F.col("slots").alias("item_slots")))
+    number = Window.partitionBy("item_id", "item_key", "reading")
+    often = items.groupBy("reading", "h").agg(F.count(F.lit(1)).alias("often"))
+    sized = items.join(often, ["reading", "h"]).withColumns({"item_windows": F.count(F.lit(1)).over(number), "rank": F.row_number().over(number.orderBy("often", "item_at"))})
+    sized = cut(sized.withColumn("rare", F.col("rank") <= F.col("item_windows") - F.ceil(share * F.col("item_windows")) + 1).drop("often", "rank", "width"))
+    looked: dict[int, list[int]] = {}
+    for r in items.select("reading", "width").distinct().sort("reading", "width").collect():  # at most WINDOW a reading
+        looked.setdefault(r.reading, []).append(r.width)
     head = items.select("h").distinct().limit(SIFTED + 1).toPandas().h.to_numpy(np.int64)
-    readings = tuple(sorted(r.reading for r in items.select("reading").distinct().collect()))
     among = np.sort(head.view(np.uint64)) if len(head) <= SIFTED else None
-    widths = tuple(range(1, WINDOW + 1)) if among is None else _needed_widths(benchmark)
-    found = windows(docs.select("doc_id", "text"), "doc_id", widths, among, readings).withColumnRenamed("row_key", "doc_id").distinct()
-    met = found.join(sized, ["reading", "h"])
+    found = cut(windows(docs.select("doc_id", "text"), "doc_id", looked, among).withColumnRenamed("row_key", "doc_id").drop("width").distinct())
+    held = found.select(F.struct("doc_id", "text_key").alias("d"), "reading", "h", "at", "slots")
+    pairs_met = held.select("d", "reading", "h").join(sized.where("rare").select("reading", "h", "item_id", "item_key"), ["reading", "h"]).drop("h").distinct()
+    met = pairs_met.join(sized.drop("rare"), ["reading", "item_id", "item_key"]).join(held, ["d", "reading", "h"]).select("d.*", "*").drop("d")
     pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     aligned = met.groupBy("doc_id", "text_key", "item_id", "item_key", "reading", "item_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
@@ -211,13 +222,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     return whole.groupBy("doc_id", "text_key", "item_id", "item_key").agg(first).select("doc_id", "text_key", "item_id", "first.n_windows", "first.item_windows", "first.coverage", "first.n_changed")
 
 
-def _needed_widths(benchmark: DataFrame) -> tuple[int, ...]:
-    """Lengths of windows that items have: WINDOW, and less only if an item is shorter (told apart by words, at most one a length)."""
-    short = benchmark.where(F.size(F.split(F.trim("text"), r"[^\p{L}\p{N}]+")) <= 2 * WINDOW).limit(1).count()
-    return tuple(range(1, WINDOW + 1)) if short else (WINDOW,)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose text leaks an item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_text")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._leak_id) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == bad._leak_text), "left_anti")
+    """docs without the rows whose text leaks an item; rows and columns stay as they are, whatever the columns' names."""
+    bad = leaks(docs, benchmark).select("doc_id", "text_key").distinct()
+    doc, key = unused("_leak_doc", docs), unused("_leak_text", docs)
+    bad = bad.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key)), "left_anti")
