@@ -1,18 +1,27 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page is a sequence of tokens: tags told apart by the path of elements they stand in, and pieces of text told apart by
-path and words. Tokens of one host that have the same occurrence vector (how often each page of the host holds them) form
-an equivalence class. Vectors are never gathered: a sum of hashes of (page, count), which partial aggregation forms, is
-equal for equal vectors. Classes that SUPPORT of the host's pages hold, pages without any token not counted, are checked for order and nesting and make the host's template;
-what stands between its tokens are slots. Text in the template is dropped, and of the slots those within the main
-container are extracted: the article element if the template has one, else the container that holds most of the text that
-varies, never one whose element or class names a menu, header, footer, sidebar, notice, advert, form or comment.
+A page is a sequence of tokens: opening and closing tags of blocks, told apart by the path of blocks they stand in, and
+pieces of text, told apart by path and words. Tokens of one host that have the same occurrence vector (how often each page of the
+host holds them) form an equivalence class. Vectors are never gathered: sums of hashes of (page, count), which partial
+aggregation forms, are equal for equal vectors. Of the classes that SUPPORT of the host's pages hold, pages without any
+token not counted:
+
+1. a class is valid if its tags, in the order of their mean places, close what they open and its texts stand in elements
+   that are open there; tokens that cross others, as when pages differ in their order, leave the class;
+2. valid classes are nested: all tokens of a class must stand in one slot, that is, in one element of the classes of more
+   pages, or at the top; a class that doesn't is taken apart. The nested classes are the host's template, and what stands
+   between their tokens are slots;
+3. texts of the template are its own words, not a page's. The main container is the innermost element of the template
+   whose slots hold MAIN_SHARE of the text that varies; around it, elements that add nothing but headings to it.
+
+A page's main text is what its slots within the main container hold. Elements that never hold main text (menus, footers,
+forms, scripts ...) are no part of any slot.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -24,228 +33,366 @@ from pyspark.sql import functions as F
 
 from plazaflow.llm.common import batches, cut, texts
 
-#: A text that fewer pages of a host share may be an article that was copied, not the template.
-LEAST_PAGES = 5
-#: Share of a host's pages that must hold a class of its template.
+#: Share of a host's pages that must hold a class of its template; a text must stand on two pages at least.
 SUPPORT = 0.8
-#: Share of a host's varying text that its main container must hold, where it has no article element.
+#: Share of the text that varies that a main container's slots must hold.
 MAIN_SHARE = 0.6
 #: Templates up to this size are broadcast.
 BROADCAST_BYTES = 32 << 20
 
-LEX = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)""",
-    re.S | re.I,
-)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A tag from its name on; a quote starts a value only after an equals sign. Possessive, so nothing is tried twice.
+TAG = re.compile(r"""<(?P<end>/)?+(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+#: The same to the next >, whatever quotes say: for what follows a tag that doesn't end.
+LAX = re.compile(r"<(?P<end>/)?+(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>[^>]*+)>")
+RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in ("script", "style")}
+NAMED = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 #: An opening tag ends these elements if they are open within the same container.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"body", "html"}
+ENDED = {tag: sorted(ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())) for tag in {*ENDS, *CLOSES_P}}
 CONTAINERS = frozenset("article aside body blockquote div fieldset footer form header html main nav section table td th ul ol dl".split())
-#: Elements whose text is never main text, and words that say so in a class, id or role.
+#: Elements that may be a host's main container.
+MAIN = frozenset("article main section div td body".split())
+#: Elements whose text is never main text, and words that say so in a class, id or role that holds no others but PARTS.
 NEVER = frozenset("nav footer aside form head script style noscript template iframe button select option textarea dialog menu svg object canvas audio video".split())
 NEVER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation navigation newsletter notice notices notification outbrain pagination popup promo promoted promotion related search share sharing sidebar skip social sponsor sponsored subscribe taboola toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pagination popup promo promoted promotion related search share sharing sidebar skip social sponsor sponsored subscribe taboola toolbar widget widgets".split()
 )
-SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+PARTS = frozenset("area bar block bottom box button buttons container content form global group header inner item items left link links list main outer page panel primary reader readers right secondary section site slot thread top user wrap wrapper".split())
+SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+OPEN, CLOSE, TEXT, PAGE = range(4)
+MASK = (1 << 64) - 1
+#: Article and main elements around an article or main that a piece of text knows of.
+OWN = 8
 
 
 @dataclass
 class Piece:
-    """Text between two blocks' borders."""
+    """Text between two blocks' borders: the path of its element and of the block it stands in, and where it stands."""
 
-    path: str
+    path: int
     text: str
     never: bool
-    article: bool
+    heading: bool
+    inside: bool  # the main container asked for
+    own: tuple[int, ...]  # numbers of the article and main elements of the page that it stands in, innermost first
+
+
+@dataclass
+class Fact:
+    """What is known of a token: its place, element, parent path and depth, and the text within: all of it, and in headings."""
+
+    place: int
+    tag: str = ""
+    parent: int = 0
+    depth: int = 0
+    count: int = 0
+    chars: int = 0
+    heads: int = 0
 
 
 @dataclass
 class Page:
-    pieces: list[Piece]
-    tags: Counter = field(default_factory=Counter)  # opening and closing tags by path
-    order: dict[str, int] = field(default_factory=dict)
+    pieces: list[Piece] = field(default_factory=list)
+    tokens: dict[tuple[int, int], Fact] = field(default_factory=dict)
+
+
+@dataclass
+class Element:
+    tag: str
+    path: int
+    never: bool
+    heading: bool
+    inside: bool
+    own: tuple[int, ...]
+    fact: Fact | None = None
+    chars: int = 0
+    heads: int = 0
+
+
+_labels: dict[tuple[str, str], tuple[str, bool]] = {}
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """The element's name in paths, and whether it never holds main text."""
-    names = " ".join(next(filter(None, m), "") for m in NAMED.findall(attrs)) if attrs and "=" in attrs else ""
-    words = {w.lower() for w in SPLIT.split(names) if w} if names else set()
-    label = tag + "".join("." + w for w in sorted(words)) if words else tag
-    return label, tag in NEVER or bool(words & NEVER_WORDS) and tag not in ("body", "html", "article", "main")
+    known = _labels.get((tag, attrs))
+    if known is None:
+        names = [next(filter(None, m), "") for m in NAMED.findall(attrs)] if "=" in attrs else []
+        words = {w.lower() for n in names for w in SPLIT.split(n) if w}
+        never = any((own := {w.lower() for w in SPLIT.split(n) if w}) & NEVER_WORDS and own <= NEVER_WORDS | PARTS for value in names for n in value.split())
+        known = tag + "".join("." + w for w in sorted(words)), tag in NEVER or never and tag not in ("body", "html", "article", "main")
+        if len(_labels) > 20_000:
+            _labels.clear()
+        if len(attrs) < 400:
+            _labels[tag, attrs] = known
+    return known
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def parse(html: str) -> Page:
-    """Blocks of text in page order, with the path of the element that each stands in; never fails on malformed markup."""
-    page = Page([])
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, never, within an article or main
+def text_token(path: int, text: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(text, path & MASK))
+
+
+def parse(html: str, main: int | None = None) -> Page:
+    """Blocks of text in page order and the page's tokens, in time linear in the page; never fails on malformed markup.
+
+    A tag that doesn't end before the page does is text, and from there on tags end at the next >. main: path of the
+    container that pieces are asked to stand in.
+    """
+    page = Page()
+    tokens = page.tokens
+    stack = [Element("", 0, False, False, False, ())]
+    open_: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a tag stand
+    borders = [0]  # where containers stand
     buffer: list[str] = []
+    owns = 0
+
+    def seen(kind: int, path: int, **facts) -> Fact:
+        fact = tokens.get((kind, path))
+        if fact is None:
+            fact = tokens[kind, path] = Fact(len(tokens), **facts)
+        fact.count += 1
+        return fact
 
     def flush() -> None:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                at = next((e for e in reversed(stack) if e[0] in BLOCKS), None)
-                never = stack[-1][2] if stack else False
-                page.pieces.append(Piece(at[1] if at else "", text, never, stack[-1][3] if stack else False))
-
-    def seen(token: str) -> None:
-        page.tags[token] += 1
-        page.order.setdefault(token, len(page.order))
+                top = stack[-1]
+                page.pieces.append(Piece(top.path, text, top.never, top.heading, top.inside, top.own))
+                if not top.never:
+                    top.chars += len(text)
+                    top.heads += len(text) if top.heading else 0
+                    seen(TEXT, text_token(top.path, text), parent=top.path).chars += len(text)
 
     def pop_to(k: int) -> None:
-        if any(e[0] in BLOCKS or e[2] for e in stack[k:]):
+        if any(e.tag in BLOCKS or e.never for e in stack[k:]):
             flush()
-        for e in reversed(stack[k:]):
-            seen("/" + e[1])
-        del stack[k:]
-
-    for m in LEX.finditer(html):
-        if (text := m["text"]) is not None:
-            buffer.append(text)
+        while len(stack) > k:
+            e = stack.pop()
+            open_[e.tag].pop()
+            if borders[-1] == len(stack):
+                borders.pop()
+            stack[-1].chars += e.chars
+            stack[-1].heads += e.heads
+            if e.fact:
+                e.fact.chars += e.chars
+                e.fact.heads += e.heads
+                seen(CLOSE, e.path, parent=e.fact.parent)
+
+    at, size, last, tagged = 0, len(html), html.rfind(">"), TAG
+    while at < size:
+        start = html.find("<", at)
+        if start < 0 or start > last:
+            buffer.append(html[at:])
+            break
+        if start > at:
+            buffer.append(html[at:start])
+        follows = html[start + 1 : start + 2]
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = size if end < 0 else end + 3
             continue
-        tag = m["tag"]
-        if tag is None:
+        if follows in ("!", "?"):
+            at = html.find(">", start) + 1
             continue
-        tag = tag.lower()
+        m = tagged.match(html, start)
+        if m is None and tagged is TAG and (follows.isalpha() or follows == "/"):
+            m = LAX.match(html, start)
+            tagged = LAX if m else TAG
+        if m is None:
+            if follows == "/":  # no tag
+                at = html.find(">", start) + 1
+            else:
+                buffer.append("<")
+                at = start + 1
+            continue
+        at, tag, attrs = m.end(), m["tag"].lower(), m["attrs"]
         if m["end"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                pop_to(k)
+            if open_[tag]:
+                pop_to(open_[tag][-1])
             elif tag in BLOCKS:
                 flush()
             continue
-        if tag in ENDS or tag in CLOSES_P:
-            ends = ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    pop_to(i)
-                    break
-                if stack[i][0] in CONTAINERS:
-                    break
+        if tag in ENDED:
+            while (k := max((open_[t][-1] for t in ENDED[tag] if open_[t]), default=0)) and k >= borders[-1]:
+                pop_to(k)
         if tag in BLOCKS:
             flush()
         elif tag == "br":
             buffer.append(" ")
         if tag in VOID:
-            seen((stack[-1][1] if stack else "") + ">" + tag)
             continue
-        label, never = _label(tag, m["attrs"])
-        path, above, within = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", False, False)
-        never = never or above or tag == "header" and not within
-        if never and not above:
+        top = stack[-1]
+        label, never = _label(tag, attrs)
+        never = never or top.never or tag == "header" and not top.own
+        if never and not top.never:
             flush()
-        stack.append((tag, f"{path}>{label}", never, within or (tag in ("article", "main") and not never)))
-        seen(stack[-1][1])
-        if (m["attrs"] or "").endswith("/") and tag not in BLOCKS:
+        path, fact = top.path, None
+        if tag in BLOCKS and not top.never:
+            path = _signed(xxhash.xxh3_64_intdigest(label, top.path & MASK))
+            fact = seen(OPEN, path, tag=tag, parent=top.path, depth=len(stack))
+        own = top.own
+        if tag in ("article", "main") and not never:
+            owns += 1
+            own = (owns, *own[:OWN])
+        open_[tag].append(len(stack))
+        if tag in CONTAINERS:
+            borders.append(len(stack))
+        stack.append(Element(tag, path, never, tag in HEADINGS or top.heading and tag not in CONTAINERS, top.inside or path == main, own, fact))
+        if tag in RAW_END:
+            m = RAW_END[tag].search(html, at)
+            at = m.end() if m else size
+            pop_to(len(stack) - 1)
+        elif attrs.endswith("/") and tag not in BLOCKS:
             pop_to(len(stack) - 1)
     flush()
-    pop_to(0)
+    pop_to(1)
     return page
 
 
-#: Stands for the page itself: its sum of n_pages is the number of a host's pages with any token.
-PAGE = "\0page"
-
-
-def text_token(piece: Piece) -> str:
-    return f"\0{xxhash.xxh3_64_hexdigest(f'{piece.path}\0{piece.text}')}"
-
-
-TOKENS = "host string, token string, vector bigint, n_pages bigint, place double, chars bigint"
+TOKENS = "host string, kind int, token bigint, v1 bigint, v2 bigint, v3 bigint, n_pages bigint, place double, tag string, parent bigint, depth int, chars bigint, heads bigint"
+TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+WORD = (1 << 21) - 1
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, n_pages, place, chars): of each page's distinct tokens, ready to be summed by host and token."""
+    """Of each page's distinct tokens the facts that are summed by host and token. The hash of (page, count) comes as three
+    words of 21 bits, whose sums stay within 64 bits for 2**42 pages of a host. The page itself is a token of kind PAGE."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "html"):
             rows = []
             for host, key, html in zip(batch.column("host").to_pylist(), batch.column("page_key").to_pylist(), texts(batch.column("html"))):
-                page = parse(html)
-                count, chars = Counter(page.tags), Counter()
-                for piece in page.pieces:
-                    count[text_token(piece)] += 1
-                    if not piece.never:
-                        chars[piece.path] += len(piece.text)
-                if count:
-                    rows.append((host, PAGE, 0, 1, 0.0, 0))
-                for token, n in count.items():
-                    vector = xxhash.xxh64_intdigest(f"{key}:{n}") >> 24  # sums of very many stay within 64 bits
-                    rows.append((host, token, vector, 1, float(page.order.get(token, 0)), chars.get(token, 0)))
+                tokens = parse(html).tokens
+                if tokens:
+                    rows.append((host, PAGE, 0, 0, 0, 0, 1, 0.0, None, 0, 0, 0, 0))
+                hashes = {}
+                for (kind, path), f in tokens.items():
+                    h = hashes.get(f.count)
+                    if h is None:
+                        x = xxhash.xxh64_intdigest(f"{key}:{f.count}")
+                        h = hashes[f.count] = (x & WORD, x >> 21 & WORD, x >> 42 & WORD)
+                    rows.append((host, kind, path, *h, 1, float(f.place), f.tag or None, f.parent, f.depth, f.chars, f.heads))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["host", "token", "vector", "n_pages", "place", "chars"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), TYPES)], [f.split()[0] for f in TOKENS.split(", ")])
 
     return pages.mapInArrow(run, TOKENS)
 
 
 @dataclass
 class Template:
-    """A host's template: tokens of its valid classes, the text among them, and the path of its main container ('' if unknown)."""
-
-    classes: list[list[str]]
-    boilerplate: frozenset[str]
-    main: str
-
-
-def deduce(tokens: list[tuple[str, int, float, int, int]]) -> Template:
-    """Template of a host. tokens: (token, vector, mean place, chars, pages that hold it) of those that SUPPORT of its pages hold."""
-    classes: dict[int, list[tuple[float, str]]] = defaultdict(list)
-    chars: Counter = Counter()
-    shared = set()  # by enough pages not to be a copied article
-    for token, vector, place, n, pages in tokens:
-        classes[vector].append((place, token))
-        if pages >= LEAST_PAGES:
-            shared.add(token)
-        if n:
-            chars[token] += n
-    valid, known = [], set()
-    for members in sorted(classes.values(), key=lambda c: (-len(c), min(c))):
-        members.sort()
-        ordered = [t for _, t in members]
-        if len(ordered) > 1 and _nested(ordered):
-            valid.append(ordered)
-            known.update(ordered)
-    boilerplate = frozenset(t for c in valid for t in c if "\0" in t and t in shared)
-    held: Counter = Counter()
-    for path, n in chars.items():
-        parts = path.split(">")
-        for k in range(2, len(parts) + 1):
-            held[">".join(parts[:k])] += n
-    total = sum(chars.values())
-    inside = [p for p in held if p in known and p.rsplit(">", 1)[-1].split(".")[0] in CONTAINERS and held[p] >= MAIN_SHARE * total]
-    return Template(valid, boilerplate, max(inside, key=lambda p: (p.count(">"), held[p], p), default=""))
-
-
-def _nested(tokens: list[str]) -> bool:
-    """Whether the class's opening and closing tags, in order, close what they open."""
-    open_: list[str] = []
+    """A host's template: its nested classes, each with the slot that it stands in (0 for the top), its texts, and the path
+    of its main container (None if it has none)."""
+
+    classes: list[tuple[int, list[tuple[int, int]]]]
+    texts: frozenset[int]
+    main: int | None
+
+
+def nested(tokens: list[tuple[int, int]], parent: dict[tuple[int, int], int], above: dict[int, int], depth: dict[int, int]) -> list[tuple[int, int]]:
+    """The tokens of a class, in their order, without those that cross others: a closing tag must close what was opened
+    last, and a text must stand in an element below the one that is open there."""
+    held = set(tokens)
+    open_: list[int] = []
+    still: set[int] = set()
+    bad: set[int] = set()
+    good = []
+    for kind, path in tokens:
+        if kind == OPEN and (CLOSE, path) in held:
+            open_.append(path)
+            still.add(path)
+            good.append((kind, path))
+        elif kind == CLOSE and path in still:
+            while open_[-1] != path:
+                bad.add(open_[-1])
+                still.discard(open_.pop())
+            still.discard(open_.pop())
+            good.append((kind, path))
+        elif kind == TEXT:
+            at = parent[kind, path]
+            while open_ and depth.get(at, 0) > depth[open_[-1]]:
+                at = above[at]
+            if not open_ or at == open_[-1]:
+                good.append((kind, path))
+    return [t for t in good if t[0] == TEXT or t[1] not in bad]
+
+
+def _slot(at: int, above: dict[int, int], within: set[int], own: set[int], known: dict[int, int]) -> int:
+    """The innermost of `at` and what is above it that nested classes hold, other than the class's own elements."""
+    passed = []
+    while at and at not in known and (at in own or at not in within):
+        passed.append(at)
+        at = above.get(at, 0)
+    found = known.get(at, at)
+    known.update(dict.fromkeys(passed, found))
+    return found
+
+
+def deduce(tokens: list[dict]) -> Template:
+    """Template of a host from its tokens, those that SUPPORT of its pages hold. An element that so many pages hold stands in
+    elements that as many hold, so paths are whole."""
+    opened = [t for t in tokens if t["kind"] == OPEN]
+    above, tag, depth, chars, heads = ({t["token"]: t[name] for t in opened} for name in ("parent", "tag", "depth", "chars", "heads"))
+    parent = {(t["kind"], t["token"]): t["parent"] for t in tokens}
+    classes: dict[tuple, list[dict]] = defaultdict(list)
     for t in tokens:
-        if "\0" in t:
-            continue
-        if not t.startswith("/"):
-            open_.append(t)
-        elif t[1:] in open_:
-            while open_.pop() != t[1:]:
-                pass
-    return True
-
-
-def slots(page: Page, template: Template) -> list[str]:
-    """The blocks of the main text, in page order."""
-    pieces = [p for p in page.pieces if not p.never]
-    if any(p.article for p in pieces):
-        pieces = [p for p in pieces if p.article]
-    elif template.main:
-        pieces = [p for p in pieces if p.path == template.main or p.path.startswith(template.main + ">")] or pieces
-    return [p.text for p in pieces if not template.boilerplate or text_token(p) not in template.boilerplate]
-
-
-NO_TEMPLATE = Template([], frozenset(), "")
+        classes[t["v1"], t["v2"], t["v3"], t["n_pages"]].append(t)
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    within: set[int] = set()
+    boilerplate: set[int] = set()
+    for members in sorted(classes.values(), key=lambda c: (-c[0]["n_pages"], -len(c), min((t["place"], t["kind"], t["token"]) for t in c))):
+        order = nested([(t["kind"], t["token"]) for t in sorted(members, key=lambda t: (t["place"], t["kind"], t["token"]))], parent, above, depth)
+        own, known = {path for kind, path in order if kind != TEXT}, {}
+        parts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for token in order:
+            parts[_slot(parent[token], above, within, own, known)].append(token)
+        found += parts.items()
+        within |= own
+        if members[0]["n_pages"] > 1:
+            boilerplate.update(path for kind, path in order if kind == TEXT)
+    less: dict[int, int] = defaultdict(int)
+    for t in tokens:
+        if t["kind"] == TEXT and t["token"] in boilerplate:
+            less[t["parent"]] += t["chars"]
+    for path in sorted(chars, key=lambda p: -depth[p]):  # what varies is the rest
+        chars[path] -= less[path]
+        less[above[path]] += less[path]
+    total = max((n for path, n in chars.items() if above[path] not in chars), default=0)
+    inside = [p for p in within if tag[p] in MAIN and total > 0 and chars[p] >= MAIN_SHARE * total]
+    main = max(inside, key=lambda p: (depth[p], chars[p], p), default=None)
+    while main is not None and (up := above[main]) in within and tag[up] in MAIN - {"body"} and chars[up] - heads[up] <= chars[main] - heads[main]:
+        main = up
+    return Template(found, frozenset(boilerplate), main)
+
+
+NO_TEMPLATE = Template([], frozenset(), None)
+
+
+def slots(html: str, template: Template) -> list[str]:
+    """The blocks of the main text, in page order: what the slots in the main container hold, or those of the whole page
+    where it lacks that container. Where one article or main element there holds MAIN_SHARE of the text, the others, such as
+    teasers, are left out; headings around it stay. A page that holds no text but the template's is a copy and keeps it."""
+    pieces = [p for p in parse(html, template.main).pieces if not p.never]
+    if any(p.inside for p in pieces):
+        pieces = [p for p in pieces if p.inside]
+    held: dict[tuple[int, ...], int] = defaultdict(int)
+    for p in pieces:
+        held[p.own[:1]] += len(p.text)
+    if len(held) > 1:
+        most = max(held, key=lambda k: (held[k], k))
+        if most and held[most] >= MAIN_SHARE * sum(held.values()):
+            around = next(p.own for p in pieces if p.own[:1] == most)
+            pieces = [p for p in pieces if p.own[:1] == most or p.heading and p.own and p.own[0] in around]
+    varying = [p for p in pieces if text_token(p.path, p.text) not in template.texts] if template.texts else pieces
+    return [p.text for p in varying or pieces]
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -257,10 +404,11 @@ def with_host(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, tokens): what SUPPORT of a host's pages hold; pages without a token, such as null html, don't count. A host's
     pages are never gathered, only sums over them; what is listed is no longer than a page's tokens divided by SUPPORT."""
-    found = cut(occurrences(pages).groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n_pages").alias("n_pages"), F.sum("place").alias("place"), F.sum("chars").alias("chars")))
-    number = found.where(F.col("token") == PAGE).select("host", F.col("n_pages").alias("pages"))
-    listed = found.where(F.col("token") != PAGE).join(number, "host").where(F.col("n_pages") >= SUPPORT * F.col("pages"))
-    each = F.struct("token", "vector", (F.col("place") / F.col("n_pages")).alias("place"), "chars", "n_pages")
+    sums = [F.sum(c).alias(c) for c in ("v1", "v2", "v3", "n_pages", "place", "chars", "heads")]
+    found = cut(occurrences(pages).groupBy("host", "kind", "token").agg(*sums, F.max("tag").alias("tag"), F.max("parent").alias("parent"), F.max("depth").alias("depth")))
+    number = found.where(F.col("kind") == PAGE).select("host", F.col("n_pages").alias("pages"))
+    listed = found.where(F.col("kind") != PAGE).join(number, "host").where(F.col("n_pages") >= SUPPORT * F.col("pages"))
+    each = F.struct("kind", "token", "v1", "v2", "v3", "n_pages", (F.col("place") / F.col("n_pages")).alias("place"), "tag", "parent", "depth", "chars", "heads")
     return listed.groupBy("host").agg(F.collect_list(each).alias("tokens"))
 
 
@@ -268,12 +416,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages.
 
     Templates of up to BROADCAST_BYTES go to every executor, so that pages aren't shuffled; more are joined by host, where
-    a host with very many pages splits like any skewed join. Null html counts as empty and gives an empty text; rows without a host share a template; repeated rows count as
-    pages of their own and come out as they go in; other columns are dropped, whatever their names.
+    a host with very many pages splits like any skewed join. Null html counts as empty and gives an empty text; rows
+    without a host share a template; repeated rows count as pages of their own and come out as they go in; other columns
+    are dropped, whatever their names.
     """
     base = with_host(pages)
     known = cut(templates(base).withColumnRenamed("host", "_host"))
-    size = known.agg(F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda n, t: n + F.length(t["token"]) + 40))).first()[0] or 0
+    size = known.agg(F.sum(F.size("tokens").cast("bigint") * 100)).first()[0] or 0
     known = F.broadcast(known) if size <= BROADCAST_BYTES else known
     joined = base.join(known, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "host", "tokens")
 
@@ -287,8 +436,8 @@ def extract(pages: DataFrame) -> DataFrame:
                     if len(own) > 1000:
                         own.clear()
                     listed = tokens[k].as_py()
-                    own[host] = deduce([(t["token"], t["vector"], t["place"], t["chars"], t["n_pages"]) for t in listed]) if listed else NO_TEMPLATE
-                out.append("\n".join(slots(parse(html), own[host])))
+                    own[host] = deduce(listed) if listed else NO_TEMPLATE
+                out.append("\n".join(slots(html, own[host])))
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
