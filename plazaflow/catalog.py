@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plazaflow.functions import arrays, dates, markup, numbers, text, urls
@@ -14,20 +13,7 @@ from plazaflow.operators.discover import Profile, State
 from plazaflow.plans import dims, fixtures
 from plazaflow.plans.fixtures import SQL as RP
 from plazaflow.plans.fixtures import feed, now, plans, raw_plans, table, today
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from plazaflow.register import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 #: SQL pieces.
 CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -662,3 +648,6 @@ def event_windows(spark, d):
 
     out = tumbling(table(spark, d, "events"), "1 hour")
     return out.select(F.date_format(F.col("start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+from plazaflow import catalog_functions  # noqa: E402, F401  registers its queries

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,32 +67,30 @@ def search_blob(*parts: Column) -> Column:
     return fold_search(F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts)))
 
 
-#: Named character references that feeds hold.
-ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "ccedil": "ç", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "middot": "·", "laquo": "«", "raquo": "»", "iexcl": "¡", "iquest": "¿", "copy": "©"}
+#: The commonest named character references, looked up first; the others are HTML's own table.
+COMMON = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "©", "middot": "·", "hellip": "…"}
+NAMED = json.dumps({name[:-1]: value for name, value in html5.items() if name.endswith(";")})
 
 
 def _decoded(text: Column) -> Column:
-    out = text
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-        if value.isalpha():
-            out = F.replace(out, F.lit(f"&{name[0].upper()}{name[1:]};"), F.lit(value.upper()))
-    pieces = F.split(out, "&#")
-
-    def decoded(piece: Column) -> Column:
-        digits, hexa = F.regexp_extract(piece, r"^(\d{1,7});", 1), F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+    table = F.from_json(F.lit(NAMED), "map<string,string>")
+    pieces = F.split(text, "&")
+
+    def char(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        digits, hexa = F.regexp_extract(piece, r"^#(\d{1,7});", 1), F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
         code = F.when(digits != "", digits.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
-        return F.when(code.isNotNull() & (code > 0) & (code < 0x110000), F.concat(char, F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", ""))).otherwise(F.concat(F.lit("&#"), piece))
+        common = reduce(lambda a, kv: a.when(name == kv[0], kv[1]), COMMON.items(), F.when(F.lit(False), ""))
+        numbered = F.when((code > 0) & (code < 0x110000), F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32"))
+        return F.when(F.startswith(piece, F.lit("#")), numbered).when(name != "", F.coalesce(common, F.try_element_at(table, name)))
 
-    rest = F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), "")
-    out = F.when(F.contains(out, F.lit("&#")), F.concat(pieces[0], rest)).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    decoded = lambda piece: let(char(piece), lambda c: F.coalesce(F.concat(c, F.regexp_replace(piece, "^[^;]*;", "")), F.concat(F.lit("&"), piece)))
+    return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decoded), ""))
 
 
 def unescape(c: Column | str) -> Column:
-    """Character references decoded once: names above and their capitals, decimal and hexadecimal numbers. A text without
-    an ampersand and a semicolon is taken as it is."""
+    """Character references decoded once: HTML's names, decimal and hexadecimal numbers; all end in a semicolon. A text
+    without an ampersand and a semicolon is taken as it is."""
     return let(col(c), lambda text: F.when(F.contains(text, F.lit("&")) & F.contains(text, F.lit(";")), _decoded(text)).otherwise(text))
 
 
