@@ -80,7 +80,7 @@ class Group:
         np.add.at(whole, np.minimum(starts[1:][fits] - LENGTH + 1, len(least)), -1)
         least = least[np.cumsum(whole)[:-1] > 0]
         at = (least[np.r_[True, least[1:] != least[:-1]]] & LOW).astype(np.int64) if len(least) else np.zeros(0, np.int64)
-        return np.searchsorted(starts, at, "right") - 1 + a, at + base, h[at]
+        return np.searchsorted(starts, at, "right") - 1 + a, at + base, mixed(h[at])  # least hashes are small: spread over buckets anew
 
 
 def _cut(h: np.ndarray, bits: int) -> np.ndarray:
