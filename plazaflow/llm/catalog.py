@@ -38,7 +38,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), bpe.shipped(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, digest=True)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazaflow.llm.common import batches, cut, utf8
-from plazaflow.llm.graph import components
+from plazaflow.llm.graph import components, least_of
 
 RADIUS, SHINGLE, SEED, BITS = 4, 4, 42, 64
 #: Larger buckets are not compared as they are: a second family of masks over the bits not yet looked at divides them.
@@ -75,14 +75,16 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp bigint) of every row; a null text counts as empty."""
+def with_fingerprint(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp bigint) of every row, and further bigint columns; a null text counts as empty."""
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, "text")
+    names = [c for c in read.columns if c != "text"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fingerprints(batch.column("text")).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fingerprints(batch.column("text")).view(np.int64))], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return read.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "fp"]))
 
 
 def _forest(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -150,20 +152,25 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition("key").select("at", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _reached(marked: DataFrame) -> DataFrame:
+    """marked (doc_id, fp, ...) with component_id. Rows that share an id are one vertex."""
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    shared = marked.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+    same = marked.join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("fp").alias("b"))
+    roots = components(links(distinct.select("fp")).unionByName(same))
+    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return marked.join(least_of(classes, "root", "first", "component_id").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of at most RADIUS differing bits reach from each document.
 
     Null and empty texts have fingerprint 0 and link like any other. A null doc_id reaches like any other row, and its own
-    component may be null where no row of it has an id. Repeated rows come out as they go in. Columns other than doc_id
-    and text are ignored. Links run between distinct fingerprints, so a group of copies counts once whatever its size.
+    component may be null where no row of it has an id. Rows that share an id are one vertex; repeated rows come out as
+    they go in. Columns other than doc_id and text are ignored. Links run between distinct fingerprints, so a group of
+    copies counts once whatever its size.
     """
-    marked = cut(with_fingerprint(docs))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp")))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(ids, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _reached(cut(with_fingerprint(docs))).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -172,6 +179,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs, one row of each group: the one whose doc_id is the component's id. Rows without an id stay."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs.doc_id == keep._kept_id, "left").where(F.col("_kept_id").isNotNull() | docs.doc_id.isNull()).drop("_kept_id")
+    """docs, one row of each group, whole: that with the smallest doc_id (rows without an id only where a group has none),
+    of rows that share it the one whose text has the least hash, and of rows that repeat id and text one of them.
+
+    Columns may have any names. docs is shuffled once, by id and text; what is joined is an id and a hash a group.
+    """
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("t"))
+    marked = with_fingerprint(docs, text_key.alias("text_key"))
+    keep = _reached(cut(marked)).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.i").alias("doc_id"), F.col("p.t").alias("text_key")).distinct()
+    columns, keys = docs.columns, ["n", "i", "t"]
+    at = lambda i, t: [i.isNull().alias("n"), F.coalesce(i, F.lit(0)).alias("i"), t.alias("t")]
+    once = docs.select(*at(F.col("doc_id"), text_key), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).groupBy(*keys).agg(F.first("row").alias("row"))
+    return once.join(keep.select(*at(F.col("doc_id"), F.col("text_key"))), keys, "left_semi").select(*(F.col(f"row.`{c}`") for c in columns))
