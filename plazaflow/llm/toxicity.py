@@ -1,13 +1,15 @@
 """Toxicity by boosted trees over dense features, with isotonic calibration.
 
-A lexicon is learned from a bounded labelled sample: words, and beginnings of words, that stand out in toxic texts by
-Dunning's log-likelihood ratio. The trees are grown on two thirds of the sample and calibrated on the rest; there, the
-features of either half come from the lexicon of the other half, so no tree sees a text through a lexicon that the text
-shaped. Scoring maps every whole text to some twenty rates by the whole sample's lexicon.
+A lexicon is learned from two thirds of a bounded labelled sample: words, and beginnings of words, that stand out in toxic
+texts by Dunning's log-likelihood ratio. The trees are grown on these two thirds; there, the features of either half come
+from the lexicon of the other half, so no tree sees a text through a lexicon that the text shaped. The last third, which
+neither the lexicon nor the trees have seen, calibrates them on the features that scoring uses, those by the whole lexicon.
+Scoring maps every whole text to some twenty rates.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazaflow.llm.boosting import Boosted, calibrated, fit_isotonic, fit_trees
-from plazaflow.llm.common import batches, held_out, texts
+from plazaflow.llm.common import batches, cut, held_out, texts
 from plazaflow.llm.labelled import labelled_sample
 
 #: Labelled rows that are learned from, at most.
@@ -56,15 +58,12 @@ def units(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)] if len(word) > 2 else []
 
 
-def log_ratio(n1, n0, all1, all0):
+def log_ratio(n1: Column, n0: Column, all1: float, all0: float) -> Column:
     """Dunning's G2 of being in n1 of all1 toxic and n0 of all0 other texts."""
-    def part(n, expected):
-        return np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / expected), 0.0)
-
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
     share = (n1 + n0) / (all1 + all0)
-    miss = np.maximum(1 - share, 1e-12)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 2 * (part(n1, all1 * share) + part(n0, all0 * share) + part(all1 - n1, all1 * miss) + part(all0 - n0, all0 * miss))
+    miss = F.greatest(1 - share, F.lit(1e-12))
+    return 2 * (part(n1, all1 * share) + part(n0, all0 * share) + part(all1 - n1, all1 * miss) + part(all0 - n0, all0 * miss))
 
 
 def least_ratio(all1: float) -> float:
@@ -92,25 +91,19 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
             yield pa.RecordBatch.from_arrays([pa.array(every), *(pa.array([c[u] for u in every], pa.int64()) for c in found)], ["unit", *names])
 
     counts = once.select("text", "label", "half").mapInArrow(count, "unit string, " + ", ".join(f"{n} bigint" for n in names)).groupBy("unit").agg(*(F.sum(n).alias(n) for n in names))
-    toxic, other = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
-    ranked = counts.where((toxic >= LEAST_TEXTS) | (F.col("unit") == "")).orderBy((F.col("unit") == "").desc(), (toxic / (other + 1)).desc(), toxic.desc(), "unit")
-    found = ranked.limit(10 * ENTRIES).toPandas()
-    total = found[found.unit == ""]
-    found = found[found.unit != ""]
-    numbers = {n: found[n].to_numpy(float) for n in names}
-    everywhere = {n: float(total[n].sum()) for n in names}
+    counts = cut(counts.where((F.col("n01") + F.col("n11") >= LEAST_TEXTS) | (F.col("unit") == "")))
+    total = counts.where("unit = ''").first()
     out = []
     for halves in ((0,), (1,), (0, 1)):
-        n0, n1 = (sum(numbers[f"n{h}{label}"] for h in halves) for label in (0, 1))
-        all0, all1 = (sum(everywhere[f"n{h}{label}"] for h in halves) for label in (0, 1))
-        if not len(found) or not all0 or not all1:
+        all0, all1 = (float(sum(total[f"n{h}{label}"] for h in halves)) if total else 0.0 for label in (0, 1))
+        if not all0 or not all1:
             out.append({})
             continue
+        n0, n1 = (sum((F.col(f"n{h}{label}") for h in halves), F.lit(0)) for label in (0, 1))
         odds = (n1 + 0.5) / (all1 + 1) / ((n0 + 0.5) / (all0 + 1))
-        g2 = log_ratio(n1, n0, all1, all0)
-        rank = np.lexsort((found.unit.to_numpy(str), -g2))
-        chosen = [i for i in rank if n1[i] >= LEAST_TEXTS and g2[i] >= least_ratio(all1) and odds[i] >= LEAST_ODDS][:ENTRIES]
-        out.append({found.unit.iloc[i]: float(np.log(odds[i])) for i in chosen})
+        rated = counts.where("unit <> ''").select("unit", n1.alias("n1"), log_ratio(n1, n0, all1, all0).alias("g2"), odds.alias("odds"))
+        chosen = rated.where((F.col("n1") >= LEAST_TEXTS) & (F.col("g2") >= least_ratio(all1)) & (F.col("odds") >= LEAST_ODDS))
+        out.append({r.unit: math.log(r.odds) for r in chosen.orderBy(F.desc("g2"), "unit").limit(ENTRIES).collect()})
     return out
 
 
@@ -170,7 +163,7 @@ class Features:
         hits = len(hit)
         weights = np.maximum(facts[hit, WEIGHT], facts[hit, HIDDEN]) if hits else np.zeros(1)
         hidden = int((facts[:, HIDDEN] > 0).sum())
-        return [float(hits), hits / n, float(weights.sum()) / n, float(weights.max()), float(len(np.unique(at[hit]))), float(hidden), hidden / n, float(near), near / n, total[PERSON] / n, total[CAPS] / n, total[CAPITAL] / n, total[MARKS] / n, total[EXCLAIM] / n, total[MIXED] / n, total[DRAWN] / n, total[LETTERS] / n, float(spelled), float(min(n, 1000))]
+        return [float(hits), hits / n, float(weights.sum()) / n, float(weights.max()), float(len(np.unique(at[hit]))), float(hidden), hidden / n, float(near), near / n, total[PERSON] / n, total[CAPS] / n, total[CAPITAL] / n, total[MARKS] / n, total[EXCLAIM] / n, total[MIXED] / n, total[DRAWN] / n, total[LETTERS] / n, float(spelled), float(np.log1p(n))]
 
 
 @dataclass
@@ -190,15 +183,16 @@ def feature_rows(source: Iterator[pa.RecordBatch], lexicon: dict[str, float]) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE) -> Model:
-    """A model from at most `most` labelled rows that may be learned from. With none of either label it says their share."""
+    """A model from at most `most` labelled rows that may be learned from. With none of either label it says their share.
+    Where a sample is so small that its last third lacks a label, the trees are grown and calibrated on all of it."""
     hashed = F.xxhash64("doc_id", F.lit(1))
     sample = labelled_sample(docs, labels, column, most).withColumns({"half": F.pmod(hashed, F.lit(2)), "fold": F.pmod(F.shiftright(hashed, 8), F.lit(3))})
-    *halves, lexicon = learn_lexicons(sample)
+    *halves, lexicon = learn_lexicons(sample.where("fold < 2"))
 
     def features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others = [Features(halves[1]), Features(halves[0])]
+        by = [Features(halves[1]), Features(halves[0]), Features(lexicon)]
         for batch in batches(source, "text"):
-            rows = [others[half].row(t) for t, half in zip(texts(batch.column("text")), batch.column("half").to_pylist())]
+            rows = [by[2 if fold == 2 else half].row(t) for t, half, fold in zip(texts(batch.column("text")), batch.column("half").to_pylist(), batch.column("fold").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), batch.column("fold"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "fold", "x"])
 
     rest = sample.mapInArrow(features, "doc_id bigint, label int, fold bigint, x array<double>").toPandas()
@@ -208,9 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
         share = float(y.mean()) if len(y) else 0.0
         return Model(lexicon, Boosted([], 0.0), (np.zeros(1), np.array([share])))
     hold = (rest.fold == 2).to_numpy()
-    fit, rest_of = (~hold, hold) if 0 < y[hold].sum() < hold.sum() and 0 < y[~hold].sum() < (~hold).sum() else (np.ones(len(y), bool),) * 2
-    trees = fit_trees(x[fit], y[fit])
-    return Model(lexicon, trees, fit_isotonic(trees.raw(x[rest_of]), y[rest_of]))
+    both = 0 < y[hold].sum() < hold.sum() and 0 < y[~hold].sum() < (~hold).sum()
+    grown, level = (~hold, hold) if both else (np.ones(len(y), bool),) * 2
+    trees = fit_trees(x[grown], y[grown])
+    return Model(lexicon, trees, fit_isotonic(trees.raw(x[level]), y[level]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
