@@ -13,13 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plazaflow.llm.boosting import sigmoid
 from plazaflow.llm.common import batches, held_out, utf8
 from plazaflow.llm.labelled import labelled_sample
 
-#: Labelled rows that are learned from, at most, and blocks of each (spread evenly over a longer text).
-SAMPLE, SAMPLE_BLOCKS = 6000, 48
+#: Labelled rows that are learned from, at most, each by its whole text; rows of longer texts are not among them.
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 10
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 8, 24
 #: A chunk is two neighbouring blocks, so chunks overlap by half. PAD is the embedding's row past a text's end.
 BLOCK, PAD = 256, 256
@@ -155,25 +156,25 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
-def sampled_blocks(raw: np.ndarray, starts: np.ndarray, most: int = SAMPLE_BLOCKS) -> Iterator[np.ndarray]:
-    """Each text's blocks with the bytes that follow them, evenly spread ones if there are more than `most`."""
+def text_blocks(raw: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Each text's blocks with the bytes that follow them."""
     buffer, first = laid_out(raw, starts)
     for a, b in zip(first[:-1], first[1:]):
-        chosen = np.unique(np.linspace(a, b - 1, min(most, b - a)).astype(np.int64))
-        blocks = buffer[chosen[:, None] * BLOCK + np.arange(BLOCK + WIDTH)]
-        blocks[-1, BLOCK:] = PAD  # the last block is always among them
+        blocks = buffer[np.arange(a, b)[:, None] * BLOCK + np.arange(BLOCK + WIDTH)]
+        blocks[-1, BLOCK:] = PAD
         yield blocks
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Network:
-    """A network from at most `most` labelled rows that may be learned from. With none of either label it says their share."""
+    """A network from the whole texts, of up to SAMPLE_BYTES, of at most `most` labelled rows that may be learned from. With
+    none of either label it says their share."""
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "text"):
-            rows = [b.astype(np.int16).tobytes() for b in sampled_blocks(*utf8(batch.column("text")))]
+            rows = [b.astype(np.int16).tobytes() for b in text_blocks(*utf8(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "blocks"])
 
-    rows = labelled_sample(docs, labels, column, most).mapInArrow(cut, "doc_id bigint, label int, blocks binary").toPandas()
+    rows = labelled_sample(docs, labels, column, most).where(F.octet_length("text") <= SAMPLE_BYTES).mapInArrow(cut, "doc_id bigint, label int, blocks binary").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     y = (rows.label.to_numpy() > 0).astype(np.float32)
     if not len(y) or y.min() == y.max():
