@@ -52,7 +52,7 @@ _KEY_BODY = rf"(?:(?:(?!-----BEGIN\x20)[\s\S])*?-----END\x20\1PRIVATE\x20KEY----
 MORE = (
     Rule("temporary", r"ASIA[A-Z0-9]+", 20),
     Rule("private_key", r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----" + _KEY_BODY),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
