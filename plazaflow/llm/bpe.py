@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,7 +13,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from plazaflow.llm.common import batches, texts
 
@@ -144,6 +145,12 @@ def codec(path: str, pattern: str) -> Codec:
         return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """The driver's file at `path`, as encode() takes it, sent to all executors."""
+    spark.sparkContext.addFile(path)
+    return "files:" + os.path.basename(path)
+
+
 def little(ids: array) -> bytes:
     """The ids as little-endian unsigned 32-bit integers."""
     if array("I", [1]).tobytes()[0] != 1:

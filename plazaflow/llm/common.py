@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """name, lengthened until no frame has such a column in any case."""
     taken = {c.lower() for df in frames for c in df.columns}
