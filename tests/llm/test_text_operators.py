@@ -4,13 +4,15 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from plazaflow.llm import bpe, decontaminate, quality, secrets, sentences, simhash, substrings, toxicity
+from plazaflow.llm import boosting, bpe, decontaminate, quality, secrets, sentences, simhash, substrings, toxicity
 from plazaflow.llm.common import table, utf8
 from plazaflow.llm.suffixes import equal_runs, suffix_order
 
@@ -101,6 +103,23 @@ def test_private_keys_go_whole(spark):
     assert found[6] == [(0, len(made[6][0]))] and len(found[2]) == 2
 
 
+def test_added_rules_match_a_full_scan():
+    """Every rule's spans, found by postings, are those of its expression run over every text."""
+    r = random.Random(5)
+    bits = ["AKIA" + "A" * 16, "ASIA" + "B7" * 8, "eyJ" + "a" * 9, "eyJhbGci.eyJzdWIi.c2ln", "eyJa.eyJb", "x-eyJa.eyJb.c", ".", "-", " ", "ghp_" + "k" * 36, "gho_short", "xoxb-" + "1" * 20, "AIza" + "z" * 35, "sk_live_" + "q" * 24, "rk_live_q", "password: hunter22", "é", "\n", "0123456789abcdef" * 2, "-----BEGIN PRIVATE KEY-----"]
+    made = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(400)]
+    found = secrets.Scanner().scan(pa.array(made))
+    assert found == [sorted((a, k, b) for k, rule in enumerate(secrets.RULES) for a, b in secrets.spans(t, rule, rule.compiled())) for t in made]
+    assert {k for each in found for _, k, _ in each} == set(range(len(secrets.RULES)))
+
+
+def test_rules_are_linear():
+    began = time.perf_counter()
+    for piece in ("eyJ", "eyJ.", "AKIA", "xoxb-", "ghp_", "token ", "password=", "-----BEGIN PRIVATE KEY-----\n", "a" * 64 + "\n"):
+        secrets.Scanner().scan(pa.array([piece * (400_000 // len(piece))]))
+    assert time.perf_counter() - began < 20
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is None
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
@@ -141,7 +160,18 @@ def test_simhash_components(docs, odd):
     got = rows(simhash.report(odd).select("doc_id", "component_id"))
     assert got == [(1, 1), (2, 1), (5, 5), (5, 5), (6, 6), (None, 5)]
     assert not simhash.report(odd.limit(0)).collect()
-    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(odd).collect()) == ["1", "5", "5", "6", "None"]
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(odd).collect()) == ["1", "5", "6"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = "many words that make up a text of some length so that single words count little"
+    made = [(5, long, "a"), (5, long, "a"), (5, "quite another text that shares its id with the first and nothing else at all", "b"), (None, long, "c"), (9, long.upper(), "d"), (None, "nobody else has words like these ones here today", "e"), (None, "nobody else has words like these ones here today", "f")]
+    df = spark.createDataFrame(made, "doc_id long, text string, _kept_id string").withColumn("n", F.lit(1)).withColumn("a.b", F.lit(2))
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    got = out.select("doc_id", "text").collect()
+    assert len(got) == 2 and {r.doc_id for r in got} == {5, None}
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()} == {(5, 5), (None, 5), (9, 5), (None, None)}
 
 
 def test_covering_masks_miss_nothing():
@@ -233,6 +263,12 @@ def spans_removed(every):
                 if n >= sentences.WORDS and j - i + 1 >= sentences.SENTENCES:
                     yield i, j
                     break
+            n = 0
+            for j in range(i, -1, -1):
+                n += len(words[j])
+                if n >= sentences.WORDS and i - j + 1 >= sentences.SENTENCES:
+                    yield j, i
+                    break
 
     keyed = {(i, t or "") for i, t in every if i is not None}
     hashed = {k: xxhash.xxh64_intdigest(k[1].encode(), 42) for k in keyed}
@@ -249,7 +285,17 @@ def spans_removed(every):
     return {k: (len(found[k]), len(gone[k])) for k in keyed}
 
 
-def test_sentences_match_brute_force(docs, odd, spark):
+def test_copies_lose_short_last_sentences(spark):
+    words = lambda n, c: " ".join(c + str(k) for k in range(n)) + "."
+    text = " ".join([words(20, "a"), words(15, "b"), words(3, "c"), words(4, "d")])
+    df = spark.createDataFrame([(1, text), (2, text), (3, "Alone here. " + text), (3, "Alone here. " + text)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_sentences, r.n_removed_sentences) for r in sentences.dedup(df, digest=True).collect()}
+    assert got == {1: (4, 0), 2: (4, 4), 3: (5, 4)}
+
+
+@pytest.mark.parametrize("held", [1 << 19, 7])
+def test_sentences_match_brute_force(docs, odd, spark, monkeypatch, held):
+    monkeypatch.setattr(sentences, "HELD", held)
     r = random.Random(4)
     pool = [" ".join(r.choice("lorem ipsum dolor sit amet".split()) + str(r.randint(0, 9)) for _ in range(r.randint(1, 35))) + r.choice([".", "!", "?", "\n"]) for _ in range(40)]
     made = [(i, "  " + " ".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for i in range(40)]
@@ -336,6 +382,91 @@ def test_leaks_on_documents(spark, docs, sf_dir, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == found
 
 
+def test_leaks_of_any_width(spark, monkeypatch):
+    items = ["Then Anna Bell Carla Dunn Edgar Fox Greta Hill Iris Jones Karl met there", "Compute 12 34 56 78", "Convert 5 km 30 m 20 cm", "天地玄黄 宇宙洪荒 日月盈昃", "天地玄黄宇宙洪荒日月盈昃", "what is this long item about, one may ask, and who would know it at all?"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string").withColumn("doc_id", F.lit(7)).withColumn("h", F.lit("x"))
+    docs = spark.createDataFrame([(i, f"Some words before. {t} and words behind.") for i, t in enumerate(items, 1)], "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("_leak_doc", F.lit(1))
+    expected = {(i, i) for i in range(1, len(items) + 1)}
+    for sifted in (decontaminate.SIFTED, 0):
+        monkeypatch.setattr(decontaminate, "SIFTED", sifted)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == expected
+        out = decontaminate.decontaminate(docs, bench)
+        assert out.columns == docs.columns and not out.collect()
+
+
+def read_plainly(text, reading):
+    """Template of a text by a plain reading of the rules: (kind, token, word) of every token; readings as in the operator."""
+    out, previous, end = [], None, 0
+    for m in re.finditer("[A-Za-z0-9À-ÖØ-öø-ÿ]+", text):
+        word, low = m[0], m[0].lower()
+        capital = lambda c: c.isupper()
+        number = word[0].isdigit() and word[0].isascii()
+        proper = not number and capital(word[0]) and len(word.encode()) > 1 and not (len(word) > 1 and capital(word[1]))
+        opens = previous is None or bool(re.search("[.!?:\n]", text[end : m.start()]))
+        name = proper and (reading == 1 or reading == 0 and not opens)
+        kind = "exact" if reading == 3 else "number" if number else "name" if name else "unit" if previous == "number" and low in decontaminate.UNITS else "word"
+        if not (kind == previous == "name"):
+            out.append((kind, low if kind in ("word", "exact") else kind, low))
+        previous, end = "number" if number else kind, m.end()
+    return out
+
+
+def opening(text, at_start):
+    """Whether a text has names that open sentences, or others."""
+    return any((kind != other) for (kind, *_), (other, *_) in zip(read_plainly(text, 1 if at_start else 0), read_plainly(text, 0 if at_start else 2))) or len(read_plainly(text, 1 if at_start else 0)) != len(read_plainly(text, 0 if at_start else 2))
+
+
+def leaks_plainly(docs, items):
+    def cut_up(tokens, width):
+        for k in range(len(tokens) - width + 1):
+            run = tokens[k : k + width]
+            if sum(kind in ("word", "exact") for kind, *_ in run) >= (3 if width == 5 else 1):
+                yield k, tuple(t for _, t, _ in run), [w for kind, _, w in run if kind not in ("word", "exact")]
+
+    found = set()
+    for item, text in items:
+        usual = False
+        done = set()
+        for reading in range(4):
+            tokens = read_plainly(text, reading)
+            width = min(5, len(tokens))
+            if not tokens or reading == 1 and (width < 5 or not opening(text, True)) or reading == 2 and not opening(text, False) or reading == 3 and usual:
+                continue
+            own = list(cut_up(tokens, width))
+            usual |= reading == 0 and bool(own)
+            for doc, body in docs:
+                shifts = {}
+                for k, run, slots in cut_up(read_plainly(body, reading), width):
+                    for j, other, values in own:
+                        if run == other:
+                            shifts.setdefault(k - j, []).append((j, list(zip(values, slots))))
+                places = set()
+                for met in shifts.values():
+                    pairs = {p for _, each in met for p in each}
+                    if len({i for i, _ in pairs}) == len(pairs):
+                        places |= {j for j, _ in met}
+                if own and len(places) >= 0.5 * len(own) and (doc, item) not in done:
+                    done.add((doc, item))
+        found |= done
+    return found
+
+
+@pytest.mark.parametrize("sifted", [1_000_000, 0])
+def test_leaks_match_plain_templates(spark, monkeypatch, sifted):
+    monkeypatch.setattr(decontaminate, "SIFTED", sifted)
+    r = random.Random(12)
+    pool = "the a train leaves for how many and who buys sells pears km m 3 12 450 Anna Boris Lyon Élan Él. Paris? then: costs 7 euros".split()
+    text = lambda n: " ".join(r.choice(pool) for _ in range(n))
+    items = [(i, text(r.randint(1, 14))) for i in range(40)]
+    docs = []
+    for i in range(120):
+        base = r.choice(items)[1].split()
+        swap = {w: r.choice(pool) for w in r.sample(pool, 3)}
+        docs.append((i, text(r.randint(0, 6)) + " " + " ".join(swap.get(w, w) if i % 3 else w for w in base) + " " + text(r.randint(0, 6))))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == leaks_plainly(docs, items)
+
+
 def test_template_tokens():
     raw, starts = utf8(pa.array(["The train from Paris goes 120 km in 3 hours, said Anna Smith.", "Él vive. ÉL tiene 5 €", "", "“Ok” it’s a—b"]))
     row, kind, _, _ = decontaminate.template(raw, starts)
@@ -371,10 +502,83 @@ def test_classifiers_on_odd_tables(spark, odd, operator):
     assert not operator(odd.limit(0), one).collect()
 
 
+def test_isotonic_is_the_best_monotone_fit():
+    """Against the min-max formula: the fit at a place is the least over ends behind of the greatest mean from before."""
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        x, y = np.sort(r.random(r.integers(1, 25))), r.integers(0, 2, 25).astype(float)
+        y = y[: len(x)]
+        best = [max(min(y[a : b + 1].mean() for b in range(i, len(x))) for a in range(i + 1)) for i in range(len(x))]
+        at, level = boosting.fit_isotonic(x, y)
+        assert (np.diff(level) > 0).all() and sorted(set(np.round(best, 9))) == np.round(level, 9).tolist()
+        assert np.allclose(boosting.calibrated(at, (at, level)), level)
+        assert boosting.calibrated(np.array([x[0] - 9, x[-1] + 9]), (at, level)).tolist() == [level[0], level[-1]]
+
+
+def test_trees_match_plain_boosting():
+    r = np.random.default_rng(4)
+    x = r.random((120, 3)).round(1)
+    y = (x[:, 0] + 0.3 * r.random(120) > 0.7).astype(float)
+    model = boosting.fit_trees(x, y, trees=3, depth=2, bins=64)
+
+    def grow(rows, g, h, depth):
+        value = 0.15 * g[rows].sum() / (h[rows].sum() + 2.0)
+        best = (1e-6, None)
+        if depth and len(rows) >= 16:
+            for j in range(3):
+                for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 64)[1:-1])):
+                    left, right = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+                    if min(len(left), len(right)) < 8:
+                        continue
+                    part = lambda k: g[k].sum() ** 2 / (h[k].sum() + 2.0)
+                    gain = part(left) + part(right) - part(rows)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (j, cut, left, right))
+        if best[1] is None:
+            return {int(k): value for k in rows}
+        _, _, left, right = best[1]
+        return grow(left, g, h, depth - 1) | grow(right, g, h, depth - 1)
+
+    score = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-score))
+        leaf = grow(np.arange(len(y)), y - p, p * (1 - p), 2)
+        score = score + np.array([leaf[k] for k in range(len(y))])
+    assert np.allclose(model.raw(x), score)
+
+
+def test_toxic_features_by_hand():
+    lexicon = {"troll": 2.0, "idiot-": 1.0}
+    row = dict(zip(toxicity.NAMES, toxicity.Features(lexicon).row("You TROLL! idiotic 1d1ots trooooll a b c")))
+    assert row["hits"] == 4 and row["hidden"] == 2 and row["top_weight"] == 2.0 and row["distinct"] == 4
+    assert row["near_person"] == 4 and row["person_rate"] == 1 / 8 and row["caps_rate"] == 1 / 8 and row["exclaim_rate"] == 1 / 8
+    assert row["drawn_rate"] == 1 / 8 and row["mixed_rate"] == 1 / 8 and row["words"] == np.log1p(8)
+
+
+def test_network_score_by_hand():
+    """One score against loops over windows, blocks and chunks of the whole text."""
+    net, r = quality.fresh(), np.random.default_rng(1)
+    net.embed[quality.PAD] = r.random(quality.DIM)
+    for size in (0, 3, 247, 248, 249, 256, 1000):
+        data = [*r.integers(97, 123, size).tolist()]
+        blocks = (size + quality.WIDTH + quality.BLOCK - 1) // quality.BLOCK
+        data += [quality.PAD] * (blocks * quality.BLOCK - size)
+        top = []
+        for b in range(blocks):
+            seen = [data[k : k + quality.WIDTH] for k in range(b * quality.BLOCK, (b + 1) * quality.BLOCK, quality.STRIDE)]
+            seen = [w for w in seen if len(w) == quality.WIDTH]
+            top.append(np.max([np.maximum(net.embed[w].reshape(-1) @ net.filters + net.bias, 0) for w in seen], 0))
+        chunks = [np.maximum(a, b) for a, b in zip(top, top[1:])] or top
+        vector = np.concatenate([np.max(top, 0), np.mean(chunks, 0)])
+        plain = 1 / (1 + np.exp(-(vector @ net.out + net.start[0])))
+        text = bytes(data[:size]).decode()
+        assert abs(quality.probabilities(net, pa.array([text]))[0] - plain) < 1e-5
+
+
 def test_network_gradients():
     net, r = quality.fresh(), np.random.default_rng(0)
     raw = r.integers(97, 123, 3000).astype(np.uint8)
-    blocks = list(quality.sampled_blocks(raw, np.array([0, 0, 100, 1500, 3000])))
+    blocks = list(quality.text_blocks(raw, np.array([0, 0, 100, 1500, 3000])))
     for name in ("embed", "filters", "bias", "out", "start"):
         setattr(net, name, getattr(net, name).astype(np.float64))
     first = np.r_[0, np.cumsum([len(b) for b in blocks])]

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -33,11 +34,15 @@ def test_embeddings_match_brute_force(spark, sf_dir, monkeypatch):
     df = table(spark, sf_dir, "embeddings")
     rows = [(r.vec_id, list(r.embedding), r.label) for r in df.select("vec_id", "embedding", "label").collect()]
     assert result(df) == brute(rows)
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "BLOCK_NUMBERS", 16 * 64)
+    monkeypatch.setattr(embeddings, "TILE", 5)
     assert result(df) == brute(rows)
 
 
 def test_odd_vectors(spark):
+    shared = [(1, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (9, [0.0, 1.0], 1), (7, [0.6, 0.8], 1)]
+    df = spark.createDataFrame(shared, "vec_id long, embedding array<float>, label int")
+    assert result(df) == [(False, 1, 1, 1), (False, 5, 1, 1), (False, 5, 1, 1), (False, 7, 0, 7), (False, 9, 1, 1)]
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (4, [1.0, float("nan")], 1), (5, [2.0, 4.0], 1), (6, [1.0, 2.0], None), (7, [1.0, 2.0, 0.0], 1), (9, [1.0, None], 1), (10, [float("inf"), 1.0], 1), (11, [-1.0, -2.0], 1), (12, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("block", F.lit(1))
     assert result(df) == brute(rows)
@@ -99,6 +104,74 @@ def test_template_survives_odd_pages(spark):
     assert got[12] == got[13] == "" and got[14] == "Error 500"
 
 
+def told(spark, rows, columns="page_id long, url string, html string"):
+    return {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, columns)).collect()}
+
+
+def test_template_of_hosts_of_any_size(spark):
+    page = "<html><body><div class=x><p>Story number {k} is about {n} things and goes on for quite a while.</p><p>Share this on paper</p></div><div class=y>Short {k}</div></body></html>"
+    for number in (2, 3, 4, 6):
+        got = told(spark, [(k, f"http://h/{k}", page.format(k=k, n=k * 7)) for k in range(number)])
+        assert got == {k: f"Story number {k} is about {k * 7} things and goes on for quite a while." for k in range(number)}
+        empty = ["\n".join(pages.slots(page.format(k=k, n=k * 7), pages.NO_TEMPLATE)) for k in range(number)]
+        assert all(e != got[k] for k, e in enumerate(empty))  # without a template it can't be told
+
+
+def test_main_text_is_not_what_names_say(spark):
+    long = "A long paragraph {k} with plenty of words about matters of some weight, as articles have."
+    page = "<body><div class=teasers><article class=card>Teaser {k}</article><article class=card>Other {k}</article></div><div class=story><h1>Head {k}</h1><div class=text><p>" + long + "</p><p class='share-prices'>Share prices rose {k}.</p><section class='related-work'><p>Related work {k}.</p></section><div class='share-buttons'>Tell {k}</div></div></div></body>"
+    got = told(spark, [(k, f"http://h/{k}", page.format(k=k)) for k in range(5)])
+    assert got[3] == f"Head 3\n{long.format(k=3)}\nShare prices rose 3.\nRelated work 3."
+    two = "<body><main><h1>Head {k}</h1><article><p>" + long + "</p></article><article>Teaser {k}</article></main></body>"
+    assert told(spark, [(k, f"http://h/{k}", two.format(k=k)) for k in range(3)])[1] == f"Head 1\n{long.format(k=1)}"
+    copies = told(spark, [(k, f"http://h/{k}", "<body><div><p>The same text on either page, a copy.</p></div></body>") for k in range(2)])
+    assert set(copies.values()) == {"The same text on either page, a copy."}
+
+
+def test_classes_are_nested():
+    parent = {(k, p): a for p, a in ((1, 0), (2, 1), (3, 1)) for k in (pages.OPEN, pages.CLOSE)} | {(pages.TEXT, 9): 2}
+    above, depth = {1: 0, 2: 1, 3: 1}, {1: 1, 2: 2, 3: 2}
+    O, C, T = pages.OPEN, pages.CLOSE, pages.TEXT  # noqa: E741
+    whole = [(O, 1), (O, 2), (T, 9), (C, 2), (O, 3), (C, 3), (C, 1)]
+    assert pages.nested(whole, parent, above, depth) == whole
+    crossed = [(O, 1), (O, 2), (O, 3), (T, 9), (C, 2), (C, 3), (C, 1)]  # 3 isn't closed where 2 is, and no place for a text of 2
+    assert pages.nested(crossed, parent, above, depth) == [(O, 1), (O, 2), (C, 2), (C, 1)]
+    token = lambda kind, path, place, n, v, **more: {"kind": kind, "token": path, "v1": v, "v2": 0, "v3": 0, "n_pages": n, "place": place, "tag": "div" if kind == O else None, "parent": parent[kind, path], "depth": depth.get(path, 0), "chars": 0, "heads": 0} | more
+    found = pages.deduce([token(O, 1, 0.0, 9, 1, chars=90), token(C, 1, 9.0, 9, 1), token(O, 2, 1.0, 8, 2, chars=80), token(C, 2, 3.0, 8, 2), token(T, 9, 2.0, 8, 2, chars=10), token(O, 3, 4.0, 9, 3), token(C, 3, 5.0, 9, 3)])
+    assert sorted(found.classes) == [(0, [(O, 1), (C, 1)]), (1, [(O, 2), (T, 9), (C, 2)]), (1, [(O, 3), (C, 3)])]
+    assert found.texts == {9} and found.main == 2
+
+
+def test_hostile_pages_take_linear_time(spark):
+    made = ["<a b='c " * 130_000, "<a b='c " * 130_000 + ">", "<div>" * 100_000, "<div>x" * 50_000, "<b>" * 100_000 + "<p>x" * 1000, "<" * 500_000, "<li><p>x" * 50_000, "<!--" * 100_000, "</b>" * 100_000]
+    began = time.perf_counter()
+    for html_ in made:
+        pages.slots(html_, pages.deduce([{"kind": k, "token": t, "v1": f.count, "v2": 0, "v3": 0, "n_pages": 1, "place": float(f.place), "tag": f.tag or None, "parent": f.parent, "depth": f.depth, "chars": f.chars, "heads": f.heads} for (k, t), f in pages.parse(html_).tokens.items()]))
+    assert time.perf_counter() - began < 60
+    extra = spark.createDataFrame([(1, "http://h/1", "<p>x</p>", "a", 2, "t")], "page_id long, url string, html string, host string, page_key int, tokens string")
+    assert [tuple(r) for r in pages.extract(extra).collect()] == [(1, "http://h/1", "x", 1)]
+
+
+def test_pipeline_on_odd_documents(spark, sf_dir, tmp_path):
+    """Nulls, empty texts, repeated rows and columns whose names clash with what stages use inside."""
+    docs = table(spark, sf_dir, "documents")
+    names = ", ".join(f"{n} {t}" for n, t in docs.dtypes) + ", _leak_doc string, i int, row int, text_key int"
+    long = "plain words that say something and go on for a while so that shingles are there to count in this text"
+    rows = [(None, None), (1, None), (2, ""), (3, long), (3, long), (4, long), (None, long), (5, "word " * 60_000), (6, "ñ" * 300)]
+    odd = spark.createDataFrame([(i, t, "en", "x", None, "a", 1, 2, 3) for i, t in rows], names)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf_dir)
+        got = out.collect()
+        assert name == "byte_level_bpe" or out.columns == odd.columns
+        if name == "quality_classifier":
+            assert {(r.doc_id, r.text) for r in got} <= set(rows)
+        elif name == "simhash_near_dedup":  # 1, 2 and the null text are one group: no shingle
+            assert sorted((r.doc_id, r.text is None) for r in got) == [(1, True), (3, False), (5, False), (6, False)]
+        else:
+            assert len(got) == len(rows)
+        assert not stage(spark, odd.limit(0), sf_dir).collect()
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kept = docs
