@@ -259,7 +259,7 @@ def schedule_labels(spark, d):
         F.when(k % 4 == 1, none).otherwise(at).alias("primary"),
         end.alias("end"),
         (k % 4 == 0).alias("ongoing"),
-        F.when(k % 4 == 2, said(at.cast("date").cast("string"), "T20:30:00+01:00")).alias("time_source"),
+        F.when(k % 4 == 2, said(at.cast("date").cast("string"), "T20:30:00")).alias("time_source"),
     )
     o = orders(spark, d).select("k", F.when(k % 8 == 1, "sin_fecha").otherwise("puntual").alias("mode"), resolved.alias("r"), F.when(k % 4 > 1, at).alias("at"))
     start = F.lit(f"{fixtures.TODAY_TEXT} 00:00:00").cast("timestamp_ntz")
