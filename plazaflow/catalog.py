@@ -50,12 +50,6 @@ def cap_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.cap_text("text", 120).alias("capped"))
 
 
-@query()
-def smart_title(spark, d):
-    """T9. Titles shouted, then given sentence case again."""
-    return raw_plans(spark, d).select(F.col("_ord").alias("doc_id"), text.smart_title(F.upper("titulo")).alias("title"))
-
-
 @query(f"{RP} SELECT doc_id, substr({CLEAN.format('descripcion')}, 1, 320) AS summary FROM rp")
 def summary(spark, d):
     """T11, T12."""
@@ -172,31 +166,6 @@ def normalized_plans(spark, d):
     return plans(spark, d).select(F.col("_ord").alias("doc_id"), "id", "slug", "resumen", F.col("categoria_principal").alias("main"), "precio", F.col("es_gratis").alias("free"), F.col("publicado_en").alias("published"))
 
 
-@query(
-    """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type <> 'view' AS timed, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+01:00' AS iso FROM events),
-a AS (SELECT user_id, day, bool_or(timed) AS any_timed FROM e GROUP BY ALL)
-SELECT DISTINCT e.user_id, CAST(e.day AS VARCHAR) AS fecha, CASE WHEN timed THEN iso END AS datetime, timed AS tiene_hora FROM e JOIN a USING (user_id, day) WHERE timed OR NOT any_timed"""
-)
-def sessions_per_user(spark, d):
-    """D3, D4 over rows: a day's untimed sessions give way to timed ones; views count as untimed."""
-    e = table(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("day"), (F.col("event_type") != "view").alias("timed"), dates.iso_local(F.date_trunc("second", "ts").cast("timestamp_ntz")).alias("iso"))
-    slots = e.groupBy("user_id", "day", F.when(F.col("timed"), F.col("iso")).alias("datetime")).agg(F.first("timed").alias("timed"))
-    some = F.max("timed").over(Window.partitionBy("user_id", "day"))
-    return slots.withColumn("_some", some).where("timed or not _some").select("user_id", F.col("day").cast("string").alias("fecha"), "datetime", F.col("timed").alias("tiene_hora"))
-
-
-@query(
-    f"""WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),
-a AS (SELECT user_id, count(*) AS days, count(*) FILTER (WHERE day >= {T}) AS ahead, min(day) FILTER (WHERE day >= {T}) AS next_day, max(day) AS last_day FROM s GROUP BY user_id)
-SELECT user_id, CASE WHEN days <= 2 THEN days WHEN ahead > 0 THEN ahead ELSE 1 END AS published, CAST(next_day AS VARCHAR) AS next_day, CAST(last_day AS VARCHAR) AS last_day FROM a"""
-)
-def output_sessions(spark, d):
-    """D7, D8 over rows."""
-    s = table(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("day")).distinct()
-    a = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("day") >= today()).alias("ahead"), F.min(F.when(F.col("day") >= today(), F.col("day"))).alias("next_day"), F.max("day").alias("last_day"))
-    return a.select("user_id", F.when(F.col("days") <= 2, F.col("days")).when(F.col("ahead") > 0, F.col("ahead")).otherwise(1).alias("published"), F.col("next_day").cast("string").alias("next_day"), F.col("last_day").cast("string").alias("last_day"))
-
-
 @query(
     """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS b, 1 + o_orderkey % 3 AS step FROM orders),
 e AS (SELECT o_orderkey, a, step, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS x FROM o),
@@ -312,33 +281,6 @@ def cache_join(spark, d):
     return enrich.geocode(bare, cache).select(F.col("_ord").alias("doc_id"), F.col("latitud").alias("lat"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
-def agenda_semi(spark, d):
-    """Q8."""
-    saved = table(spark, d, "orders").where("o_totalprice > 150000")
-    return table(spark, d, "customer").join(saved, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def grid_anti(spark, d):
-    """Q9, X4."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
-@query("SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey")
-def include_join(spark, d):
-    """Q1, J3. References of two types resolved against the resources included."""
-    refs = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    found = refs.join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return found.select("l_orderkey", "l_linenumber", "p_name", "s_name")
-
-
-@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey = 77")
-def lookup_by_id(spark, d):
-    """Q10. A point lookup: the predicate reaches both scans."""
-    return table(spark, d, "customer").where("c_custkey = 77").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
-
-
 TOKENS = f"list_sort(list_distinct(string_split({SLUG.format('titulo')}, '-')))"
 
 
@@ -439,7 +381,7 @@ def _rule_sql(blob: str) -> str:
     word = r"[^\p{L}\p{N}_]"
     found: dict[str, list[str]] = {}
     for pattern, category in dims.RULES:
-        flat = re.sub(r"\(\?![^()]*(\([^()]*\))?[^()]*\)", "", pattern).replace(r"\b", f"($|{word})")
+        flat = re.sub(r"\(\?![^()]*(\([^()]*\))?[^()]*\)", "", pattern.removeprefix(r"\b")).replace(r"\b", f"($|{word})")
         found.setdefault(category, []).append(f"regexp_matches({blob}, '(?i)(^|{word}){flat}')")
     return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(hits)} THEN '{c}' END" for c, hits in found.items()) + "], lambda x: x IS NOT NULL)"
 
@@ -473,56 +415,9 @@ def validate_news(spark, d):
     return validate.validate_news(news_items(spark, d), now()).select(F.explode("by_category").alias("category", "n"))
 
 
-@query(
-    f"""{RP}, a AS (SELECT *, {CLEAN.format('descripcion')} AS t FROM rp), b AS (SELECT *, CASE WHEN length(t) <= 900 THEN t ELSE regexp_replace(substr(t, 1, 899), ' [^ ]*$', '') || '…' END AS body FROM a)
-SELECT doc_id, 'plan:' || fuente || ':' || id AS id, url, lugar, round(CASE WHEN lat BETWEEN 40.25 AND 40.60 AND lon BETWEEN -3.92 AND -3.48 THEN lat END, 5) AS latitud, precio, CASE WHEN inicio = fin THEN 'puntual' ELSE 'rango' END AS modo_fecha,
-  CASE WHEN regexp_replace(lower(body), '[.…]+$', '') = regexp_replace(lower(titulo), '\\.+$', '') AND titulo <> '' THEN NULL ELSE nullif(body, '') END AS descripcion
-FROM b WHERE fin >= {T}"""
-)
-def slim_feed(spark, d):
-    """R7, R9, T8, T10, M10."""
-    p = feed(spark, d).where(predicates.is_current_plan(today()))
-    p = p.withColumns({"contenido": F.col("descripcion"), "metadata": F.create_map().cast("map<string,string>"), "source_links": F.lit(None).cast(f"array<{arrays.LINK}>")})
-    slim = publish.slim_events(p, today())
-    return slim.select(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint").alias("doc_id"), "id", "url", "lugar", "latitud", "precio", "modo_fecha", "descripcion")
-
-
-@query()
-def feed_json(spark, d):
-    """K2, A13."""
-    p = feed(spark, d).where(predicates.is_current_plan(today()))
-    return publish.as_json(publish.slim_events(p.withColumns({"contenido": F.col("descripcion"), "metadata": F.create_map().cast("map<string,string>"), "source_links": F.lit(None).cast(f"array<{arrays.LINK}>")}), today()))
-
-
 # Aggregations
 
 
-@query("SELECT user_id, props, count(*) AS n, count(*) > 1 AS shared FROM events GROUP BY ALL")
-def shared_url(spark, d):
-    """G5, W2."""
-    return table(spark, d, "events").groupBy("user_id", "props").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 1).alias("shared"))
-
-
-@query("SELECT l_orderkey, arg_min(l_linenumber, (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) * 10000000000 + epoch(l_shipdate) + l_linenumber / 100.0) AS chosen, count(*) AS n FROM lineitem GROUP BY 1")
-def group_representative(spark, d):
-    """G6, G7. Of an order's lines the first shipped, returned ones last."""
-    order = F.struct(F.when(F.col("l_returnflag") == "R", 1).otherwise(0), "l_shipdate", "l_linenumber")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", order).alias("chosen"), F.count(F.lit(1)).alias("n"))
-
-
-@query(f"{RP} SELECT url, array_to_string(list_sort(list(DISTINCT categoria)), '|') AS categories FROM rp GROUP BY 1")
-def url_categories(spark, d):
-    """G8."""
-    return raw_plans(spark, d).groupBy("url").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("categorias")))), "|").alias("categories"))
-
-
-@query("SELECT user_id, arg_min(event_id, event_id) AS first_id, arg_max(event_id, event_id) AS last_id, arg_max(event_id, value * 1000000 - event_id) AS best_id FROM events GROUP BY 1")
-def wins(spark, d):
-    """G9-G11, W1. First, last and best record of a key."""
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best_id"))
-
-
 @query(
     f"""{VIEW}, c AS (SELECT *, round(lat, 4) AS la, round(lon, 4) AS lo FROM v WHERE lat BETWEEN 40.25 AND 40.60 AND lon BETWEEN -3.92 AND -3.48)
 SELECT la AS lat, lo AS lon, count(*) AS n, round(least(15.0, 8.0 + 2.0 * log2(count(*))), 6) AS radius FROM c GROUP BY 1, 2"""
@@ -650,4 +545,4 @@ def event_windows(spark, d):
     return out.select(F.date_format(F.col("start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-from plazaflow import catalog_functions  # noqa: E402, F401  registers its queries
+from plazaflow import catalog_functions, catalog_operators, catalog_sources  # noqa: E402, F401  register their queries

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plazaflow.functions import arrays, dates, numbers, text, urls
 from plazaflow.operators import predicates
+from plazaflow.operators.orders import agenda_order, news_order, plan_order, stamped_order  # noqa: F401
 from plazaflow.plans import dims
 from plazaflow.plans.storage import kept
 
@@ -134,8 +135,9 @@ def filtered(view: DataFrame, state: State) -> DataFrame:
 
 
 def rank_order(personal: bool) -> list[Column]:
-    """S5. Score (for a personal profile), day, one-off before ongoing, time, title; the id decides ties."""
-    day = F.datediff(F.col("primary").cast("date"), F.lit("1970-01-01").cast("date"))
+    """S5. Score (for a personal profile), day in UTC (undated last), one-off before ongoing, time, title; the id decides ties."""
+    utc = F.convert_timezone(F.lit(dims.TIMEZONE), F.lit("UTC"), F.col("primary"))
+    day = F.datediff(utc.cast("date"), F.lit("1970-01-01").cast("date"))
     order = [day.asc_nulls_last(), F.col("ongoing"), F.col("primary").asc_nulls_last(), text.fold_search("titulo"), F.col("titulo"), F.col("id")]
     return [F.col("score").desc(), *order] if personal else order
 
@@ -240,20 +242,22 @@ def map_points(view: DataFrame) -> DataFrame:
     return view.where("has_coordinates").groupBy(at("latitud").alias("lat"), at("longitud").alias("lon")).agg(n.alias("n"), F.round(radius, 6).alias("radius"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def surprise(view: DataFrame, seed: int) -> DataFrame:
-    """S9. One plan of today, this week or under way, else any; the seed decides."""
-    near = F.col("is_today") | F.col("is_week") | F.col("ongoing")
-    return view.withColumn("_far", ~near).orderBy("_far", F.xxhash64("id", F.lit(seed)), "id").limit(1).drop("_far")
+def agenda(view: DataFrame, saved: DataFrame, key: str = "id") -> DataFrame:
+    """Q8, S10. The plans that a reader saved, by date. saved: ids, which may repeat or be gone."""
+    return view.join(saved.select(key), key, "left_semi").orderBy(*agenda_order())
+
 
+def grid(view: DataFrame, shown: DataFrame, key: str = "id") -> DataFrame:
+    """Q9, X4. Plans that aren't shown above already."""
+    return view.join(shown.select(key), key, "left_anti")
 
-def plan_order() -> list[Column]:
-    """S1. Dated plans by time and title; then undated ones, those changed last first, and titles downwards."""
-    undated = F.coalesce("modo_fecha", F.lit("")) == "sin_fecha"
-    title, changed = F.lower(text.clean_text("titulo")), F.coalesce("actualizado_en", "publicado_en", F.lit(""))
-    when = lambda cond, c: F.when(cond, c)
-    return [undated.asc(), when(~undated, F.coalesce("sort_datetime", F.lit(""))).asc(), when(~undated, title).asc(), when(undated, changed).desc(), when(undated, title).desc(), F.col("_ord").asc()]
 
+def by_id(view: DataFrame, wanted: str, key: str = "id") -> DataFrame:
+    """Q10. The plan of an address; the predicate reaches the scan."""
+    return view.where(F.col(key) == wanted)
 
-def news_order() -> list[Column]:
-    """S2. Latest first, titles downwards."""
-    return [F.coalesce("sort_datetime", F.lit("")).desc(), F.lower(text.clean_text("titulo")).desc(), F.col("_ord").asc()]
+
+def surprise(view: DataFrame, seed: int) -> DataFrame:
+    """S9. One plan of today, this week or under way, else any; the seed decides."""
+    near = F.col("is_today") | F.col("is_week") | F.col("ongoing")
+    return view.withColumn("_far", ~near).orderBy("_far", F.xxhash64("id", F.lit(seed)), "id").limit(1).drop("_far")

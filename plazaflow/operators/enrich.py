@@ -18,7 +18,7 @@ from plazaflow.plans import dims
 def stems(pattern: str) -> list[str] | None:
     """Literals of which every match of a rule holds one: of each alternative the longest; null if one has none of two letters."""
     found = []
-    (kind, group), *_ = parser.parse(pattern)
+    (kind, group), *_ = [x for x in parser.parse(pattern) if x[0] is not op.AT]
     tree = group[3] if kind is op.SUBPATTERN else []
     options = tree[0][1][1] if len(tree) == 1 and tree[0][0] is op.BRANCH else [tree]
     prefix = ""
@@ -44,7 +44,7 @@ def rule_hits(low: Column) -> list[Column]:
     isn't searched by the expression."""
     hits = []
     for pattern, _ in dims.RULES:
-        search, words = low.rlike(rf"(?U)\b{pattern}"), stems(pattern)
+        search, words = low.rlike(f"(?U){pattern}"), stems(pattern)
         hits.append(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)) & search if words else search)
     return hits
 
@@ -86,6 +86,22 @@ def without_placeholders(plans: DataFrame) -> DataFrame:
     return plans.withColumn("imagen", markup.real_image("imagen"))
 
 
+def resolve_images(plans: DataFrame, resolver: Callable[[str, str], str | None], reference: str = "referencia_url") -> DataFrame:
+    """G14. Pictures of plans that have an address and none yet: each (address, reference) is resolved once, on the
+    executors, and written to all plans that have it."""
+    wants = (F.coalesce("imagen", F.lit("")) == "") & (F.coalesce("url", F.lit("")) != "")
+    ref = F.coalesce(F.col(reference), F.lit("")) if reference in plans.columns else F.lit("")
+    keyed = plans.withColumns({"_url": F.when(wants, F.col("url")), "_ref": F.when(wants, ref)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(_image=[resolver(u, r) for u, r in zip(frame._url, frame._ref)])
+
+    keys = keyed.where("_url is not null").select("_url", "_ref").distinct()
+    found = keys.mapInPandas(run, "_url string, _ref string, _image string").where(F.coalesce("_image", F.lit("")) != "")
+    return keyed.join(found, ["_url", "_ref"], "left").withColumn("imagen", F.coalesce("_image", "imagen")).drop("_url", "_ref", "_image")
+
+
 def clean_address(c: Column | str) -> Column:
     """R6. An address to look up: without the country's name, with the city and the country at its end."""
     bare = F.trim(F.regexp_replace(F.trim(text.col(c)), r"(?iU)\b(España|Spain)\b", ""))

@@ -70,10 +70,16 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_plans(raw_plans(spark, sf_dir), today(), SCRAPED, keep_only_current=False)
 
 
+_feeds: dict[tuple[str, str], DataFrame] = {}
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans with their categories, without what only the archive keeps: published to the shared folder and read again, as
-    the discovery queries run over a feed that is there."""
-    return kept(classify(plans(spark, sf_dir).drop("contenido", "metadata", "source_links")))
+    the discovery queries run over a feed that is there. Published once an application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _feeds:
+        _feeds[key] = kept(classify(plans(spark, sf_dir).drop("contenido", "metadata", "source_links")))
+    return _feeds[key]
 
 
 def _listed(values: list[str]) -> str:

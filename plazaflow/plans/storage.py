@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of its own: a temporary one on a
+    single machine, as in tests, and one in the warehouse on a cluster, never a machine's own folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        own = tempfile.mkdtemp(prefix="plazaflow-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return sc.getCheckpointDir()
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder (spark.checkpoint.dir; where that is unset, as in tests, one of its own) and read again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plazaflow-"))
+    """df written to the shared folder and read again."""
+    folder(df.sparkSession)
     return df.checkpoint()

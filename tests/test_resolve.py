@@ -1,11 +1,14 @@
 """Entity resolution, enrichment, discovery and the nightly run on hand-written records."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from plazaflow.operators import discover, enrich, joins, pipeline, publish, resolve, validate
+from plazaflow.operators import discover, enrich, folding, joins, pipeline, publish, resolve, validate
 from plazaflow.operators.normalize import normalize_news, normalize_plans
-from plazaflow.plans import schema
+from plazaflow.plans import fixtures, schema
 from plazaflow.plans.storage import kept
 
 TODAY = "2024-01-15"
@@ -168,16 +171,99 @@ def test_nightly_run(spark, tmp_path):
         "timeout": raw(spark, [{"fuente": "timeout", "id": "n", "titulo": "Noticia", "url": "https://n", "fecha_publicacion": "2024-01-14"}]),
     }
     previous = canonical(spark, [plan("meetup", "Intercambio de idiomas", "2024-01-30", "Bar", id="m"), plan("fever", "Viejo", "2024-01-30", "Bar", id="v")])
-    out = pipeline.run_all(sources, previous, TODAY, now(), "2024-01-15T04:15:00Z", {"type": "test"}, "2024-01-15T04:16:00Z")
+    old_news = normalize_news(raw(spark, [{"fuente": "gacetin_madrid", "id": "g", "titulo": "Antes", "url": "https://g", "fecha_publicacion": "2024-01-10"}, {"fuente": "timeout", "id": "t", "titulo": "Vieja", "url": "https://t", "fecha_publicacion": "2024-01-10"}]), now(), "2024-01-11T04:15:00Z")
+    out = pipeline.run_all(sources, previous, old_news, TODAY, now(), "2024-01-16T04:15:00Z", {"type": "test"}, "2024-01-16T04:16:00Z")
     events = {r.id: r for r in out["web_events"].collect()}
-    assert len(events) == 2 and len(out["web_news"].collect()) == 1
+    assert len(events) == 2 and [r.titulo for r in out["web_news"].collect()] == ["Noticia", "Antes"]
+    assert [r.titulo for r in out["plans"].collect()] == ["GRAN CONCIERTO DE JAZZ", "Intercambio de idiomas"]
     jazz = next(r for r in events.values() if r.fuentes_relacionadas)
     assert jazz.titulo == "Gran concierto de jazz" and jazz.imagen is None and jazz.descripcion == "Texto & más, bastante largo"
     m = out["manifest"].first()
-    assert {s.name: (s.status, s.stale) for s in m.sources} == {"fever": ("ok", False), "wegow": ("ok", False), "meetup": ("failed", True)}
+    assert {s.name: (s.kind, s.status, s.stale_since) for s in m.sources} == {"fever": ("plan", "ok", None), "wegow": ("plan", "ok", None), "meetup": ("plan", "failed", "2024-01-15T04:15:00Z"), "timeout": ("news", "ok", None), "gacetin_madrid": ("news", "failed", "2024-01-11T04:15:00Z")}
     assert m.planes.total == 2 and m.trigger.type == "test"
     publish.write_feed(out["web_events"], str(tmp_path / "feed"))
     assert '"resumen":null' not in "".join(r.value for r in spark.read.text(str(tmp_path / "feed")).collect())
+    publish.write_array(out["web_events"], str(tmp_path / "array"))
+    (file,) = (tmp_path / "array").glob("part-*")
+    assert [r["id"] for r in json.loads(file.read_text())] == [r.id for r in out["web_events"].collect()]
+    publish.write_array(out["web_events"].limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(f.read_text() for f in (tmp_path / "none").glob("part-*"))) == []
+
+
+def whole_days(rows, today):
+    """The same-day and recurring merges by plain loops over all records in order, without groups."""
+    def tokens(r):
+        return folding.title_tokens(r)
+
+    days = {}
+    first = [r for r in rows if not (tokens(r) and r["fecha_inicio"])]
+    for r in rows:
+        if tokens(r) and r["fecha_inicio"]:
+            days.setdefault(r["fecha_inicio"], []).append(r)
+    done = list(first)
+    for group in days.values():
+        held = []
+        for r in sorted(group, key=lambda r: -len(tokens(r))):
+            own = set(tokens(r))
+            for k, (words, other) in enumerate(held):
+                if own <= words and (len(own) >= 3 or own == words) and folding.compatible(folding.place_key(other), folding.place_key(r)):
+                    held[k] = (words, folding.merged(other, r))
+                    break
+            else:
+                held.append((own, r))
+        done += [r for _, r in held]
+    clusters, out = {}, []
+    for r in done:
+        key = tokens(r)
+        if not key or not (folding.place_key(r) or len(key) >= 4):
+            out.append([r])
+            continue
+        for members in clusters.setdefault(key, []):
+            if all(folding.compatible(folding.place_key(m), folding.place_key(r)) for m in members):
+                members.append(r)
+                break
+        else:
+            clusters[key].append([r])
+    out += [members for each in clusters.values() for members in each]
+    return [members[0] if len(members) == 1 else folding.recurring(members, today) for members in out]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_merges_match_plain_loops(spark, sf_dir, seed):
+    """Over the whole fixture, and over records made to meet often."""
+    r = random.Random(seed)
+    if seed:
+        words = "gran concierto de jazz noche flamenco taller danza museo".split()
+        places = ["Sala Uno", "Sala Uno Planta Dos", None, "Madrid", "Teatro"]
+        plans = canonical(spark, [plan(r.choice(["fever", "wegow", "meetup", "matadero"]), " ".join(r.sample(words, r.randint(2, 5))), f"2024-01-{r.randint(18, 21)}" if r.random() < 0.9 else None, r.choice(places), id=str(k), descripcion="x" * r.randint(0, 9), precio=str(r.randint(0, 3))) for k in range(150)])
+    else:
+        plans = kept(fixtures.plans(spark, sf_dir))
+    exact = kept(resolve.merge_exact(plans))
+    rows = []
+    for row in exact.orderBy("_ord").collect():
+        x = row.asDict(recursive=True)
+        rows.append(x)
+    expected = [(x["titulo"], x["fecha_inicio"], x["fecha_fin"], x["precio"], sorted(x["ids_relacionados"]), sorted(s["fecha"] for s in x["sesiones"] or [])) for x in whole_days(rows, TODAY)]
+    merged = resolve.merge_plans(plans, TODAY)
+    got = [(x.titulo, x.fecha_inicio, x.fecha_fin, x.precio, sorted(x.ids_relacionados), sorted(s.fecha for s in x.sesiones or [])) for x in merged.collect()]
+    key = lambda t: (t[4], str(t))
+    assert sorted(got, key=key) == sorted(expected, key=key) and len(got) < len(rows)
+    ranked = [x.id for x in discover.with_rank(kept(merged), discover.plan_order()).orderBy("rank").collect()]
+    assert ranked == [x.id for x in merged.collect()]
+
+
+@pytest.mark.parametrize("most", [None, 12])
+def test_diversify_matches_a_plain_loop(spark, most):
+    r = random.Random(3)
+    for kinds in (["A"] * 48 + ["B"] * 12, [r.choice("AAAB") for _ in range(90)], ["A"] * 20, []):
+        waiting, out = list(enumerate(kinds, 1)), []
+        while waiting:
+            last = [k for _, k in out[-2:]]
+            k = next((i for i, (_, kind) in enumerate(waiting) if not (len(last) == 2 and last[0] == last[1] == kind)), 0)
+            out.append(waiting.pop(k))
+        df = spark.createDataFrame(list(enumerate(kinds, 1)), "rank int, primary_category string")
+        got = [(x.rank, x.primary_category) for x in discover.diversify(df, most).orderBy("place").collect()]
+        assert got == out[:most]
 
 
 @pytest.mark.parametrize("state, count", [(discover.State(query="jazz SALÁ"), 1), (discover.State(free_only=True), 1), (discover.State(zone="Retiro"), 0), (discover.State(date_filter="weekend"), 1), (discover.State(source="fever"), 2)])
