@@ -376,6 +376,11 @@ def deduce(tokens: list[dict]) -> Template:
 NO_TEMPLATE = Template([], frozenset(), None)
 
 
+def own_template(html: str) -> Template:
+    """Template of a page whose host has none: of the page alone."""
+    return deduce([{"kind": kind, "token": path, "v1": f.count, "v2": 0, "v3": 0, "n_pages": 1, "place": float(f.place), "tag": f.tag or None, "parent": f.parent, "depth": f.depth, "chars": f.chars, "heads": f.heads} for (kind, path), f in parse(html).tokens.items()])
+
+
 def slots(html: str, template: Template) -> list[str]:
     """The blocks of the main text, in page order: what the slots in the main container hold, or those of the whole page
     where it lacks that container. Where one article or main element there holds MAIN_SHARE of the text, the others, such as
@@ -403,11 +408,14 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, tokens): what SUPPORT of a host's pages hold; pages without a token, such as null html, don't count. A host's
-    pages are never gathered, only sums over them; what is listed is no longer than a page's tokens divided by SUPPORT."""
+    pages are never gathered, only sums over them; what is listed is no longer than a page's tokens divided by SUPPORT.
+    Tokens of one page, which most texts are, can't be listed and are left out before hosts meet their number of pages
+    (a host's only page is its own template). The listed ones are written before they are gathered by host, so that a
+    host with very many tokens splits like any skewed join."""
     sums = [F.sum(c).alias(c) for c in ("v1", "v2", "v3", "n_pages", "place", "chars", "heads")]
     found = cut(occurrences(pages).groupBy("host", "kind", "token").agg(*sums, F.max("tag").alias("tag"), F.max("parent").alias("parent"), F.max("depth").alias("depth")))
     number = found.where(F.col("kind") == PAGE).select("host", F.col("n_pages").alias("pages"))
-    listed = found.where(F.col("kind") != PAGE).join(number, "host").where(F.col("n_pages") >= SUPPORT * F.col("pages"))
+    listed = cut(found.where((F.col("kind") != PAGE) & (F.col("n_pages") > 1)).join(number, "host").where(F.col("n_pages") >= SUPPORT * F.col("pages")))
     each = F.struct("kind", "token", "v1", "v2", "v3", "n_pages", (F.col("place") / F.col("n_pages")).alias("place"), "tag", "parent", "depth", "chars", "heads")
     return listed.groupBy("host").agg(F.collect_list(each).alias("tokens"))
 
@@ -427,7 +435,7 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = base.join(known, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "host", "tokens")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, Template] = {}
+        own: dict[str, Template | None] = {}
         for batch in batches(source, "html"):
             out = []
             tokens = batch.column("tokens")
@@ -436,8 +444,8 @@ def extract(pages: DataFrame) -> DataFrame:
                     if len(own) > 1000:
                         own.clear()
                     listed = tokens[k].as_py()
-                    own[host] = deduce(listed) if listed else NO_TEMPLATE
-                out.append("\n".join(slots(html, own[host])))
+                    own[host] = deduce(listed) if listed else None
+                out.append("\n".join(slots(html, own[host] or own_template(html))))
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
