@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plazaflow.plans import dims
+from plazaflow.plans.compat import KEPT, Compat
 
 
 def _text():
@@ -130,10 +131,12 @@ def slim_sessions(mode: Column | str, sessions: Column | str, today: Column) ->
     return F.when((col(mode) == "multiple") & s.isNotNull(), F.slice(some, 1, dims.WEB_SESSIONS))
 
 
-def slim_links(links: Column | str) -> Column:
+def slim_links(links: Column | str, compat: Compat = KEPT) -> Column:
     """A12. Of the first six links those to web pages."""
+    web = lambda c: F.filter(c, lambda x: F.lower(F.trim(x["url"])).rlike("^https?://"))
+    first = lambda c: F.slice(c, 1, dims.WEB_LINKS)
     return F.transform(
-        F.filter(F.slice(col(links), 1, dims.WEB_LINKS), lambda x: F.lower(F.trim(x["url"])).rlike("^https?://")),
+        web(first(col(links))) if compat.links_cut_first else first(web(col(links))),
         lambda x: F.struct(x["fuente"].alias("fuente"), x["url"].alias("url"), F.coalesce(F.nullif(x["kind"], F.lit("")), F.lit("detalle")).alias("kind"), x["precio"].alias("precio"), x["es_gratis"].alias("es_gratis")),
     )
 

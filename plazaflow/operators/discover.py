@@ -15,6 +15,7 @@ from plazaflow.functions import arrays, dates, numbers, text, urls
 from plazaflow.operators import predicates
 from plazaflow.operators.orders import agenda_order, news_order, plan_order, stamped_order  # noqa: F401
 from plazaflow.plans import dims
+from plazaflow.plans.compat import KEPT, Compat
 from plazaflow.plans.storage import kept
 
 
@@ -89,19 +90,19 @@ def view_news(feed: DataFrame) -> DataFrame:
     return df.withColumns({"titulo": F.coalesce(text.sanitize_text("titulo"), F.lit("Noticia sin título")), "published": published, "primary_category": F.coalesce(text.sanitize_text("categoria_principal_norm"), F.lit("Actualidad")), "source_label": text.source_label("fuente")})
 
 
-def hits(blob: Column, words) -> Column:
+def hits(blob: Column, words, compat: Compat = KEPT) -> Column:
     """How many of the words the text holds."""
-    return reduce(lambda a, b: a + b, [F.contains(blob, F.lit(w)).cast("int") for w in words], F.lit(0))
+    return reduce(lambda a, b: a + b, [F.contains(blob, F.lit(w) if compat.accents_never_meet else text.fold_search(F.lit(w))).cast("int") for w in words], F.lit(0))
 
 
-def score(profile: Profile) -> Column:
+def score(profile: Profile, compat: Compat = KEPT) -> Column:
     """S4. Points of a plan for a profile, 0 to 99. Needs view_events()."""
     blob, price = F.col("search_blob"), F.col("precio")
     points = [F.when(F.col("is_today"), 8).otherwise(0), F.when(F.col("is_free"), 3).otherwise(0), F.when(F.coalesce("imagen", F.lit("")) != "", 2).otherwise(0)]
     if profile.vibe:
-        points.append(F.least(F.lit(38), hits(blob, dims.VIBE_WORDS[profile.vibe]) * 9))
+        points.append(F.least(F.lit(38), hits(blob, dims.VIBE_WORDS[profile.vibe], compat) * 9))
     if profile.interests:
-        points.append(F.least(F.lit(28), hits(blob, [i.lower() for i in profile.interests]) * 7))
+        points.append(F.least(F.lit(28), hits(blob, [i.lower() for i in profile.interests], compat) * 7))
     if profile.budget == "free":
         points.append(F.when(F.col("is_free"), 18).otherwise(0))
     elif profile.budget == "moderate":
@@ -110,9 +111,9 @@ def score(profile: Profile) -> Column:
         points.append(F.lit(4))
     if profile.companion:
         words, each = dims.COMPANION_WORDS[profile.companion]
-        points.append(hits(blob, words) * each)
+        points.append(hits(blob, words, compat) * each)
     if profile.zones:
-        near = reduce(lambda a, b: a | b, [predicates.in_zone(z, "latitud", "longitud", "location_label") for z in profile.zones])
+        near = reduce(lambda a, b: a | b, [predicates.in_zone(z, "latitud", "longitud", "location_label", compat) for z in profile.zones])
         points.append(F.when(near, 10).otherwise(0))
     return F.greatest(F.lit(0), F.least(F.lit(99), reduce(lambda a, b: a + b, points)))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plazaflow.functions import markup, numbers, text
 from plazaflow.operators.predicates import worth_geocoding
 from plazaflow.plans import dims
+from plazaflow.plans.compat import KEPT, Compat
 
 
 def stems(pattern: str) -> list[str] | None:
@@ -122,7 +123,7 @@ def with_query(plans: DataFrame) -> DataFrame:
     return out.withColumns({"_wanted": worth_geocoding("_query", "latitud", "longitud"), "cache_key": F.lower(clean_address("_query"))})
 
 
-def resolve_addresses(keys: DataFrame, resolver: Callable[[str], tuple[float, float] | None]) -> DataFrame:
+def resolve_addresses(keys: DataFrame, resolver: Callable[[str], tuple[float, float] | None], compat: Compat = KEPT) -> DataFrame:
     """New cache rows from a resolver, one call a key; points outside the box, and failures, are cached as nulls."""
     south, north, west, east = dims.GEOCODE_BOX
 
@@ -132,7 +133,8 @@ def resolve_addresses(keys: DataFrame, resolver: Callable[[str], tuple[float, fl
             good = [p if p and south <= p[0] <= north and west <= p[1] <= east else (None, None) for p in points]
             yield pd.DataFrame({"cache_key": frame.cache_key, "lat": [round(p[0], 6) if p[0] is not None else None for p in good], "lon": [round(p[1], 6) if p[1] is not None else None for p in good], "query": frame.cache_key})
 
-    return keys.select("cache_key").mapInPandas(run, "cache_key string, lat double, lon double, query string")
+    found = keys.select("cache_key").mapInPandas(run, "cache_key string, lat double, lon double, query string")
+    return found if compat.failures_are_cached else found.where("lat is not null")
 
 
 def geocode(plans: DataFrame, cache: DataFrame, resolver: Callable[[str], tuple[float, float] | None] | None = None, most: int = dims.NEW_LOOKUPS) -> DataFrame:

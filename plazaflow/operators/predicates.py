@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plazaflow.functions import dates, numbers, text
 from plazaflow.plans import dims
+from plazaflow.plans.compat import KEPT, Compat
 
 
 def col(c: Column | str) -> Column:
@@ -65,14 +66,15 @@ def free(is_free: Column | str) -> Column:
     return sure(col(is_free))
 
 
-def in_zone(zone: str, lat: Column | str, lon: Column | str, label: Column | str) -> Column:
+def in_zone(zone: str, lat: Column | str, lon: Column | str, label: Column | str, compat: Compat = KEPT) -> Column:
     """P9. Within the zone's radius; without a point in the city, the zone's name in the label. An unknown zone takes all."""
     known = {z[0]: z for z in dims.ZONES}.get(zone)
     if known is None:
-        return F.lit(True)
+        return F.lit(compat.zones_as_written)
     _, zlat, zlon, radius = known
+    named = F.contains(F.lower(col(label)), F.lit(zone.lower())) if compat.zones_as_written else F.contains(text.fold_search(label), text.fold_search(F.lit(zone)))
     near = numbers.distance_km(col(lat), col(lon), F.lit(zlat), F.lit(zlon)) <= radius
-    return sure(F.when(numbers.within(col(lat), col(lon), dims.PUBLISH_BOX), near).otherwise(F.contains(F.lower(col(label)), F.lit(zone.lower()))))
+    return sure(F.when(numbers.within(col(lat), col(lon), dims.PUBLISH_BOX), near).otherwise(named))
 
 
 def matches_text(query: str, blob: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazaflow.functions import arrays, dates, markup, numbers, text
@@ -136,17 +136,16 @@ REFS = "struct<data:array<struct<type:string,id:string>>>"
     f"data array<struct<id:string,attributes:struct<title:string,langcode:string,path:struct<alias:string>,field_subtitle:string,field_init_date:string,field_end_date:string,field_ocurrences:array<struct<value:string>>,field_price:{TEXT},field_place:{TEXT},body:{TEXT},field_teaser:{TEXT},created:string,changed:string>,relationships:struct<field_category:{REFS},field_institution:{REFS}>>>, included array<struct<type:string,id:string,attributes:struct<name:string,title:string>>>",
 )
 def arts_centre(payload: DataFrame) -> DataFrame:
-    """C9, J3, M4, M13. JSON:API: relationships are resolved by a join with what is included; translations are left out."""
-    page = payload.withColumn("_page", F.monotonically_increasing_id())
-    items = exploded(page, "data")
-    names = page.select("_page", F.explode("included").alias("i")).select("_page", F.col("i.type").alias("type"), F.col("i.id").alias("ref"), F.coalesce("i.attributes.name", "i.attributes.title").alias("name"))
+    """C9, Q1, J3, M4, M13. JSON:API: relationships are resolved against what the same document includes, in its row: no
+    document needs a number of its own, nor a shuffle. Translations are left out."""
+    items = exploded(payload, "data")
 
-    def resolved(field: str) -> DataFrame:
-        refs = items.select("_page", "_ord", F.posexplode(f"x.relationships.{field}.data").alias("k", "r")).select("_page", "_ord", "k", F.col("r.type").alias("type"), F.col("r.id").alias("ref"))
-        met = refs.join(names, ["_page", "type", "ref"])
-        return met.groupBy("_page", "_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda s: s["name"]).alias(field))
+    def resolved(field: str) -> Column:
+        names = lambda r: F.transform(F.filter("included", lambda i: (i["type"] == r["type"]) & (i["id"] == r["id"])), lambda i: F.coalesce(i["attributes"]["name"], i["attributes"]["title"]))
+        refs = F.coalesce(f"x.relationships.{field}.data", F.array().cast("array<struct<type:string,id:string>>"))
+        return F.array_compact(F.transform(refs, lambda r: F.get(names(r), F.lit(0))))
 
-    df = items.join(resolved("field_category"), ["_page", "_ord"], "left").join(resolved("field_institution"), ["_page", "_ord"], "left")
+    df = items.withColumns({f: resolved(f) for f in ("field_category", "field_institution")})
     a = "x.attributes."
     place = filled(text.strip_html(f"{a}field_place.processed"), text.institution_name(F.get("field_institution", F.lit(0))), F.lit("Matadero Madrid"))
     price = text.strip_html(f"{a}field_price.processed")

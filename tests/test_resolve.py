@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plazaflow.operators import discover, enrich, folding, joins, pipeline, publish, resolve, validate
+from plazaflow.functions import arrays
+from plazaflow.operators import discover, enrich, folding, joins, pipeline, predicates, publish, resolve, validate
 from plazaflow.operators.normalize import normalize_news, normalize_plans
 from plazaflow.plans import fixtures, schema
+from plazaflow.plans.compat import Compat
 from plazaflow.plans.storage import kept
 
 TODAY = "2024-01-15"
@@ -252,6 +254,35 @@ def test_merges_match_plain_loops(spark, sf_dir, seed):
     assert ranked == [x.id for x in merged.collect()]
 
 
+def test_compat_switches(spark):
+    off = Compat(**{f: False for f in Compat.__dataclass_fields__})
+    plans = canonical(
+        spark,
+        [
+            plan("meetup", "Gran concierto de jazz", "2024-01-20", "Sala Uno", url="https://s/1", precio="5", id="a"),
+            plan("fever", "Gran concierto de jazz", "2024-01-20", "Sala Uno", url="https://s/1", precio="0", id="b"),
+            plan("fever", "Taller de danza clásica", "2024-01-20", "Teatro", id="c"),
+            plan("fever", "Taller de danza clásica", "2024-01-22", "Teatro", id="d"),
+            plan("fever", "Algo que ya fue hace tiempo", "2023-01-20", "Teatro", id="e"),
+        ],
+    )
+    kept_, fixed = ({r.titulo: r for r in resolve.merge_plans(plans, TODAY, c).collect()} for c in (Compat(), off))
+    assert len(kept_) == 3 and len(fixed) == 2
+    jazz = "Gran concierto de jazz"
+    assert (kept_[jazz].precio, fixed[jazz].precio) == (5.0, 0.0)
+    assert ({x.fuente for x in kept_[jazz].source_links}, {x.fuente for x in fixed[jazz].source_links}) == ({"meetup"}, {"meetup", "fever"})
+    assert (kept_["Taller de danza clásica"].modo_fecha, fixed["Taller de danza clásica"].modo_fecha) == ("puntual", "multiple")
+    blob = spark.createDataFrame([("musica en el jardin", "Chamberí", "ftp://a")], "blob string, label string, u string")
+    link = F.struct(F.lit("f").alias("fuente"), F.col("u").alias("url"), F.lit("").alias("kind"), F.lit(1.0).alias("precio"), F.lit("").alias("moneda"), F.lit(True).alias("es_gratis"))
+    good = F.struct(F.lit("f").alias("fuente"), F.lit("http://b").alias("url"), F.lit("").alias("kind"), F.lit(1.0).alias("precio"), F.lit("").alias("moneda"), F.lit(True).alias("es_gratis"))
+    nothing = F.lit(None).cast("double")
+    for c, expected in ((Compat(), (0, True, 0)), (off, (2, False, 6))):
+        row = blob.select(discover.hits(F.col("blob"), ["música", "jardín"], c), predicates.in_zone("Nowhere", nothing, nothing, "label", c), F.size(arrays.slim_links(F.concat(F.array(*[link] * 6), F.array(*[good] * 7)), c))).first()
+        assert tuple(row) == expected
+    keys = spark.createDataFrame([("x",)], "cache_key string")
+    assert [enrich.resolve_addresses(keys, lambda k: None, c).count() for c in (Compat(), off)] == [1, 0]
+
+
 @pytest.mark.parametrize("most", [None, 12])
 def test_diversify_matches_a_plain_loop(spark, most):
     r = random.Random(3)
