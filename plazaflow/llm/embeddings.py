@@ -240,14 +240,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     across = compare(pairs.join(parts, "block").join(right, "block2"), axes, kind, threshold, False)
     found = cut(compare(parts, axes, kind, threshold, True).unionByName(across))
     rows = good.withColumns(hashed).select("vec_id", "h1", "h2")
-    known = rows.join(classes.select("h1", "h2", "klass"), ["h1", "h2"])
-    ties = known.groupBy("vec_id").agg(F.min("klass").alias("least"), F.max("klass").alias("most")).where("least < most").drop("most")
-    edges = found.where("other is not null").select("node", "other").unionByName(known.join(ties, "vec_id").select(F.col("klass").alias("node"), F.col("least").alias("other")))
-    roots = components(edges, "node", "other")
-    count = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    facts = classes.select("h1", "h2", "klass", "first", "copies").join(count.withColumnRenamed("node", "klass"), "klass", "left").join(roots.withColumnRenamed("node", "klass"), "klass", "left")
-    facts = facts.select("h1", "h2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "klass").alias("root"))
-    reached = least_of(facts, "root", "first", "component_id")
-    joined = rows.join(reached.select("h1", "h2", "n_links", "component_id"), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    known = cut(rows.join(classes.select("h1", "h2", "klass"), ["h1", "h2"]).select("vec_id", "klass"))
+    ties = known.groupBy("vec_id").agg(F.min("klass").alias("node"), F.max("klass").alias("most")).where("node < most")
+    ties = known.join(ties, "vec_id").select("klass", "node")
+    roots = components(found.where("other is not null").select("node", "other").unionByName(ties.toDF("node", "other")), "node", "other")
+    none = F.lit(None).cast("bigint")
+    facts = [
+        classes.select("klass", "first", "copies", none.alias("links"), none.alias("root")),
+        found.where("other is null").select("node", none, none, "links", none).toDF("klass", "first", "copies", "links", "root"),
+        roots.select("node", none, none, none, "root").toDF("klass", "first", "copies", "links", "root"),
+    ]
+    each = reduce(DataFrame.unionByName, facts).groupBy("klass").agg(F.max("first").alias("first"), (F.coalesce(F.sum("links"), F.lit(0)) + F.max("copies") - 1).alias("n_links"), F.coalesce(F.max("root"), "klass").alias("root"))
+    reached = least_of(cut(each), "root", "first", "component_id")
+    joined = known.join(reached.select("klass", "n_links", "component_id"), "klass").select("vec_id", "n_links", "component_id")
     rest = base.where(~sound).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

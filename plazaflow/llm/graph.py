@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars."""
+"""What reaches what: connected components, and the least value of each."""
 
 from __future__ import annotations
 
@@ -6,38 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plazaflow.llm.common import cut
-
-
-def _large(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's least neighbour (or the node itself)."""
-    both = edges.select(F.col("small").alias("node"), F.col("big").alias("other")).unionByName(edges.select(F.col("big").alias("node"), F.col("small").alias("other")))
-    least = cut(both.groupBy("node").agg(F.min("other").alias("least")))
-    return edges.join(least, F.col("small") == F.col("node")).select("big", F.least("small", "least").alias("small"))
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are tied to the least of them."""
-    least = cut(edges.groupBy("big").agg(F.min("small").alias("least")))
-    tied = edges.join(least, "big").where(F.col("small") > F.col("least")).select(F.col("small").alias("big"), F.col("least").alias("small"))
-    return tied.unionByName(least.select("big", F.col("least").alias("small")))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node of `edges`, but roots themselves; root is the least node that links reach.
-
-    Edges may repeat, run either way or be loops; those with a null end are left out. Each round joins edges with one
-    row a node, written before it is joined, so a node with very many links splits like any skewed join; rounds grow with
-    the logarithm of the longest path. Only a count and a checksum reach the driver.
-    """
-    now = edges.select(F.greatest(a, b).alias("big"), F.least(a, b).alias("small")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("big") > F.col("small")))
-    now = cut(now.distinct())
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == before:
-            return now.select(F.col("big").alias("node"), F.col("small").alias("root"))
-        before = state
-        now = cut(_small(cut(_large(now).distinct())).distinct())
+from plazaflow.operators.graph import components  # noqa: F401
 
 
 def least_of(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
