@@ -70,10 +70,12 @@ def source_datos_madrid(spark, d):
 
 @query(f"{P}, g AS (SELECT brand, list_sort(list(DISTINCT CASE WHEN size % 2 = 0 THEN 'Par' ELSE 'Impar' END)) AS cats, min(size) FILTER (WHERE k = f) AS price, min(f) AS f, min(name) FILTER (WHERE k = f) AS name FROM (SELECT *, min(k) OVER (PARTITION BY brand) AS f FROM p) GROUP BY brand) SELECT brand AS id, 'Plan ' || brand AS titulo, array_to_string(cats, '|') AS categorias, 'https://feverup.com/m/' || brand AS url FROM g")
 def source_fever(spark, d):
-    """A plan found in several listings has all their labels."""
+    """Pages with their state; a plan found in several listings has all their labels."""
     BRAND, SIZE = columns("BRAND", "SIZE")
-    text = said('{"category":"', F.when(SIZE % 2 == 0, "Par").otherwise("Impar"), '","plans":[{"id":"', BRAND, '","name":"Plan ', BRAND, '","location":{"name":"X","is_hidden":true}}]}')
-    raw = from_json(parts(spark, d), "fever", text)
+    plan = said('{"id":"', BRAND, '","name":"Plan ', BRAND, '","location":{"name":"X","is_hidden":true}}')
+    state = said('{"other":{"x":1},"key-WPFSkeleton-1":{"skeleton":[{"content":{"title":"x"}},{"content":{"plans":[', plan, '],"total_plans":1}}]}}')
+    html = said('<html><script id="serverApp-state" type="application/json">', state, "</script></html>")
+    raw = from_pages(parts(spark, d), "fever", url=F.lit("https://f"), html=html, category=F.when(SIZE % 2 == 0, "Par").otherwise("Impar"))
     return raw.select("id", "titulo", F.array_join("categorias", "|").alias("categorias"), "url")
 
 
@@ -89,11 +91,13 @@ def source_wegow(spark, d):
 @query(f"""{P}, g AS (SELECT name, brand, size, day, k, row_number() OVER (PARTITION BY name, brand ORDER BY CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END, day || 'T2' || k % 2, k) AS r, list(DISTINCT CAST(day AS VARCHAR)) OVER (PARTITION BY name, brand) AS days, list(DISTINCT day || 'T2' || k % 2) OVER (PARTITION BY name, brand) AS times FROM p)
 SELECT name AS titulo, 'Sala ' || brand AS lugar, 'https://www.ticketmaster.es/' || replace(name, ' ', '-') AS url, CAST(len(days) AS INTEGER) AS n_days, len(days) < len(times) OR len(times) > 10 AS whole_days FROM g WHERE r = 1""")
 def source_ticketmaster(spark, d):
-    """Dates of one title and venue are one plan."""
+    """Pages with their state; dates of one title and venue are one plan."""
     K, NAME, BRAND, KEY, ISO = columns("K", "NAME", "BRAND", "KEY", "ISO")
     one = said('{"id":"', KEY, '","title":"', NAME, '","url":"https://www.ticketmaster.es/', F.replace(NAME, F.lit(" "), F.lit("-")), '","isPartner":', F.when(K % 3 == 0, "true").otherwise("false"), ',"dates":{"startDate":"', ISO, "T2", num(K % 2), ':00"},"venue":{"name":"Sala ', BRAND, '"}}')
     p = parts(spark, d).groupBy("name", "brand").agg(F.array_sort(F.collect_list(F.struct("k", one.alias("j")))).alias("all"))
-    raw = from_json(p, "ticketmaster", said('{"events":[', F.array_join(F.transform("all", lambda x: x["j"]), ","), "]}"))
+    answer = said('{"other":{},"cityEvents({x})":{"data":{"events":[', F.array_join(F.transform("all", lambda x: x["j"]), ","), "]}}}")
+    html = said('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"initialReduxState":{"api":{"queries":', answer, "}}}}}</script>")
+    raw = from_pages(p, "ticketmaster", url=F.lit("https://t"), html=html, category=F.lit("x"))
     days = F.array_distinct(F.transform("fechas_disponibles", lambda x: F.substring(x, 1, 10)))
     return raw.select("titulo", "lugar", "url", F.size(days).alias("n_days"), (F.length(F.col("fechas_disponibles")[0]) == 10).alias("whole_days"))
 

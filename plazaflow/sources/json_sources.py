@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plazaflow.functions import arrays, dates, markup, numbers, text
 from plazaflow.operators.predicates import holds_any, in_scope, sure
 from plazaflow.plans import dims
-from plazaflow.sources.registry import adapter, exploded, records
+from plazaflow.sources.registry import adapter, exploded, page_state, records
 
 clean, filled = text.clean_text, text.first_filled
 listed = lambda *c: arrays.distinct_text(F.array_compact(F.array(*c)))
@@ -49,10 +49,13 @@ def open_data(payload: DataFrame) -> DataFrame:
     )
 
 
+FEVER_PLANS = "array<struct<id:string,name:string,cover_image:string,price_info:struct<amount:double,currency:string,hide:boolean>,location:struct<name:string,is_hidden:boolean>,first_active_session_date:string,last_active_session_date:string,rating:struct<average:double,num_ratings:bigint>,url:string>>"
+
+
 @adapter(
     "fever",
     "json",
-    "category string, plans array<struct<id:string,name:string,cover_image:string,price_info:struct<amount:double,currency:string,hide:boolean>,location:struct<name:string,is_hidden:boolean>,first_active_session_date:string,last_active_session_date:string,rating:struct<average:double,num_ratings:bigint>,url:string>>",
+    f"category string, plans {FEVER_PLANS}",
 )
 def fever(payload: DataFrame) -> DataFrame:
     """C3, G8. Listing pages by category; a plan found in several has all their labels, sorted."""
@@ -62,6 +65,14 @@ def fever(payload: DataFrame) -> DataFrame:
     return records(one, id=F.col("x.id"), titulo=F.col("x.name"), imagen=F.col("x.cover_image"), precio=shown, moneda=F.col("x.price_info.currency"), lugar=F.when(~F.coalesce("x.location.is_hidden", F.lit(False)), F.col("x.location.name")), fecha_inicio=F.col("x.first_active_session_date"), fecha_fin=F.col("x.last_active_session_date"), categorias=F.col("cats"), url=F.coalesce("x.url", F.concat(F.lit("https://feverup.com/m/"), F.col("x.id"))), valoracion=F.col("x.rating.average"), num_valoraciones=F.col("x.rating.num_ratings"))
 
 
+@page_state("fever")
+def fever_state(pages: DataFrame) -> DataFrame:
+    """C3, J2. Listing pages as saved: the plans of the first section that has any, in the state that the page carries."""
+    state = F.from_json(markup.embedded_state("html", "serverApp-state"), f"map<string,struct<skeleton:array<struct<content:struct<plans:{FEVER_PLANS}>>>>>")
+    parts = F.flatten(F.transform(F.filter(F.map_entries(state), lambda e: F.contains(e["key"], F.lit("WPFSkeleton")) & e["value"]["skeleton"].isNotNull()), lambda e: e["value"]["skeleton"]))
+    return pages.select("category", F.get(F.filter(parts, lambda p: p["content"]["plans"].isNotNull()), F.lit(0))["content"]["plans"].alias("plans"))
+
+
 PLACE = "struct<name:string,address:string,city:string,latitude:double,longitude:double>"
 
 
@@ -80,10 +91,13 @@ def wegow(payload: DataFrame) -> DataFrame:
     return records(last.where(good), id=F.col("x.id"), titulo=F.col("x.title"), subtitulo=F.col("x.subtitle"), descripcion=filled("x.description", "x.title"), precio=numbers.first_number("x.price", "x.min_price", "x.max_price"), moneda=F.col("x.currency"), lugar=filled("x.venue.name", "x.city.name"), direccion=filled("x.venue.address", "x.city.name"), latitud=F.col("x.venue.latitude"), longitud=F.col("x.venue.longitude"), fecha_inicio=F.col("x.start_date"), fecha_fin=F.col("x.end_date"), categorias=listed(festival, F.lit("Musica")), etiquetas=arrays.distinct_text(F.transform("x.artists", lambda a: a["name"])), url=F.col("x.permalink"), url_compra=F.col("x.purchase_url"), imagen=F.col("x.image_url"))
 
 
+TICKETS = "array<struct<id:string,discoveryId:string,title:string,url:string,partnerEvent:boolean,isPartner:boolean,dates:struct<startDate:string>,venue:struct<name:string,addressLineOne:string,city:string,latitude:double,longitude:double,imageUrl:string>,artists:array<struct<name:string,imageUrls:map<string,string>>>>>"
+
+
 @adapter(
     "ticketmaster",
     "json",
-    "events array<struct<id:string,discoveryId:string,title:string,url:string,partnerEvent:boolean,isPartner:boolean,dates:struct<startDate:string>,venue:struct<name:string,addressLineOne:string,city:string,latitude:double,longitude:double,imageUrl:string>,artists:array<struct<name:string,imageUrls:map<string,string>>>>>",
+    f"events {TICKETS}",
 )
 def ticketmaster(payload: DataFrame) -> DataFrame:
     """C6, G6, G7, A19. Dates of one title, venue and address are one plan, led by its first date that is no partner's."""
@@ -97,6 +111,14 @@ def ticketmaster(payload: DataFrame) -> DataFrame:
     return records(one, id=F.get(arrays.distinct_text(F.transform("all", lambda s: s["id"])), F.lit(0)), titulo=F.col("x.title"), descripcion=F.col("x.title"), moneda=F.lit("EUR"), lugar=F.col("x.venue.name"), direccion=F.nullif(F.concat_ws(", ", "x.venue.addressLineOne", "x.venue.city"), F.lit("")), latitud=F.col("x.venue.latitude"), longitud=F.col("x.venue.longitude"), fecha_inicio=F.get("times", F.lit(0)), fecha_fin=F.element_at("times", -1), fechas_disponibles=F.col("times"), etiquetas=arrays.distinct_text(F.transform("x.artists", lambda a: a["name"])), url=F.coalesce(native, "x.url"), url_articulo=F.col("x.url"), url_compra=native, imagen=markup.first_real_image(F.concat(F.coalesce(art, F.array().cast("array<string>")), F.array(F.col("x.venue.imageUrl")))), url_fuente_editorial=F.col("x.url"))
 
 
+@page_state("ticketmaster")
+def ticketmaster_state(pages: DataFrame) -> DataFrame:
+    """C6, J2. Discovery pages as saved: the answer to the first query for a city's events that the page carries."""
+    queries = F.from_json(F.get_json_object(markup.embedded_state("html", "__NEXT_DATA__"), "$.props.pageProps.initialReduxState.api.queries"), "map<string,string>")
+    first = F.get(F.filter(F.map_entries(queries), lambda e: F.startswith(e["key"], F.lit("cityEvents("))), F.lit(0))["value"]
+    return pages.select(F.from_json(F.get_json_object(first, "$.data.events"), TICKETS).alias("events"))
+
+
 @adapter(
     "meetup",
     "json",

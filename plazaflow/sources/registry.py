@@ -23,9 +23,24 @@ def adapter(name: str, kind: str, schema: str = "url string, html string"):
     return add
 
 
+#: Sources whose JSON stands in saved pages (url, html, category): what makes their payload of them.
+PAGE_STATES: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def page_state(name: str):
+    def add(f: Callable[[DataFrame], DataFrame]):
+        PAGE_STATES[name] = f
+        return f
+
+    return add
+
+
 def read_payload(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A source's saved payload with its fixed schema: JSON documents that may span lines, or a landing table of pages.
-    Records that can't be read come out as nulls and give no plan."""
+    Records that can't be read come out as nulls and give no plan. A landing table of pages (a path that ends in .parquet or
+    /pages) of a source whose JSON stands in its pages is read from there."""
+    if KINDS[name] == "json" and name in PAGE_STATES and path.rstrip("/").endswith((".parquet", "/pages")):
+        return PAGE_STATES[name](spark.read.schema("url string, html string, category string").parquet(path))
     if KINDS[name] == "json":
         return spark.read.schema(SCHEMAS[name]).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     return spark.read.schema(SCHEMAS[name]).parquet(path)
@@ -33,6 +48,7 @@ def read_payload(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 def extract(payload: DataFrame, name: str) -> DataFrame:
     """Raw records of a source's payload; _ord follows the payload's order."""
+    payload = PAGE_STATES[name](payload) if name in PAGE_STATES and "html" in payload.columns else payload
     out = ADAPTERS[name](payload)
     out = out if "_ord" in out.columns else out.withColumn("_ord", F.monotonically_increasing_id())
     return with_raw_columns(out.withColumn("fuente", F.lit(name)))
