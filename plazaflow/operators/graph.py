@@ -40,5 +40,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = edges.select(F.greatest(a, b).alias("big"), F.least(a, b).alias("small")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("big") > F.col("small")))
     now = kept(now.distinct())
     while not _stars(now):
-        now = kept(_small(_large(now)).distinct())
+        now = kept(_small(_large(now).distinct()).distinct())
     return now.select(F.col("big").alias("node"), F.col("small").alias("root"))
