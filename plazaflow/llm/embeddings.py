@@ -62,7 +62,10 @@ SCHEMA = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("block", pa.int
 
 
 def blocks(classes: DataFrame, axes: np.ndarray, kind: np.dtype, threshold: float) -> DataFrame:
-    """One row for up to BLOCK_NUMBERS numbers of a label's vectors of one dimension, neighbours in the grid of the leading axes."""
+    """One row for up to BLOCK_NUMBERS numbers of a label's vectors of one dimension, neighbours in the grid of the leading
+    axes. There are as many partitions as full blocks, and as cores: more would only cut blocks small."""
+    total = classes.agg(F.sum(F.size("v"))).first()[0] or 0
+    number = max(classes.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_NUMBERS))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
     def along(k: int):
@@ -72,7 +75,7 @@ def blocks(classes: DataFrame, axes: np.ndarray, kind: np.dtype, threshold: floa
     cells = [F.floor(along(k) / F.lit(reach(threshold))).alias(f"c{k}") for k in range(GRID)]
     rows = classes.select("label", F.size("v").alias("dim"), *cells, along(0).alias("at"), "klass", "copies", "v")
     order = ["label", "dim", *(f"c{k}" for k in range(GRID)), "at"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "klass").drop(*(f"c{k}" for k in range(GRID)), "at")
+    rows = rows.repartitionByRange(number, *order).coalesce(number).sortWithinPartitions(*order, "klass").drop(*(f"c{k}" for k in range(GRID)), "at")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -234,11 +237,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = cut(classes.withColumns(hashed | {"klass": F.monotonically_increasing_id()}))
     axes = rotation(classes)
     own = cut(blocks(classes, axes, kind, threshold))
-    pairs = near_blocks(own.select("label", "dim", "block", "low", "high"), threshold)
     parts = own.select("block", "dim", "klass", "copies", "vectors")
-    right = own.select(F.col("block").alias("block2"), *(F.col(c).alias(c + "2") for c in ("klass", "copies", "vectors")))
-    across = compare(pairs.join(parts, "block").join(right, "block2"), axes, kind, threshold, False)
-    found = cut(compare(parts, axes, kind, threshold, True).unionByName(across))
+    found = compare(parts, axes, kind, threshold, True)
+    pairs = cut(near_blocks(own.select("label", "dim", "block", "low", "high"), threshold))
+    if number := pairs.count():
+        right = own.select(F.col("block").alias("block2"), *(F.col(c).alias(c + "2") for c in ("klass", "copies", "vectors")))
+        found = found.unionByName(compare(pairs.join(parts, "block").join(right, "block2").coalesce(number), axes, kind, threshold, False))
+    found = cut(found)
     rows = good.withColumns(hashed).select("vec_id", "h1", "h2")
     known = cut(rows.join(classes.select("h1", "h2", "klass"), ["h1", "h2"]).select("vec_id", "klass"))
     ties = known.groupBy("vec_id").agg(F.min("klass").alias("node"), F.max("klass").alias("most")).where("node < most")
