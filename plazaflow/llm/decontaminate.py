@@ -32,7 +32,7 @@ SIFTED = 1_000_000
 UNITS = "mm cm m km kg g mg lb lbs oz l ml mi mile miles foot feet inch inches meter meters metre metres gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degree degrees mph kph".split()
 WORD, NUMBER, NAME, UNIT = range(4)
 READINGS = USUAL, OPENED, SPELLED, EXACT = range(4)
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def word_hash(word: str) -> int:

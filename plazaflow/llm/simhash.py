@@ -22,6 +22,8 @@ from plazaflow.llm.graph import components, least_of
 RADIUS, SHINGLE, SEED, BITS = 4, 4, 42, 64
 #: Larger buckets are not compared as they are: a second family of masks over the bits not yet looked at divides them.
 BUCKET = 2048
+#: Bytes of text that are looked at together.
+SLICE = 2 << 20
 #: With so few free bits a mask could look at none of them; a bucket has at most two to their number then.
 FEW = 16
 
@@ -81,7 +83,7 @@ def with_fingerprint(docs: DataFrame, *more: Column) -> DataFrame:
     names = [c for c in read.columns if c != "text"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, "text"):
+        for batch in batches(source, "text", SLICE):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fingerprints(batch.column("text")).view(np.int64))], [*names, "fp"])
 
     return read.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "fp"]))
