@@ -149,7 +149,7 @@ def references(spark, d):
 
 
 @query(
-    f"""{O} SELECT k, iso || 'T00:00:00' || {SUMMER.format('day')} AS midnight, iso AS from_day, CASE WHEN k % 5 > 0 THEN iso END AS fecha, CASE WHEN k % 5 > 0 AND k % 2 = 0 THEN iso || 'T19:30:00' END AS datetime, CASE WHEN k % 5 > 0 THEN k % 2 = 0 END AS tiene_hora,
+    f"""{O} SELECT k, iso || 'T00:00:00' || {SUMMER.format('day')} AS midnight, iso AS from_day, CASE WHEN k % 5 > 0 THEN iso END AS fecha, CASE WHEN k % 5 > 0 AND k % 2 = 0 THEN iso || 'T19:30:00' END AS datetime, k % 5 > 0 AND k % 2 = 0 AS tiene_hora,
   CASE WHEN k % 3 = 0 THEN iso ELSE iso || 'T' || lpad(CAST(k % 24 AS VARCHAR), 2, '0') || ':05:00' END AS joined, CAST(k % 60 // 7 + 1 AS INTEGER) AS weeks, CAST(day + CAST(k % 60 // 7 * 7 AS INTEGER) AS VARCHAR) AS last_week,
   iso || 'T10:00' AS first, CASE WHEN k % 2 = 0 THEN CAST(day + 2 AS VARCHAR) END AS last, strftime(TIMESTAMP '1970-01-01' + to_seconds(k * 100003), '%Y-%m-%dT%H:%M:%SZ') AS epoch,
   CASE WHEN k % 4 = 0 THEN 'pronto' ELSE iso || 'T' || CASE WHEN day >= DATE '2024-03-31' AND day < DATE '2024-10-27' THEN '14' ELSE '13' END || ':30:00' || CASE WHEN day >= DATE '2024-03-31' AND day < DATE '2024-10-27' THEN '+02:00' ELSE '+01:00' END END AS local,
@@ -167,7 +167,7 @@ def record_times(spark, d):
         dates.from_day(day)["d"].cast("string").alias("from_day"),
         s["fecha"].alias("fecha"),
         s["datetime"].alias("datetime"),
-        s["tiene_hora"].alias("tiene_hora"),
+        F.coalesce(s["tiene_hora"], F.lit(False)).alias("tiene_hora"),
         dates.day_and_time(iso, F.when(k % 3 > 0, said(num(k % 24), ".05 h"))).alias("joined"),
         F.size(weeks).alias("weeks"),
         F.array_max(weeks).cast("string").alias("last_week"),
@@ -386,7 +386,7 @@ def merged_values(spark, d):
 
 @query(
     f"""{O}, s AS (SELECT k, list_transform(range(12), lambda i: DATE '2024-01-10' + CAST(i * (k % 9) AS INTEGER)) AS days FROM o)
-SELECT k, CASE WHEN k % 2 = 0 THEN CASE WHEN len(list_filter(days, lambda x: x >= {T})) > 0 THEN least(8, len(list_filter(days, lambda x: x >= {T}))) ELSE 1 END END AS n_sessions,
+SELECT k, CASE WHEN k % 2 = 0 THEN CASE WHEN len(list_filter(days, lambda x: x >= {T})) > 0 THEN least(8, len(list_filter(days, lambda x: x >= {T}))) ELSE 1 END ELSE 0 END AS n_sessions,
   CASE WHEN k % 2 = 0 THEN CAST(CASE WHEN len(list_filter(days, lambda x: x >= {T})) > 0 THEN list_filter(days, lambda x: x >= {T})[1] ELSE days[12] END AS VARCHAR) END AS first_session,
   CAST(CASE WHEN k % 10 >= 6 THEN 5 ELSE k % 10 END AS INTEGER) AS n_links, 'compra detalle enlace' AS kinds, CASE WHEN k % 3 = 0 THEN 'Danza|Baile' ELSE 'Otros' END AS looked_up, 'Comunidad' || CASE WHEN k % 4 = 0 THEN '|Baile' ELSE '' END || CASE WHEN k % 2 = 1 THEN '|Música' ELSE '' END AS labels,
   CASE WHEN k % 3 = 0 THEN 'Cultura' WHEN k % 3 = 1 THEN 'Portada' ELSE 'Danza' END AS categories, CASE WHEN k % 2 = 0 THEN 'uno' ELSE 'dos ' || k END AS card,
@@ -407,7 +407,7 @@ def feed_values(spark, d):
     times = F.when(k % 3 == 0, F.array(F.lit("2024-01-05T10:00"), F.lit("2024-01-05T12:00"))).when(k % 3 == 1, F.array(F.lit("2024-01-05T10:00"), F.lit("2024-01-06T10:00"))).otherwise(F.transform(F.sequence(F.lit(10), F.lit(20)), lambda i: said("2024-01-", num(i), "T10:00")))
     return orders(spark, d).select(
         "k",
-        F.size(slim).cast("bigint").alias("n_sessions"),
+        F.when(slim.isNotNull(), F.size(slim)).otherwise(0).cast("bigint").alias("n_sessions"),
         F.get(slim, F.lit(0))["fecha"].alias("first_session"),
         F.size(arrays.slim_links(some)).alias("n_links"),
         first.alias("kinds"),
