@@ -319,13 +319,17 @@ def merge_key_groups(spark, d):
 
 
 @query(
-    f"""{RP}, p AS (SELECT *, {KEY} AS k FROM rp)
-SELECT min(doc_id) AS first_id, count(DISTINCT fuente) AS n_sources, count(DISTINCT fuente || id) AS n_ids, max(length({CLEAN.format('descripcion')})) AS longest FROM p GROUP BY k"""
+    f"""{RP}, p AS (SELECT rp.*, {KEY} AS k, coalesce(prio, 99) AS rank, length({CLEAN.format('descripcion')}) AS n FROM rp LEFT JOIN (VALUES {PRIORITY}) AS q(s, prio) ON s = fuente),
+g AS (SELECT k, min(doc_id) AS first_id, count(DISTINCT fuente) AS n_sources, count(DISTINCT fuente || id) AS n_ids, max(n) AS longest, list({{'d': doc_id, 'r': rank, 'n': n, 'p': precio}} ORDER BY doc_id) AS l FROM p GROUP BY k),
+w AS (SELECT *, list_reduce(l, lambda a, x: CASE WHEN x.r < a.r OR (x.r = a.r AND x.n > a.n) THEN {{'d': x.d, 'r': x.r, 'n': greatest(a.n, x.n), 'p': CASE WHEN x.p = 0 THEN a.p ELSE x.p END}}
+  ELSE {{'d': a.d, 'r': a.r, 'n': greatest(a.n, x.n), 'p': CASE WHEN a.p = 0 THEN x.p ELSE a.p END}} END) AS m FROM g)
+SELECT first_id, n_sources, n_ids, longest, m.p AS precio, m.p = 0 AS es_gratis, 'plan:' || fuente || ':' || id AS id, fuente, titulo, lugar, CAST(inicio AS VARCHAR) AS fecha_inicio, CAST(fin AS VARCHAR) AS fecha_fin, url FROM w JOIN rp ON doc_id = m.d"""
 )
 def merge_exact(spark, d):
-    """E1, E8-E10, A4-A6."""
+    """The record that leads each merge, by source and completeness, and what the others add to it."""
     m = resolve.merge_exact(plans(spark, d))
-    return m.select(F.col("_ord").alias("first_id"), F.size("fuentes_relacionadas").cast("bigint").alias("n_sources"), F.size("ids_relacionados").cast("bigint").alias("n_ids"), F.length("contenido").cast("bigint").alias("longest"))
+    counted = [F.size("fuentes_relacionadas").cast("bigint").alias("n_sources"), F.size("ids_relacionados").cast("bigint").alias("n_ids"), F.length("contenido").cast("bigint").alias("longest")]
+    return m.select(F.col("_ord").alias("first_id"), *counted, "precio", "es_gratis", "id", "fuente", "titulo", "lugar", "fecha_inicio", "fecha_fin", "url")
 
 
 @query()
@@ -386,12 +390,14 @@ def _rule_sql(blob: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(hits)} THEN '{c}' END" for c, hits in found.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query(
-    f"""{RP}, b AS (SELECT doc_id, concat_ws(' ', nullif(titulo, ''), lugar, categoria, categoria, fuente) AS strong, concat_ws(' ', substr({CLEAN.format('descripcion')}, 1, 320), {CLEAN.format('descripcion')}) AS weak FROM rp),
+#: The categories of rp's records in SQL: norm, one list a record.
+NORMALIZED = f"""b AS (SELECT doc_id, concat_ws(' ', nullif(titulo, ''), lugar, categoria, categoria, fuente) AS strong, concat_ws(' ', substr({CLEAN.format('descripcion')}, 1, 320), {CLEAN.format('descripcion')}) AS weak FROM rp),
 s AS (SELECT doc_id, {_rule_sql('strong')} AS a, {_rule_sql('weak')} AS w FROM b),
-m AS (SELECT doc_id, CASE WHEN len(a) >= 2 THEN a ELSE a || (list_filter(w, lambda x: NOT list_contains(a, x)))[1:(2 - len(a))] END AS l FROM s)
-SELECT doc_id, array_to_string((CASE WHEN len(l) = 0 THEN ['{dims.LEISURE}'] WHEN len(l) > 1 THEN list_filter(l, lambda x: x <> '{dims.LEISURE}') ELSE l END)[1:3], '|') AS labels FROM m"""
-)
+m AS (SELECT doc_id, CASE WHEN len(a) >= 2 THEN a ELSE a || (list_filter(w, lambda x: NOT list_contains(a, x)))[1:(2 - len(a))] END AS l FROM s),
+norm AS (SELECT doc_id, (CASE WHEN len(l) = 0 THEN ['{dims.LEISURE}'] WHEN len(l) > 1 THEN list_filter(l, lambda x: x <> '{dims.LEISURE}') ELSE l END)[1:3] AS cats FROM m)"""
+
+
+@query(f"{RP}, {NORMALIZED} SELECT doc_id, array_to_string(cats, '|') AS labels FROM norm")
 def classify(spark, d):
     """R3, R4."""
     return enrich.classify(plans(spark, d)).select(F.col("_ord").alias("doc_id"), F.array_join("categorias_normalizadas", "|").alias("labels"))
@@ -427,10 +433,13 @@ def map_points(spark, d):
     return discover.map_points(discover.view_events(feed(spark, d), now())).drop("ids")
 
 
-@query(f"{VIEW} SELECT fuente AS source, count(*) AS n, min(doc_id) AS first FROM v GROUP BY 1")
+@query(
+    f"""{VIEW}, {NORMALIZED}, e AS (SELECT 'source' AS facet, fuente AS value, doc_id FROM v UNION ALL SELECT 'category', unnest(cats), doc_id FROM norm SEMI JOIN v USING (doc_id))
+SELECT facet, value, count(*) AS n, min(doc_id) AS first FROM e GROUP BY 1, 2"""
+)
 def facets(spark, d):
-    """Sources."""
-    return discover.facets(discover.view_events(feed(spark, d), now())).where("facet = 'source'").select(F.col("value").alias("source"), "n", "first")
+    """G3."""
+    return discover.facets(discover.view_events(feed(spark, d), now())).select("facet", "value", "n", "first")
 
 
 @query(f"{VIEW} SELECT count(*) AS total, count(*) FILTER (WHERE (prim < {T} + 1 OR ongoing) AND precio = 0) AS free_today, count(*) FILTER (WHERE prim < {T} + 1 OR ongoing) AS today, count(*) FILTER (WHERE lat BETWEEN 40.25 AND 40.60 AND lon BETWEEN -3.92 AND -3.48) AS with_coordinates, (SELECT count(*) FROM documents) AS news FROM v")
