@@ -430,7 +430,13 @@ SELECT la AS lat, lo AS lon, count(*) AS n, round(least(15.0, 8.0 + 2.0 * log2(c
 )
 def map_points(spark, d):
     """G12."""
-    return discover.map_points(discover.view_events(feed(spark, d), now())).drop("ids")
+    return discover.map_points(discover.view_events(feed(spark, d), now()))
+
+
+@query(f"{VIEW} SELECT round(lat, 4) AS lat, round(lon, 4) AS lon, 'plan:' || fuente || ':' || id AS id FROM v WHERE round(lat, 5) BETWEEN 40.25 AND 40.60 AND round(lon, 5) BETWEEN -3.92 AND -3.48")
+def map_members(spark, d):
+    """The plans of each mark."""
+    return discover.map_members(discover.view_events(feed(spark, d), now()))
 
 
 @query(

@@ -235,12 +235,21 @@ def city_stats(view: DataFrame, news: DataFrame) -> DataFrame:
     return stats.crossJoin(news.agg(F.count(F.lit(1)).alias("news")))  # one row each
 
 
+def _mark(c: str) -> Column:
+    return F.round(F.col(c), 4)
+
+
 def map_points(view: DataFrame) -> DataFrame:
-    """G12. Plans of a place (four decimals), with the mark's radius."""
-    at = lambda c: F.round(F.col(c), 4)
+    """G12. Marks of a map: places (four decimals) with their number of plans and the mark's radius. A place's plans are
+    rows of map_members(), so that a mark of very many is no row of very many."""
     n = F.count(F.lit(1))
     radius = F.least(F.lit(15.0), F.lit(8.0) + F.lit(2.0) * F.log2(n.cast("double")))
-    return view.where("has_coordinates").groupBy(at("latitud").alias("lat"), at("longitud").alias("lon")).agg(n.alias("n"), F.round(radius, 6).alias("radius"), F.array_sort(F.collect_list("id")).alias("ids"))
+    return view.where("has_coordinates").groupBy(_mark("latitud").alias("lat"), _mark("longitud").alias("lon")).agg(n.alias("n"), F.round(radius, 6).alias("radius"))
+
+
+def map_members(view: DataFrame) -> DataFrame:
+    """G12. (lat, lon, id): the plans of each mark."""
+    return view.where("has_coordinates").select(_mark("latitud").alias("lat"), _mark("longitud").alias("lon"), "id")
 
 
 def agenda(view: DataFrame, saved: DataFrame, key: str = "id") -> DataFrame:
