@@ -199,7 +199,7 @@ LIKE = "CASE WHEN regexp_replace(lower({0}), '[.…]+$', '') = regexp_replace(lo
 )
 def slim_feed(spark, d):
     """20 of the feed's fields; of the others those that these records can't have are counted."""
-    events, _ = publish.build_feeds(plans(spark, d).withColumn("categorias_normalizadas", F.array(F.lit("Cine"))).withColumn("categoria_principal_norm", F.lit("Cine")), news(spark, d).withColumn("categoria_principal_norm", F.lit("x")), today(), now())
+    events, _ = publish.build_feeds(kept(plans(spark, d)).withColumns({"categorias_normalizadas": F.array(F.lit("Cine")), "categoria_principal_norm": F.lit("Cine")}), news(spark, d).withColumn("categoria_principal_norm", F.lit("x")), today(), now())
     never = ["subtitulo", "imagen", "fuentes_relacionadas", "url_compra", "direccion", "moneda", "datetime_inicio", "sesiones", "valoracion"]
     filled = sum((F.col(c).isNotNull().cast("int") for c in never), F.lit(0))
     shown = "id titulo resumen descripcion fuente url lugar latitud longitud precio es_gratis modo_fecha estado_temporal fecha_inicio fecha_fin proxima_fecha proximo_datetime sort_datetime vigente_hasta".split()
@@ -212,7 +212,7 @@ SELECT doc_id, row_number() OVER (ORDER BY CAST(dy AS VARCHAR) || 'T00:00:00' ||
 )
 def feed_array(spark, d):
     """The feed as one JSON array, record by record, in its order."""
-    events, _ = publish.build_feeds(plans(spark, d).withColumns({"categorias_normalizadas": F.array(F.lit("Cine")), "categoria_principal_norm": F.lit("Cine")}), news(spark, d).withColumn("categoria_principal_norm", F.lit("x")), today(), now())
+    events, _ = publish.build_feeds(kept(plans(spark, d)).withColumns({"categorias_normalizadas": F.array(F.lit("Cine")), "categoria_principal_norm": F.lit("Cine")}), news(spark, d).withColumn("categoria_principal_norm", F.lit("x")), today(), now())
     array = publish.as_array(events.select("id", "titulo", "precio")).withColumn("_at", F.monotonically_increasing_id()).where("value <> ']'")
     body = F.substring("value", F.lit(2), F.length("value"))
     id_ = F.get_json_object(body, "$.id")
