@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazaflow.llm import bpe, decontaminate, embeddings, pages, quality, secrets, sentences, simhash, substrings, toxicity
-from plazaflow.llm.common import table
+from plazaflow.llm import bpe, decontaminate, embeddings, importance, merkle, pages, quality, secrets, sentences, sharding, simhash, substrings, toxicity
+from plazaflow.llm.common import shared_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +54,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality, op3_embedding_dedup, op4_decontamination, op5_suffix_dedup, op6_html_extraction, op7_byte_bpe, op8_secret_scan, op9_sentence_dedup, op10_simhash)
+    for f in (op1_toxicity, op2_quality, op3_embedding_dedup, op4_decontamination, op5_suffix_dedup, op6_html_extraction, op7_byte_bpe, op8_secret_scan, op9_sentence_dedup, op10_simhash, op11_importance, op12_sharding, op13_merkle)
 }
 
 #: SQL for those that SQL can express: links and reach, 50-byte strings, blocks of these pages, spans of sentences.

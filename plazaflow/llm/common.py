@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Odd multipliers of the polynomial and mixing hashes below.
@@ -51,6 +51,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, key: str | None = None, size: str | None = None) -> DataFrame:
+    """df with each row's place, from 0, in an order: among all rows, or those of its key (null is a key too), and, if `size`
+    names a column, with how many these are.
+
+    Rows are dealt out by ranges of (key, order), sorted and numbered there; only sizes of (range, key) meet, so neither a
+    key nor the whole is ever gathered. The row's place in df's own partitions is the last part of the order, so that rows
+    alike in all else are divided too. What is numbered is written, as ranges must not differ between uses; df must be such
+    a written table itself, as it is read twice.
+    """
+    tie, at, part, first, before = (unused(n, df) for n in ("_tie", "_at", "_part", "_first", "_before"))
+    by = ([F.col(key)] if key else []) + order + [F.col(tie)]
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id())
+    dealt = cut(dealt.withColumn(part, F.shiftright(at, 33)).drop(tie))
+    groups = [key] if key else []
+    sizes = dealt.groupBy(part, *groups).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(before))
+    earlier = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    own, total = unused("_own", df), size or unused("_size", df)
+    sizes = sizes.withColumns({total: F.sum(before).over(Window.partitionBy(*groups)), before: F.coalesce(F.sum(before).over(earlier), F.lit(0))})
+    sizes = sizes.select(F.col(part).alias(own), first, before, total, *(F.col(g).alias(own + g) for g in groups))
+    same = F.col(part) == F.col(own)
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(own + g))
+    placed = dealt.join(F.broadcast(sizes) if not key else sizes, same)
+    return placed.select(*df.columns, (F.col(at) - F.col(first) + F.col(before)).alias(name), *([size] if size else []))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where labels may not be learned from: crc32 of the id's digits leaves 1 modulo 3; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
