@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazaflow.llm import bpe, decontaminate, embeddings, importance, merkle, pages, quality, secrets, sentences, sharding, simhash, substrings, toxicity
+from plazaflow.llm import bpe, dataset_sql, decontaminate, embeddings, importance, merkle, pages, quality, secrets, sentences, sharding, simhash, substrings, toxicity
 from plazaflow.llm.common import shared_folder, table
 
 
@@ -72,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL for those that SQL can express: links and reach, 50-byte strings, blocks of these pages, spans of sentences.
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = dataset_sql.ORACLE_SQL | {
     "op3_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
 reach(a, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, reach.r FROM reach JOIN pairs p ON p.a = reach.a),
