@@ -15,7 +15,10 @@ token not counted:
    whose slots hold MAIN_SHARE of the text that varies; around it, elements that add nothing but headings to it.
 
 A page's main text is what its slots within the main container hold. Elements that never hold main text (menus, footers,
-forms, scripts ...) are no part of any slot.
+forms, scripts ...) are no part of any slot. An article may repeat what others of its host say, so texts of the template in
+an article or main element are its own unless they stand in a box of the template, such as a notice, that holds nothing else
+on any page. Pages whose text is the template's for the most part are copies of one another, which have made the template:
+they keep all of it, and a host of such pages finds its main container by all text instead of that which varies.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ from plazaflow.llm.common import batches, cut, texts
 SUPPORT = 0.8
 #: Share of the text that varies that a main container's slots must hold.
 MAIN_SHARE = 0.6
+#: Share of a page's main text, or of a host's, from which on what is the template's makes it a copy.
+COPY = 0.5
+#: An article beside one that is larger by more than this is a teaser.
+TEASER = 0.125
 #: Templates up to this size are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -61,6 +68,8 @@ NEVER = frozenset("nav footer aside form head script style noscript template ifr
 NEVER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pagination popup promo promoted promotion related search share sharing sidebar skip social sponsor sponsored subscribe taboola toolbar widget widgets".split()
 )
+#: Those of them that say so within an article or main element as well.
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising comment comments cookie cookies disqus newsletter outbrain promoted sponsored taboola".split())
 PARTS = frozenset("area bar block bottom box button buttons container content form global group header inner item items left link links list main outer page panel primary reader readers right secondary section site slot thread top user wrap wrapper".split())
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 OPEN, CLOSE, TEXT, PAGE = range(4)
@@ -78,6 +87,7 @@ class Piece:
     never: bool
     heading: bool
     inside: bool  # the main container asked for
+    boxed: bool  # in one of the elements asked for that hold the template's words only
     own: tuple[int, ...]  # numbers of the article and main elements of the page that it stands in, innermost first
 
 
@@ -107,23 +117,26 @@ class Element:
     never: bool
     heading: bool
     inside: bool
+    boxed: bool
     own: tuple[int, ...]
     fact: Fact | None = None
     chars: int = 0
     heads: int = 0
 
 
-_labels: dict[tuple[str, str], tuple[str, bool]] = {}
+_labels: dict[tuple[str, str], tuple[str, bool, bool]] = {}
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """The element's name in paths, and whether it never holds main text."""
+def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """The element's name in paths, and whether it never holds main text: outside of articles, and within."""
     known = _labels.get((tag, attrs))
     if known is None:
         names = [next(filter(None, m), "") for m in NAMED.findall(attrs)] if "=" in attrs else []
         words = {w.lower() for n in names for w in SPLIT.split(n) if w}
-        never = any((own := {w.lower() for w in SPLIT.split(n) if w}) & NEVER_WORDS and own <= NEVER_WORDS | PARTS for value in names for n in value.split())
-        known = tag + "".join("." + w for w in sorted(words)), tag in NEVER or never and tag not in ("body", "html", "article", "main")
+        each = [{w.lower() for w in SPLIT.split(n) if w} for value in names for n in value.split()]
+        said = [own & NEVER_WORDS for own in each if own <= NEVER_WORDS | PARTS]
+        named = tag not in ("body", "html", "article", "main")
+        known = tag + "".join("." + w for w in sorted(words)), tag in NEVER or named and any(said), tag in NEVER or named and any(x & SURE_WORDS for x in said)
         if len(_labels) > 20_000:
             _labels.clear()
         if len(attrs) < 400:
@@ -139,15 +152,15 @@ def text_token(path: int, text: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(text, path & MASK))
 
 
-def parse(html: str, main: int | None = None) -> Page:
+def parse(html: str, main: int | None = None, boxes: frozenset[int] = frozenset()) -> Page:
     """Blocks of text in page order and the page's tokens, in time linear in the page; never fails on malformed markup.
 
-    A tag that doesn't end before the page does is text, and from there on tags end at the next >. main: path of the
-    container that pieces are asked to stand in.
+    A tag that doesn't end before the page does is text, and from there on tags end at the next >. main, boxes: paths of the
+    container that pieces are asked to stand in, and of elements that hold the template's words only.
     """
     page = Page()
     tokens = page.tokens
-    stack = [Element("", 0, False, False, False, ())]
+    stack = [Element("", 0, False, False, False, False, ())]
     open_: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a tag stand
     borders = [0]  # where containers stand
     buffer: list[str] = []
@@ -166,7 +179,7 @@ def parse(html: str, main: int | None = None) -> Page:
             buffer.clear()
             if text:
                 top = stack[-1]
-                page.pieces.append(Piece(top.path, text, top.never, top.heading, top.inside, top.own))
+                page.pieces.append(Piece(top.path, text, top.never, top.heading, top.inside, top.boxed, top.own))
                 if not top.never:
                     top.chars += len(text)
                     top.heads += len(text) if top.heading else 0
@@ -231,8 +244,8 @@ def parse(html: str, main: int | None = None) -> Page:
         if tag in VOID:
             continue
         top = stack[-1]
-        label, never = _label(tag, attrs)
-        never = never or top.never or tag == "header" and not top.own
+        label, outside, within = _label(tag, attrs)
+        never = (within if top.own else outside) or top.never or tag == "header" and not top.own
         if never and not top.never:
             flush()
         path, fact = top.path, None
@@ -246,7 +259,7 @@ def parse(html: str, main: int | None = None) -> Page:
         open_[tag].append(len(stack))
         if tag in CONTAINERS:
             borders.append(len(stack))
-        stack.append(Element(tag, path, never, tag in HEADINGS or top.heading and tag not in CONTAINERS, top.inside or path == main, own, fact))
+        stack.append(Element(tag, path, never, tag in HEADINGS or top.heading and tag not in CONTAINERS, top.inside or path == main, top.boxed or path in boxes, own, fact))
         if tag in RAW_END:
             m = RAW_END[tag].search(html, at)
             at = m.end() if m else size
@@ -289,12 +302,13 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 @dataclass
 class Template:
-    """A host's template: its nested classes, each with the slot that it stands in (0 for the top), its texts, and the path
-    of its main container (None if it has none)."""
+    """A host's template: its nested classes, each with the slot that it stands in (0 for the top), its texts, the path
+    of its main container (None if it has none), and of elements that hold no text but the template's."""
 
     classes: list[tuple[int, list[tuple[int, int]]]]
     texts: frozenset[int]
     main: int | None
+    boxes: frozenset[int] = frozenset()
 
 
 def nested(tokens: list[tuple[int, int]], parent: dict[tuple[int, int], int], above: dict[int, int], depth: dict[int, int]) -> list[tuple[int, int]]:
@@ -362,15 +376,20 @@ def deduce(tokens: list[dict]) -> Template:
     for t in tokens:
         if t["kind"] == TEXT and t["token"] in boilerplate:
             less[t["parent"]] += t["chars"]
+    every = dict(chars)
     for path in sorted(chars, key=lambda p: -depth[p]):  # what varies is the rest
         chars[path] -= less[path]
         less[above[path]] += less[path]
+    boxes = frozenset(p for p in within if tag[p] in CONTAINERS and every[p] and not chars[p])
+    top = [p for p in chars if above[p] not in chars]
+    if sum(chars[p] for p in top) < COPY * sum(every[p] for p in top):
+        chars = every
     total = max((n for path, n in chars.items() if above[path] not in chars), default=0)
     inside = [p for p in within if tag[p] in MAIN and total > 0 and chars[p] >= MAIN_SHARE * total]
     main = max(inside, key=lambda p: (depth[p], chars[p], p), default=None)
     while main is not None and (up := above[main]) in within and tag[up] in MAIN - {"body"} and chars[up] - heads[up] <= chars[main] - heads[main]:
         main = up
-    return Template(found, frozenset(boilerplate), main)
+    return Template(found, frozenset(boilerplate), main, boxes)
 
 
 NO_TEMPLATE = Template([], frozenset(), None)
@@ -383,21 +402,27 @@ def own_template(html: str) -> Template:
 
 def slots(html: str, template: Template) -> list[str]:
     """The blocks of the main text, in page order: what the slots in the main container hold, or those of the whole page
-    where it lacks that container. Where one article or main element there holds MAIN_SHARE of the text, the others, such as
-    teasers, are left out; headings around it stay. A page that holds no text but the template's is a copy and keeps it."""
-    pieces = [p for p in parse(html, template.main).pieces if not p.never]
+    where it lacks that container.
+
+    Where article and main elements there hold MAIN_SHARE of the text, what stands outside of them is left out, and so are
+    articles that are teasers beside the largest one; all others stay, in order. A page whose text is the template's for the
+    most part is a copy and keeps it.
+    """
+    pieces = [p for p in parse(html, template.main, template.boxes).pieces if not p.never]
     if any(p.inside for p in pieces):
         pieces = [p for p in pieces if p.inside]
     held: dict[tuple[int, ...], int] = defaultdict(int)
     for p in pieces:
         held[p.own[:1]] += len(p.text)
     if len(held) > 1:
-        most = max(held, key=lambda k: (held[k], k))
-        if most and held[most] >= MAIN_SHARE * sum(held.values()):
-            around = next(p.own for p in pieces if p.own[:1] == most)
-            pieces = [p for p in pieces if p.own[:1] == most or p.heading and p.own and p.own[0] in around]
-    varying = [p for p in pieces if text_token(p.path, p.text) not in template.texts] if template.texts else pieces
-    return [p.text for p in varying or pieces]
+        if held[()] < (1 - MAIN_SHARE) * sum(held.values()):
+            del held[()]
+        largest = max(held, key=lambda k: (held[k], k))
+        around = {k for p in pieces if p.own[:1] == largest for k in p.own}
+        pieces = [p for p in pieces if (k := p.own[:1]) in held and (held[k] >= TEASER * held[largest] or k and k[0] in around)]
+    own = [p for p in pieces if text_token(p.path, p.text) not in template.texts or p.own and not p.boxed] if template.texts else pieces
+    copied = sum(len(p.text) for p in own) < COPY * sum(len(p.text) for p in pieces)
+    return [p.text for p in (pieces if copied else own)]
 
 
 def with_host(pages: DataFrame) -> DataFrame:

@@ -128,6 +128,33 @@ def test_main_text_is_not_what_names_say(spark):
     assert set(copies.values()) == {"The same text on either page, a copy."}
 
 
+def test_article_text_that_a_host_repeats_stays(spark):
+    """Near-copies, series, several articles, and words in class names that only mean something outside of an article."""
+    first = "<h1>Head</h1><p>The first paragraph of the story, some words long.</p><p>And the second one, of as many words.</p>"
+    told_ = "Head\nThe first paragraph of the story, some words long.\nAnd the second one, of as many words."
+    for box in ("article", "main", "div"):
+        page = f"<body><nav>Menu</nav><{box}>{{}}</{box}><footer>Foot</footer></body>"
+        got = told(spark, [(1, "http://h/1", page.format(first)), (2, "http://h/2", page.format(first + "<p>Update: D.</p>"))])
+        assert got == {1: told_, 2: told_ + "\nUpdate: D."}
+    dated = "<body><div class=meta>Printed on {}</div><div class=story>" + first + "</div></body>"
+    assert told_ in told(spark, [(k, f"http://h/{k}", dated.format(k)) for k in range(3)])[1]
+    series = "<body><div class=note>No cookies.</div><article><h1>Daily report</h1><p>This series looks at the weather.</p><p>On day {k} there were {n} drops of rain, and some wind in the evening.</p><div class=strip><p>Prices are without tax.</p></div></article></body>"
+    got = told(spark, [(k, f"http://h/{k}", series.format(k=k, n=k * 7)) for k in range(10)])
+    assert all(got[k] == f"Daily report\nThis series looks at the weather.\nOn day {k} there were {k * 7} drops of rain, and some wind in the evening." for k in range(10))
+    two = "<body><main><article><p>" + "Seven parts of it {k}. " * 7 + "</p></article><article><p>" + "Three parts of it {k}. " * 3 + "</p></article></main></body>"
+    assert told(spark, [(k, f"http://h/{k}", two.format(k=k)) for k in range(3)])[2] == "\n".join(" ".join([f"{n} parts of it 2."] * m) for n, m in (("Seven", 7), ("Three", 3)))
+    named = "<body><article><h1>Markets {k}</h1><div class='share'>Share price {k}</div><div class='search results'>Results {k}</div><section class='related'>Related {k}</section><div class='ad'>Buy {k}</div><div class='comments'>Nice {k}</div></article><div class='share'>Tell {k}</div></body>"
+    assert told(spark, [(k, f"http://h/{k}", named.format(k=k)) for k in range(3)])[0] == "Markets 0\nShare price 0\nResults 0\nRelated 0"
+
+
+def test_main_container_without_article_elements(spark):
+    """Only the host's template tells which of two boxes holds the main text, and which text in it is a notice."""
+    page = "<body><div class=a><p>Story number {k} is about {n} things and goes on for quite a while.</p><div class=b>Prices are without tax.</div></div><div class=c><p>By {k}</p></div></body>"
+    html_ = [page.format(k=k, n=k * 7) for k in range(9)]
+    got = told(spark, [(k, f"http://h/{k}", h) for k, h in enumerate(html_)])
+    assert all(got[k] == f"Story number {k} is about {k * 7} things and goes on for quite a while." != "\n".join(pages.slots(html_[k], pages.NO_TEMPLATE)) for k in got)
+
+
 def test_classes_are_nested():
     parent = {(k, p): a for p, a in ((1, 0), (2, 1), (3, 1)) for k in (pages.OPEN, pages.CLOSE)} | {(pages.TEXT, 9): 2}
     above, depth = {1: 0, 2: 1, 3: 1}, {1: 1, 2: 2, 3: 2}
