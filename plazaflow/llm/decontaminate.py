@@ -8,21 +8,23 @@ names stays consistent, a chance likeness of templates does not.
 
 Whether a capitalised word is a name can't always be told, so texts are read in several ways, and windows meet only within
 one reading: USUAL as above; OPENED with capitalised words that open a sentence as names too; SPELLED with all names as plain
-words, which finds copies in lower case. Items without a window of enough words in the usual reading, such as lists of numbers,
+words, which finds copies in lower case; LOWERED, for copies in lower case with other names, where an item's names, wherever they
+stand, may meet any words of a document, up to NAMES in a window. Items without a window of enough words in the usual reading, such as lists of numbers,
 are read as EXACT: every word and number stands for itself, so their windows must agree in all values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plazaflow.llm.common import BASE, batches, cut, mixed, range_hashes, unused, utf8
+from plazaflow.llm.common import BASE, batches, cut, mixed, power, range_hashes, unused, utf8
 
 #: Template tokens in a window; words among them that must not be placeholders; share of an item's windows that makes a leak.
 WINDOW, LITERALS, SHARE = 5, 3, 0.5
@@ -31,8 +33,16 @@ SIFTED = 1_000_000
 #: Words for units, after a number.
 UNITS = "mm cm m km kg g mg lb lbs oz l ml mi mile miles foot feet inch inches meter meters metre metres gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degree degrees mph kph".split()
 WORD, NUMBER, NAME, UNIT = range(4)
-READINGS = USUAL, OPENED, SPELLED, EXACT = range(4)
+READINGS = USUAL, OPENED, SPELLED, EXACT, LOWERED = range(5)
+#: Names in a window in the reading LOWERED.
+NAMES = WINDOW - LITERALS
+#: Scripts without spaces, whose letters are words each (first and last code point): Thai and Lao, Myanmar, Khmer, kana, Chinese
+#: characters, kana of half width, rarer Chinese characters; and signs among them that are no letters.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+SIGNS = [(0x2000, 0x2BFF), (0x3000, 0x3040), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
 SLICE = 1 << 20
+#: Bits of a hash that a table of what is looked for is read by, before the sorted hashes are.
+SIFT_BITS = 20
 
 
 def word_hash(word: str) -> int:
@@ -51,6 +61,36 @@ def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
+class Sift:
+    """Whether hashes are among those looked for: a table of their first bits turns most away."""
+
+    def __init__(self, among: np.ndarray):
+        self.among = among
+        self.table = np.zeros(1 << SIFT_BITS, bool)
+        self.table[among >> np.uint64(64 - SIFT_BITS)] = True
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """Where among the values those looked for stand."""
+        near = np.flatnonzero(self.table[values >> np.uint64(64 - SIFT_BITS)])
+        return near[_within(values[near], self.among)]
+
+
+def letters_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of characters of three and four bytes: where they begin, their number of bytes, and their code points."""
+    three, four = np.flatnonzero((raw[:-2] & 0xF0) == 0xE0) if len(raw) > 2 else np.zeros(0, int), np.flatnonzero((raw[:-3] & 0xF8) == 0xF0) if len(raw) > 3 else np.zeros(0, int)
+    low = lambda at: (raw[at] & 63).astype(np.int64)
+    codes = ((raw[three] & 15).astype(np.int64) << 12) | (low(three + 1) << 6) | low(three + 2)
+    more = ((raw[four] & 7).astype(np.int64) << 18) | (low(four + 1) << 12) | (low(four + 2) << 6) | low(four + 3)
+    return np.r_[three, four], np.r_[np.full(len(three), 3), np.full(len(four), 4)], np.r_[codes, more]
+
+
+def _in_ranges(codes: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    found = np.zeros(len(codes), bool)
+    for first, last in ranges:
+        found |= (codes >= first) & (codes <= last)
+    return found
+
+
 def words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows: row, the word's hash, and whether it is its row's first, a number, capitalised, the first of a sentence."""
     low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
@@ -62,15 +102,17 @@ def words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         capital[:-1] |= accent[1:]
     digit = (raw >= 48) & (raw <= 57)
     letter = ((low >= 97) & (low <= 122)) | (raw >= 0x80)
-    if len(raw) > 2:  # punctuation and signs beyond ASCII
-        lead = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] <= 0xAF))
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[starts[:-1]] = True  # texts don't run into one another
+    if len(raw) > 1:  # punctuation and signs beyond ASCII; letters of scripts without spaces are words each
+        at, size, codes = letters_of(raw)
         for k in range(3):
-            letter[lead + k] = False
+            letter[at[_in_ranges(codes, SIGNS)] + k] = False
+        alone = _in_ranges(codes, UNSPACED)
+        edge[at[alone]] = edge[(at + size)[alone]] = True
         lead = np.flatnonzero((raw[:-1] == 0xC2))
         letter[lead] = letter[lead + 1] = False
     inside = letter | digit
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[starts[:-1]] = True  # texts don't run into one another
     prior = np.r_[False, inside[:-1]] if len(raw) else inside
     start = np.flatnonzero(inside & (~prior | edge[:-1]))
     following = np.r_[inside[1:], False] if len(raw) else inside
@@ -93,40 +135,53 @@ def template(raw: np.ndarray, starts: np.ndarray, reading: int = USUAL) -> tuple
 
 
 def _read(row, own, first, number, proper, opens, reading):
-    name = proper & ~opens if reading == USUAL else proper if reading == OPENED else np.zeros(len(row), bool)
+    name = proper & ~opens if reading == USUAL else proper if reading in (OPENED, LOWERED) else np.zeros(len(row), bool)
     kind = np.where(number, NUMBER, np.where(name, NAME, WORD))
     if reading == EXACT:
         return row, np.full(len(row), WORD), own, own
     after_number = np.r_[False, number[:-1]] & ~first if len(number) else number
     kind[after_number & (kind == WORD) & _within(own, _unit_hashes())] = UNIT
     again = np.r_[False, name[:-1]] & name & ~first if len(name) else name
-    keep = ~again
+    keep = ~again if reading != LOWERED else np.ones(len(row), bool)  # there, each word of a name stands for one
     tokens = np.where(kind == WORD, own, mixed(kind.astype(np.uint64) + np.uint64(1 << 40)))
     return row[keep], kind[keep], tokens[keep], own[keep]
 
 
-def _windows(row, kind, tokens, width, reading):
-    """Of each run of `width` tokens of one row: its place, hash, and whether it has enough words; widths below WINDOW need one."""
+NAME_TOKEN = mixed(np.array([NAME + (1 << 40)], np.uint64))[0]
+
+
+def _windows(row, kind, tokens, width, reading, named: bool = False):
+    """Runs of `width` tokens of one row that have enough words (widths below WINDOW need one): (which of their words stand for names,
+    places, hashes). named: any of the words do, up to NAMES, in all ways."""
     n = len(tokens) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return
     h, literals = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     with np.errstate(over="ignore"):
         for k in range(width):
             h = h * np.uint64(BASE) + tokens[k : k + n]
             literals += kind[k : k + n] == WORD
-        h = mixed(h + np.uint64(width) + np.uint64(reading << 8))
-    good = (row[width - 1 :] == row[:n]) & (literals >= (LITERALS if width == WINDOW else 1))
-    at = np.flatnonzero(good)
-    return at, h[at]
+        salt = np.uint64(width) + np.uint64(reading << 8)
+        whole = row[width - 1 :] == row[:n]
+        least = LITERALS if width == WINDOW else 1
+        turned = [(NAME_TOKEN - tokens[k : k + n]) * power(BASE, width - 1 - k) for k in range(width)] if named else []
+        for size in range(NAMES + 1 if named else 1):
+            enough = whole & (literals >= least + size)
+            for wild in combinations(range(width), size):
+                at = np.flatnonzero(enough if not wild else reduce(np.logical_and, (kind[k : k + n] == WORD for k in wild), enough))
+                own = h[at]
+                for k in wild:
+                    own = own + turned[k][at]
+                yield wild, at, mixed(own + salt)
 
 
 ROWS = "row_key bigint, text_key bigint, reading int, width int, at bigint, h bigint, slots array<bigint>"
 
 
-def _emit(rows, row_key, text_key, at, first, h, kind, own, width, reading):
+def _emit(rows, row_key, text_key, at, first, h, kind, own, width, reading, wild=()):
     place = at - first[rows[at]]
-    slots = [[int(x) for x in own[i : i + width][kind[i : i + width] != WORD].view(np.int64)] for i in at]
+    named = np.isin(np.arange(width), wild)
+    slots = [[int(x) for x in own[i : i + width][(kind[i : i + width] != WORD) | named].view(np.int64)] for i in at]
     return pa.RecordBatch.from_arrays(
         [pa.array(row_key[rows[at]], pa.int64()), pa.array(text_key[rows[at]], pa.int64()), pa.array(np.full(len(at), reading), pa.int32()), pa.array(np.full(len(at), width), pa.int32()), pa.array(place, pa.int64()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
         ["row_key", "text_key", "reading", "width", "at", "h", "slots"],
@@ -138,11 +193,12 @@ def windows(df: DataFrame, key: str, looked: dict[int, list[int]] | None = None,
 
     For documents, `looked` says which widths of window to look for in which reading, and only those whose hash is in
     `among` are given, if there is such. For items (no `looked`) a text shorter than a window is one window, and readings
-    that change nothing are left out. OPENED has whole windows only: a name and few words would meet chance likenesses.
+    that change nothing are left out. OPENED and LOWERED have whole windows only: a name and few words would meet chance likenesses.
     EXACT is for items that have no window in the usual reading, so every item with a letter or digit has a window.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sift = None if among is None else Sift(among)
         for batch in batches(source, "text", SLICE):
             keys = batch.column("row_key").to_pandas().astype("Int64")
             null = keys.isna().to_numpy()
@@ -150,34 +206,35 @@ def windows(df: DataFrame, key: str, looked: dict[int, list[int]] | None = None,
             raw, starts = utf8(batch.column("text"))
             found = words(raw, starts)
             rows, proper, opens = found[0], found[4], found[5]
-            named = {OPENED: proper & opens, SPELLED: proper & ~opens}
+            named = {OPENED: proper & opens, SPELLED: proper & ~opens, LOWERED: proper}
             held = np.zeros(len(starts) - 1, bool)  # rows with a window in the usual reading
             for reading in READINGS if looked is None else sorted(looked):
-                row, kind, tokens, own = _read(*found, reading)
+                free = looked is not None and reading == LOWERED  # any words may be names there
+                row, kind, tokens, own = _read(*found, SPELLED if free else reading)
                 count = np.bincount(row, minlength=len(starts) - 1)
                 first = np.r_[0, np.cumsum(count)[:-1]]
                 useful = None
                 if looked is None and reading != USUAL:
                     useful = ~held if reading == EXACT else np.bincount(rows[named[reading]], minlength=len(starts) - 1) > 0
                 for width in sorted({min(WINDOW, int(c)) for c in count if c}) if looked is None else looked[reading]:
-                    if reading == OPENED and width < WINDOW:
+                    if reading in (OPENED, LOWERED) and width < WINDOW:
                         continue
-                    at, h = _windows(row, kind, tokens, width, reading)
-                    if looked is None and width < WINDOW:
-                        own_width = count[row[at]] == width
-                        at, h = at[own_width], h[own_width]
-                    if useful is not None:
-                        at, h = at[useful[row[at]]], h[useful[row[at]]]
-                    if reading == USUAL:
-                        held[row[at]] = True
-                    if among is not None:
-                        good = _within(h, among)
-                        at, h = at[good], h[good]
-                    if len(at):
-                        out = _emit(row, keys, text_keys, at, first, h, kind, own, width, reading)
-                        if null.any():
-                            out = out.set_column(0, "row_key", pa.array(np.where(null[row[at]], None, out.column(0).to_pandas()), pa.int64()))
-                        yield out
+                    for wild, at, h in _windows(row, kind, tokens, width, reading, free):
+                        if looked is None and width < WINDOW:
+                            own_width = count[row[at]] == width
+                            at, h = at[own_width], h[own_width]
+                        if useful is not None:
+                            at, h = at[useful[row[at]]], h[useful[row[at]]]
+                        if reading == USUAL:
+                            held[row[at]] = True
+                        if sift is not None:
+                            good = sift.places(h)
+                            at, h = at[good], h[good]
+                        if len(at):
+                            out = _emit(row, keys, text_keys, at, first, h, kind, own, width, reading, wild)
+                            if null.any():
+                                out = out.set_column(0, "row_key", pa.array(np.where(null[row[at]], None, out.column(0).to_pandas()), pa.int64()))
+                            yield out
 
     return df.select(F.col(key).cast("bigint").alias("row_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(run, ROWS)
 

@@ -352,6 +352,23 @@ def test_leaks_with_names_that_open_sentences(spark, monkeypatch):
     assert {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.leaks(docs, bench).collect()} == got
 
 
+def test_leaks_in_lower_case_with_other_names_and_without_spaces(spark, monkeypatch):
+    items = ["Tom has 3 apples. Ann has 5 apples. Sue has twice as many as Ann. How many apples in all?", "今天天气很好我们去公园", "ภาษาไทยไม่มีช่องว่างระหว่างคำ"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    made = [
+        (1, "well: max has 4 apples. eva has 7 apples. kim has twice as many as eva. how many apples in all? yes"),
+        (2, "早上今天天气很好我们去公园晚上"),
+        (3, "เรียน" + items[2] + "ครับ"),
+        (4, "max has 4 apples. eva has 7 apples. kim has twice as many as max. how many pears in all?"),
+        (5, "今天。天气。很好的我们不去"),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    for sifted in (decontaminate.SIFTED, 0):
+        monkeypatch.setattr(decontaminate, "SIFTED", sifted)
+        got = {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.leaks(docs, bench).collect()}
+        assert set(got) == {(1, 1), (2, 2), (3, 3)} and got[1, 1] > 0 and not got[2, 2] + got[3, 3]
+
+
 def test_leaks_of_items_with_few_words(spark, monkeypatch):
     items = ["Compute 12 + 34 * 56 - 78.", "3 1 4 1 5 9 2 6 5 3", "17 42", "take 5 km 6 km 7 km 8 km"]
     bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
@@ -386,7 +403,7 @@ def test_leaks_of_any_width(spark, monkeypatch):
     items = ["Then Anna Bell Carla Dunn Edgar Fox Greta Hill Iris Jones Karl met there", "Compute 12 34 56 78", "Convert 5 km 30 m 20 cm", "天地玄黄 宇宙洪荒 日月盈昃", "天地玄黄宇宙洪荒日月盈昃", "what is this long item about, one may ask, and who would know it at all?"]
     bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string").withColumn("doc_id", F.lit(7)).withColumn("h", F.lit("x"))
     docs = spark.createDataFrame([(i, f"Some words before. {t} and words behind.") for i, t in enumerate(items, 1)], "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("_leak_doc", F.lit(1))
-    expected = {(i, i) for i in range(1, len(items) + 1)}
+    expected = {(i, i) for i in range(1, len(items) + 1)} | {(4, 5), (5, 4)}  # letters of such a script are words, spaces or not
     for sifted in (decontaminate.SIFTED, 0):
         monkeypatch.setattr(decontaminate, "SIFTED", sifted)
         assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == expected
@@ -397,15 +414,15 @@ def test_leaks_of_any_width(spark, monkeypatch):
 def read_plainly(text, reading):
     """Template of a text by a plain reading of the rules: (kind, token, word) of every token; readings as in the operator."""
     out, previous, end = [], None, 0
-    for m in re.finditer("[A-Za-z0-9À-ÖØ-öø-ÿ]+", text):
+    for m in re.finditer("[\u4e00-\u9fff]|[A-Za-z0-9À-ÖØ-öø-ÿ]+", text):
         word, low = m[0], m[0].lower()
         capital = lambda c: c.isupper()
         number = word[0].isdigit() and word[0].isascii()
         proper = not number and capital(word[0]) and len(word.encode()) > 1 and not (len(word) > 1 and capital(word[1]))
         opens = previous is None or bool(re.search("[.!?:\n]", text[end : m.start()]))
-        name = proper and (reading == 1 or reading == 0 and not opens)
+        name = proper and (reading in (1, 4) or reading == 0 and not opens)
         kind = "exact" if reading == 3 else "number" if number else "name" if name else "unit" if previous == "number" and low in decontaminate.UNITS else "word"
-        if not (kind == previous == "name"):
+        if reading == 4 or not (kind == previous == "name"):
             out.append((kind, low if kind in ("word", "exact") else kind, low))
         previous, end = "number" if number else kind, m.end()
     return out
@@ -427,18 +444,21 @@ def leaks_plainly(docs, items):
     for item, text in items:
         usual = False
         done = set()
-        for reading in range(4):
+        for reading in range(5):
             tokens = read_plainly(text, reading)
             width = min(5, len(tokens))
-            if not tokens or reading == 1 and (width < 5 or not opening(text, True)) or reading == 2 and not opening(text, False) or reading == 3 and usual:
+            if not tokens or reading == 1 and (width < 5 or not opening(text, True)) or reading == 2 and not opening(text, False) or reading == 3 and usual or reading == 4 and (width < 5 or not any(kind == "name" for kind, *_ in tokens)):
                 continue
             own = list(cut_up(tokens, width))
             usual |= reading == 0 and bool(own)
             for doc, body in docs:
                 shifts = {}
-                for k, run, slots in cut_up(read_plainly(body, reading), width):
+                read = read_plainly(body, 2 if reading == 4 else reading)
+                for k in range(len(read) - width + 1):
                     for j, other, values in own:
-                        if run == other:
+                        run = read[k : k + width]
+                        if all(t == o or reading == 4 and o == "name" and kind == "word" for (kind, t, _), o in zip(run, other)):
+                            slots = [w for (kind, _, w), o in zip(run, other) if kind not in ("word", "exact") or o == "name"]
                             shifts.setdefault(k - j, []).append((j, list(zip(values, slots))))
                 places = set()
                 for met in shifts.values():
@@ -455,7 +475,7 @@ def leaks_plainly(docs, items):
 def test_leaks_match_plain_templates(spark, monkeypatch, sifted):
     monkeypatch.setattr(decontaminate, "SIFTED", sifted)
     r = random.Random(12)
-    pool = "the a train leaves for how many and who buys sells pears km m 3 12 450 Anna Boris Lyon Élan Él. Paris? then: costs 7 euros".split()
+    pool = "the a train leaves for how many and who buys sells pears km m 3 12 450 Anna Boris Lyon Élan Él. Paris? then: costs 7 euros 今天 天气很好 anna max".split()
     text = lambda n: " ".join(r.choice(pool) for _ in range(n))
     items = [(i, text(r.randint(1, 14))) for i in range(40)]
     docs = []
