@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -163,43 +163,144 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
+#: Rows of a ranked list that one task varies; pending rows up to which a segment says beforehand how it ends.
+SEGMENT, SMALL = 1 << 18, 4
+#: What a list shows last: the category of its last row, how many rows of it stand together (two at most), and how many more of
+#: it wait. Rows wait for others only behind two of their category, so all that wait are of one category.
+Shown = tuple[str | None, int, int]
+START: Shown = (None, 0, 0)
+#: Stands for any category that a segment lacks.
+OTHER = "\0"
+
+
+def shown_after(state: Shown, kind: str) -> Shown:
+    """S6. The state after one more row: it waits behind two of its category; another one lets up to two that wait go."""
+    last, together, waiting = state
+    if kind == last:
+        return (last, 2, waiting + 1) if together == 2 else (last, together + 1, 0)
+    return (kind, 1, 0) if not waiting else (last, 1, 0) if waiting == 1 else (last, 2, waiting - 2)
+
+
+def segment_ends(kinds: list[str]) -> dict:
+    """What a segment makes of any state: `ends` of states with up to SMALL waiting rows, and for more of them, by category, the net change and from how many on they never run out before the end."""
+    own = sorted(set(kinds))
+    starts: list[Shown] = [START] + [(c, t, w) for c in [*own, OTHER] for t, w in [(1, 0), *((2, w) for w in range(SMALL + 1))]]
+    now: dict[Shown, list[Shown]] = {s: [s] for s in starts}
+    for kind in kinds:
+        after: dict[Shown, list[Shown]] = {}
+        for state, since in now.items():
+            after.setdefault(shown_after(state, kind), []).extend(since)
+        now = after
+    counts = dict.fromkeys([*own, OTHER], 0)
+    change, least = dict(counts), dict(counts)
+    for k, kind in enumerate(kinds):
+        for c in counts:
+            if c != kind:
+                least[c] = max(least[c], 2 - change[c])
+            change[c] += 1 if c == kind else -2
+    for kind in kinds:
+        counts[kind] += 1
+    ends = [[list(s), list(end)] for end, since in now.items() for s in since]
+    return {"ends": ends, "counts": counts, "change": change, "least": least}
+
+
+def known_end(summary: dict, state: Shown) -> Shown | None:
+    """The state after a segment, unless only the segment's rows can tell."""
+    last, together, waiting = state
+    c = last if last is None or last in summary["counts"] else OTHER
+    if waiting <= SMALL:
+        end = summary["by"][c, together, waiting]
+        return (last if end[0] == OTHER else end[0], *end[1:])
+    return (last, 2, waiting + summary["change"][c]) if waiting >= summary["least"][c] else None
+
+
+def _varied(kinds: list[str], state: Shown, emitted: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """The categories that a segment shows, in order, each with the number of rows of it that were shown by then."""
+    for kind in kinds:
+        last, together, waiting = state
+        state = shown_after(state, kind)
+        if kind == last and together == 2:
+            continue
+        for c in [kind] if kind == last else [kind] + [last] * min(waiting, 2):
+            emitted[c] = emitted.get(c, 0) + 1
+            yield c, emitted[c]
+
+
+def varied_places(keys: DataFrame) -> DataFrame:
+    """(_rank, place) of rows with _rank and _kind, varied as a whole (S6), in segments of SEGMENT ranks.
+
+    First each segment says what it makes of any state; these sums, a few numbers a category and segment, are composed in
+    order (a segment in which very many waiting rows run out is looked at once more). Then each segment, from the state
+    it truly starts with, says which row of a category stands at which place: a category's rows keep their order, so its
+    n-th shown row is its n-th row, and the two meet by category and number. Rows that wait at the end follow.
+    """
+    seg = F.floor((F.col("_rank") - 1) / SEGMENT)
+    parts = kept(keys.withColumn("_seg", seg))
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"seg": frame._seg[:1], "said": [json.dumps(segment_ends(frame.sort_values("_rank")._kind.tolist()))]})
+
+    def ended(state: Shown) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"end": [json.dumps(reduce(shown_after, frame.sort_values("_rank")._kind.tolist(), state))]})
+
+        return run
+
+    state, before, begins = START, {}, {}
+    for r in sorted(parts.groupBy("_seg").applyInPandas(summed, "seg long, said string").collect()):
+        summary = json.loads(r.said)
+        summary["by"] = {tuple(s): tuple(e) for s, e in summary["ends"]}
+        begins[r.seg] = (state, dict(before))
+        after = known_end(summary, state)
+        if after is None:
+            (told,) = parts.where(F.col("_seg") == r.seg).groupBy("_seg").applyInPandas(ended(state), "end string").collect()
+            after = tuple(json.loads(told.end))
+        for c, n in summary["counts"].items():
+            before[c] = before.get(c, 0) + n
+        state = after
+
+    def placed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_rank")
+        at, counted = begins[frame._seg.iloc[0]]
+        emitted = dict(counted) if at[0] is None else counted | {at[0]: counted.get(at[0], 0) - at[2]}
+        first = sum(emitted.values())
+        kinds = frame._kind.tolist()
+        shown = list(_varied(kinds, at, emitted))
+        own = frame.groupby("_kind").cumcount() + 1 + frame._kind.map(lambda c: counted.get(c, 0))
+        rows = pd.DataFrame({"kind": kinds, "n": own, "_rank": frame._rank, "place": None})
+        said = pd.DataFrame({"kind": [c for c, _ in shown], "n": [n for _, n in shown], "_rank": None, "place": range(first + 1, first + len(shown) + 1)})
+        return pd.concat([rows, said]).astype({"n": "int64", "_rank": "Int64", "place": "Int64"})
+
+    met = parts.groupBy("_seg").applyInPandas(placed, "kind string, n long, _rank long, place long").groupBy("kind", "n").agg(F.max("_rank").alias("_rank"), F.max("place").alias("place"))
+    total = sum(before.values())
+    behind = F.col("n") - F.lit(before.get(state[0], 0)) + F.lit(total)  # those of the last category that still wait
+    return met.select("_rank", F.coalesce("place", behind).alias("place"))
+
+
 def diversify(df: DataFrame, most: int | None, category: str = "primary_category", rank: str = "rank") -> DataFrame:
     """S6. Ranked rows in an order that shows at most two neighbours of one category while others are left: a row that would
     be the third waits, and comes as soon as it may. place numbers the new order from 1; its first `most` rows, or all.
 
-    A category's rows keep their order, so the first `most` places need only the first `most` rows of each category. The fold
-    is sequential: it streams over ranks and categories alone in one task, and holds what waits.
+    A category's rows keep their order, so the first `most` places need only the first `most` rows of each category: a
+    page's are one segment. A whole list is varied in segments (varied_places).
     """
     own = F.row_number().over(Window.partitionBy(category).orderBy(rank))
     top = df if most is None else df.withColumn("_own", own).where(F.col("_own") <= most).drop("_own")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: list = []  # categories of the last two rows shown
-        waiting: deque = deque()  # rows of one category only: all others would have been shown
-        shown = 0
-        blocked = lambda kind: len(last) == 2 and last[0] == last[1] == kind
-        for frame in frames:
-            out = []
-            for row in zip(frame["_rank"].tolist(), frame["_kind"].tolist()):
-                if blocked(row[1]):
-                    waiting.append(row)
-                    continue
-                while True:
-                    out.append(row[0])
-                    last = [*last[-1:], row[1]]
-                    if not waiting or blocked(waiting[0][1]):
-                        break
-                    row = waiting.popleft()
-            yield pd.DataFrame({"_rank": out, "place": range(shown + 1, shown + len(out) + 1)})
-            shown += len(out)
-        while waiting:
-            out = [waiting.popleft()[0] for _ in range(min(len(waiting), 10_000))]
-            yield pd.DataFrame({"_rank": out, "place": range(shown + 1, shown + len(out) + 1)})
-            shown += len(out)
-
     keys = top.select(F.col(rank).cast("bigint").alias("_rank"), F.coalesce(F.col(category), F.lit("")).alias("_kind"))
-    places = keys.repartition(1).sortWithinPartitions("_rank").mapInPandas(fold, "_rank bigint, place bigint")
-    places = places if most is None else places.where(F.col("place") <= most)
+    if most is None:
+        return top.join(varied_places(keys), F.col(rank) == F.col("_rank")).drop("_rank")
+
+    def page(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"_rank": [], "_kind": []}), *frames])
+        ranks: dict[str, list[int]] = {}
+        for at, kind in zip(rows._rank.tolist(), rows._kind.tolist()):
+            ranks.setdefault(kind, []).append(int(at))
+        emitted: dict[str, int] = {}
+        order = [ranks[c][n - 1] for c, n in _varied(rows._kind.tolist(), START, emitted)]
+        order += [x for c, each in ranks.items() for x in each[emitted.get(c, 0) :]]  # those that wait, all of one category
+        yield pd.DataFrame({"_rank": order[:most], "place": range(1, len(order[:most]) + 1)})
+
+    places = keys.repartition(1).sortWithinPartitions("_rank").mapInPandas(page, "_rank bigint, place bigint")
     return top.join(places, F.col(rank) == F.col("_rank")).drop("_rank")
 
 

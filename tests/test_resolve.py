@@ -129,7 +129,7 @@ def test_diversify(spark):
     assert not discover.diversify(df.limit(0), 10).collect()
 
 
-def test_diversify_reaches_far_down(spark):
+def test_diversify_reaches_far_down(spark, monkeypatch):
     kinds = "A" * 300 + "BBBC" + "A" * 5 + "CCCC"
     df = spark.createDataFrame(list(enumerate(kinds, 1)), "rank int, primary_category string").repartition(4)
     shown, waiting = [], []
@@ -143,11 +143,32 @@ def test_diversify_reaches_far_down(spark):
             waiting.remove(free)
             shown.append(free)
     wanted = [k + 1 for k in shown + waiting]
-    for most in (1, 6, 12, None):
+    for most, segment in ((1, 9), (6, 9), (12, 9), (None, 7), (None, 40), (None, 1 << 18)):
+        monkeypatch.setattr(discover, "SEGMENT", segment)
         got = [r["rank"] for r in sorted(discover.diversify(df, most).collect(), key=lambda r: r.place)]
         assert got == wanted[:most]
 
 
+def test_segments_of_a_varied_list():
+    """Sums of segments, composed, give the state that row after row gives, for lists of any mixture."""
+    r = random.Random(4)
+    looked = 0
+    for trial in range(300):
+        kinds = [r.choice(["AAAAB", "ABC", "AABCD", "BBBBA"][k // 40 % 4]) for k in range(r.randint(0, 160))]
+        state = plain = discover.START
+        while kinds:
+            part, kinds = kinds[: (n := r.randint(1, 50))], kinds[n:]
+            summary = json.loads(json.dumps(discover.segment_ends(part)))
+            summary["by"] = {tuple(s): tuple(e) for s, e in summary["ends"]}
+            for kind in part:
+                plain = discover.shown_after(plain, kind)
+            state = discover.known_end(summary, state)
+            looked += state is None
+            assert state in (None, plain)
+            state = plain
+    assert 0 < looked < 200
+
+
 def test_ranks_are_whole(spark):
     df = spark.range(1000).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(97)))
     got = sorted((r.rank, r.v, r.id) for r in discover.with_rank(df, [F.col("v"), F.col("id")]).collect())
