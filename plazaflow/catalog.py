@@ -513,7 +513,7 @@ def score_events(spark, d):
 RANKED = f"{VIEW}, s AS (SELECT *, {SCORE} AS score, 'plan:' || fuente || ':' || id AS pid FROM v)"
 
 
-@query(f"{RANKED} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, CAST(prim AS DATE), ongoing, prim, {FOLD.format('titulo')}, titulo, pid) AS rank FROM s")
+@query(f"{RANKED} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, CAST(prim AS DATE), ongoing, prim, titulo COLLATE es, titulo, pid) AS rank FROM s")
 def rank_events(spark, d):
     """S5, R14."""
     view = discover.view_events(feed(spark, d), now())
@@ -534,13 +534,28 @@ def visible_page(spark, d):
     return discover.first_rows(view, [F.col("primary").asc_nulls_last(), F.col("_ord")], 24).where("rank > 12").select(F.col("_ord").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+@query("SELECT p_partkey, row_number() OVER (ORDER BY replace(replace(p_name, 'n', 'ñ'), 'a', CASE WHEN p_partkey % 2 = 0 THEN 'á' ELSE 'A' END) COLLATE es, p_partkey) AS rank FROM part")
+def spanish_titles(spark, d):
+    """S5. The order of titles: ñ between n and o, letters with and without marks, in either case, beside one another."""
+    marked = F.replace(F.replace("p_name", F.lit("n"), F.lit("ñ")), F.lit("a"), F.when(F.col("p_partkey") % 2 == 0, "á").otherwise("A"))
+    return discover.with_rank(table(spark, d, "part").select("p_partkey", F.collate(marked, "es").alias("title")), [F.col("title"), F.col("p_partkey")]).select("p_partkey", F.col("rank").cast("bigint").alias("rank"))
+
+
+#: A list in which the first row that may be shown comes next, one by one.
+VARIED = f"""{RANKED.replace("WITH ", "WITH RECURSIVE ", 1)}, {NORMALIZED.replace("s AS (", "s2 AS (", 1).replace("FROM s)", "FROM s2)", 1)},
+r AS (SELECT pid AS id, cats[1] AS kind, row_number() OVER (ORDER BY CAST(prim AS DATE), ongoing, prim, titulo COLLATE es, titulo, pid) AS rank FROM s JOIN norm USING (doc_id)),
+w(step, waiting, a, b, pick) AS (SELECT 0, list({{'rank': rank, 'kind': kind}} ORDER BY rank), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM r
+  UNION ALL SELECT step + 1, list_filter(waiting, lambda x: x.rank <> nxt.rank), b, nxt.kind, nxt.rank
+  FROM (SELECT *, coalesce(list_filter(waiting, lambda x: NOT coalesce(a = b AND x.kind = b, false))[1], waiting[1]) AS nxt FROM w WHERE len(waiting) > 0))"""
+
+
+@query(f"{VARIED} SELECT id, kind AS primary_category, rank, step AS place FROM w JOIN r ON r.rank = w.pick")
 def diversify(spark, d):
     """S6. The neutral browse view, all of it."""
-    return discover.discover(discover.view_events(feed(spark, d), now()), State(show=None)).select("id", "primary_category", "rank", "place")
+    return discover.discover(discover.view_events(feed(spark, d), now()), State(show=None)).select("id", "primary_category", F.col("rank").cast("bigint").alias("rank"), F.col("place").cast("int").alias("place"))
 
 
-ASKED = f"{RANKED}, f AS (SELECT *, row_number() OVER (ORDER BY CAST(prim AS DATE), ongoing, prim, {FOLD.format('titulo')}, titulo, pid) AS rank FROM s WHERE contains({SEARCHED}, 'supplier#0') AND contains({SEARCHED}, 'the') AND (prim < {T} + 8 OR ongoing))"
+ASKED = f"{RANKED}, f AS (SELECT *, row_number() OVER (ORDER BY CAST(prim AS DATE), ongoing, prim, titulo COLLATE es, titulo, pid) AS rank FROM s WHERE contains({SEARCHED}, 'supplier#0') AND contains({SEARCHED}, 'the') AND (prim < {T} + 8 OR ongoing))"
 
 
 @query(f"{ASKED} SELECT pid AS id, titulo, rank, CAST(CAST(prim AS DATE) AS VARCHAR) AS day, ongoing, CASE WHEN precio = 0 THEN 'Gratis' END AS free_label FROM f WHERE rank <= 12")

@@ -255,6 +255,22 @@ def cache_round_trip(spark, d):
     return read_cache(spark, path).select("cache_key", "lat")
 
 
+@query(
+    f"""{RP}, k AS (SELECT lower(lugar || ', madrid, españa') AS cache_key, min(doc_id) AS first FROM rp WHERE lugar IS NOT NULL GROUP BY 1 ORDER BY first LIMIT 80)
+SELECT cache_key, CASE WHEN ascii(cache_key[10:10]) % 3 > 0 THEN round(40.3 + length(cache_key) / 1000.0, 6) END AS lat, first FROM k"""
+)
+def geocode_nights(spark, d):
+    """R5, W5, C24. Two nights of 40 look-ups each, the second of which asks for what the first left, and their cache."""
+    from plazaflow.operators import geocoding
+
+    path = f"{folder(spark)}/geocode-{uuid.uuid4().hex}"
+    bare = kept(plans(spark, d).withColumns({"latitud": F.lit(None).cast("double"), "longitud": F.lit(None).cast("double")}).select("_ord", "direccion", "lugar", "latitud", "longitud"))
+    for _ in range(2):
+        geocoding.look_up(bare, path, lambda key: (40.3 + len(key) / 1000.0, -3.7) if ord(key[9]) % 3 else None, most=40, pause=0)
+    first = enrich.with_query(bare).groupBy("cache_key").agg(F.min("_ord").alias("first"))
+    return geocoding.read(spark, path).join(first, "cache_key").select("cache_key", "lat", "first")
+
+
 NEWS = ", ".join(f"'{s}'" for s in dims.NEWS_SOURCES)
 OLD = f"(SELECT source, kind, n FROM (VALUES ('meetup', 'plan', 7), ('gacetin_madrid', 'news', 3)) AS t(source, kind, n))"
 

@@ -136,10 +136,11 @@ def filtered(view: DataFrame, state: State) -> DataFrame:
 
 
 def rank_order(personal: bool) -> list[Column]:
-    """S5. Score (for a personal profile), day in UTC (undated last), one-off before ongoing, time, title; the id decides ties."""
+    """S5. Score (for a personal profile), day in UTC (undated last), one-off before ongoing, time, title in the order of a Spanish dictionary; the id
+    decides ties."""
     utc = F.convert_timezone(F.lit(dims.TIMEZONE), F.lit("UTC"), F.col("primary"))
     day = F.datediff(utc.cast("date"), F.lit("1970-01-01").cast("date"))
-    order = [day.asc_nulls_last(), F.col("ongoing"), F.col("primary").asc_nulls_last(), text.fold_search("titulo"), F.col("titulo"), F.col("id")]
+    order = [day.asc_nulls_last(), F.col("ongoing"), F.col("primary").asc_nulls_last(), F.collate("titulo", "es"), F.col("titulo"), F.col("id")]
     return [F.col("score").desc(), *order] if personal else order
 
 

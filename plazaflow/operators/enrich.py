@@ -137,12 +137,9 @@ def resolve_addresses(keys: DataFrame, resolver: Callable[[str], tuple[float, fl
     return found if compat.failures_are_cached else found.where("lat is not null")
 
 
-def geocode(plans: DataFrame, cache: DataFrame, resolver: Callable[[str], tuple[float, float] | None] | None = None, most: int = dims.NEW_LOOKUPS) -> DataFrame:
-    """R5, Q3. Coordinates from the cache for plans that lack them; with a resolver, at most `most` new addresses are looked up."""
+def geocode(plans: DataFrame, cache: DataFrame) -> DataFrame:
+    """R5, Q3. Coordinates from the cache for plans that lack them."""
     known = cache.select("cache_key", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    if resolver is not None:
-        new = resolve_addresses(lookups(plans, cache, most), resolver)
-        known = known.unionByName(new.select("cache_key", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))
     joined = with_query(plans).join(known, "cache_key", "left")
     use = F.col("_wanted") & F.col("_lat").isNotNull()
     return joined.withColumns({"latitud": F.when(use, F.col("_lat")).otherwise(F.col("latitud")), "longitud": F.when(use, F.col("_lon")).otherwise(F.col("longitud"))}).drop("cache_key", "_query", "_wanted", "_lat", "_lon")

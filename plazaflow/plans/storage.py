@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of its own: a temporary one on a
-    single machine, as in tests, and one in the warehouse on a cluster, never a machine's own folder."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder on a single machine,
+    as in tests, and one in the warehouse on a cluster, if the warehouse is in a shared store; a machine's own folder is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="plazaflow-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and sc.master.startswith("local"):
+            given = tempfile.mkdtemp(prefix="plazaflow-")
+        if not given:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if ":" not in warehouse or warehouse.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            given = f"{warehouse}/checkpoints"
+        sc.setCheckpointDir(given)
     return sc.getCheckpointDir()
 
 
@@ -21,3 +28,20 @@ def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store it is."""
+    store, where = _at(spark, path)
+    return store.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    store, where = _at(spark, path)
+    store.delete(where, True)

@@ -3,13 +3,14 @@
 import json
 import random
 import re
+import time
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from plazaflow.functions import arrays
-from plazaflow.operators import discover, enrich, folding, joins, merging, pipeline, predicates, publish, resolve, validate
+from plazaflow.operators import discover, enrich, folding, geocoding, joins, merging, pipeline, predicates, publish, resolve, validate
 from plazaflow.operators.normalize import normalize_news, normalize_plans
 from plazaflow.plans import dims, fixtures, schema
 from plazaflow.plans.compat import Compat
@@ -108,12 +109,45 @@ def test_classify(spark):
     assert got == [["Música y Conciertos", "Teatro y Danza"], ["Familia e Infantil", "Visitas y Rutas"], ["Ocio y Entretenimiento"], ["Música y Conciertos", "Cine"], ["Familia e Infantil"]]
 
 
-def test_geocode(spark):
+def test_geocode(spark, tmp_path, monkeypatch):
     plans = canonical(spark, [plan("fever", "A", lugar="Calle Mayor 1", id="1"), plan("fever", "B", lugar="Madrid", id="2"), plan("fever", "C", lugar="Gran Vía 2, Madrid", id="3"), plan("fever", "D", lugar="Lejos de aquí", id="4")])
     cache = spark.createDataFrame([("calle mayor 1, madrid, españa", 40.4, -3.7, "q")], schema.GEOCODE)
     points = {"gran vía 2, madrid, españa": (40.42, -3.7), "lejos de aquí, madrid, españa": (10.0, 10.0)}
-    got = {r.fuente_id: r.latitud for r in enrich.geocode(plans, cache, points.get).collect()}
+    cache.write.parquet(f"{tmp_path}/cache")
+    got = {r.fuente_id: r.latitud for r in geocoding.geocoded(plans, f"{tmp_path}/cache", points.get, pause=0).collect()}
     assert got == {"1": 40.4, "2": None, "3": 40.42, "4": None}
+    assert {r.cache_key: r.lat for r in geocoding.read(spark, f"{tmp_path}/cache").collect()} == {"calle mayor 1, madrid, españa": 40.4, "gran vía 2, madrid, españa": 40.42, "lejos de aquí, madrid, españa": None}
+
+
+def test_lookups_are_paced_stored_and_never_made_twice(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geocoding, "BATCH", 2)
+    plans = canonical(spark, [plan("fever", f"T{k}", lugar=f"Calle Larga {k}", id=str(k)) for k in range(7)])
+    calls, cache = f"{tmp_path}/calls", f"{tmp_path}/cache"
+
+    def resolver(fails):
+        def ask(key):
+            with open(calls, "a") as out:
+                out.write(f"{time.time()} {key}\n")
+            if key == fails:
+                raise RuntimeError("killed")
+            if "larga 6" in key:
+                raise TimeoutError
+            return 40.4, -3.7
+
+        return ask
+
+    with pytest.raises(Exception):
+        geocoding.look_up(plans, cache, resolver("calle larga 3, madrid, españa"), pause=0.05)
+    stored = {r.cache_key for r in geocoding.read(spark, cache).collect()}
+    assert stored == {f"calle larga {k}, madrid, españa" for k in (0, 1)}  # whole batches
+    assert geocoding.look_up(plans, cache, resolver(None), most=4, pause=0.05) == 4
+    assert geocoding.look_up(plans, cache, resolver(None), pause=0.05) == 1
+    asked = [line.split(" ", 1) for line in open(calls).read().splitlines()]
+    assert not geocoding.look_up(plans, cache, resolver(None), pause=0.05) and len(open(calls).read().splitlines()) == len(asked)
+    after = [key for _, key in asked][-5:]
+    assert after == [f"calle larga {k}, madrid, españa" for k in range(2, 7)]
+    assert all(float(b[0]) - float(a[0]) >= 0.05 for a, b in zip(asked, asked[1:]))
+    assert {r.fuente_id: r.latitud for r in geocoding.geocoded(plans, cache).collect()} == {str(k): 40.4 if k < 6 else None for k in range(7)}
 
 
 def test_shared_purchase(spark):
