@@ -94,6 +94,30 @@ def test_partitions_do_not_matter(spark):
     assert rows(plans) == rows(plans.repartition(7)) == rows(plans.coalesce(1))
 
 
+def test_prefix_chains_over_ranges(spark):
+    r = random.Random(6)
+    values = sorted({"".join(r.choice("ab-ñ") for _ in range(r.randint(0, 7))) for _ in range(400)} | {"a" * k for k in range(40)})
+    df = spark.createDataFrame([(v,) for v in values] * 2 + [(None,)], "value string").repartition(5)
+    got = {x.value: list(x.heads) for x in joins.prefix_chains(df).collect()}
+    assert got == {v: [h for h in sorted(values, key=len) if v.startswith(h)] for v in values}
+    assert not joins.prefix_chains(df.limit(0)).count()
+
+
+def test_hub_titles_make_a_group_for_each_root(spark):
+    """A title that all others hold joins them by places, not as one group; a generic place ties them all."""
+    records = [plan("fever", f"Gran concierto de jazz numero{k} especial", "2024-01-20", f"Sala {'abcdefghij'[k]}", id=f"t{k}") for k in range(10)]
+    hub = [plan("wegow", "Gran concierto de jazz", "2024-01-20", f"Sala {c}", id=f"h{c}") for c in "abcdefghij"]
+    plans = canonical(spark, records + hub).withColumns({"_tokens": resolve.title_tokens("titulo"), "_day": F.col("fecha_inicio"), "_at": resolve.place_key("lugar", "direccion")})
+
+    def groups(df):
+        dated = df.withColumns({"_class": F.xxhash64("_day", "_tokens"), "_root": F.col("_at")}).withColumn("_node", F.xxhash64("_class", F.coalesce("_root", F.lit(""))))
+        return resolve.day_groups(dated).groupBy("_group").count().collect()
+
+    assert sorted(x["count"] for x in groups(plans)) == [2] * 10
+    assert len(groups(plans.withColumn("_at", F.when(F.col("fuente_id") != "ha", F.col("_at"))))) == 1
+    assert len(resolve.merge_same_day(resolve.merge_exact(plans.drop("_tokens", "_day", "_at"))).collect()) == 10
+
+
 def test_merge_news(spark):
     items = [{"fuente": "timeout", "id": str(k), "titulo": f"T{k}", "url": f"https://n/{k % 2}", "descripcion": "x" * (10 + k), "categorias": [f"C{k}"], "fecha_publicacion": "2024-01-10"} for k in range(4)]
     news = kept(normalize_news(raw(spark, items), now(), "2024-01-15T04:15:00Z"))
