@@ -575,4 +575,4 @@ def event_windows(spark, d):
     return out.select(F.date_format(F.col("start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-from plazaflow import catalog_functions, catalog_operators, catalog_sources  # noqa: E402, F401  register their queries
+from plazaflow import catalog_functions, catalog_operators, catalog_sources, catalog_sql  # noqa: E402, F401  register their queries
