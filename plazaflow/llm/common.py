@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plazaflow.plans.storage import folder as shared_folder  # noqa: F401
+from plazaflow.plans.storage import kept as cut
+from plazaflow.plans.storage import remove  # noqa: F401
+
 #: Odd multipliers of the polynomial and mixing hashes below.
 BASE = 0x9FB21C651E98DF25
 MIX = 0x9E3779B97F4A7C15
@@ -21,22 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, one of its own: a temporary
-    one on a single machine, as in tests, and one in the warehouse on a cluster, never a machine's own folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="plazaflow-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return sc.getCheckpointDir()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder, in whatever store it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def unused(name: str, *frames: DataFrame) -> str:
     """name, lengthened until no frame has such a column in any case."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -45,12 +32,6 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def numbered(df: DataFrame, order: list[Column], name: str, key: str | None = None, size: str | None = None) -> DataFrame:
     """df with each row's place, from 0, in an order: among all rows, or those of its key (null is a key too), and, if `size`
     names a column, with how many these are.
