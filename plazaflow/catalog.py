@@ -318,11 +318,15 @@ def merge_key_groups(spark, d):
     return p.groupBy(resolve.merge_key(resolve.columns_of(p)).alias("merge_key")).agg(F.count(F.lit(1)).alias("n"), F.min("_ord").alias("first_id"))
 
 
-@query(
-    f"""{RP}, p AS (SELECT rp.*, {KEY} AS k, coalesce(prio, 99) AS rank, length({CLEAN.format('descripcion')}) AS n FROM rp LEFT JOIN (VALUES {PRIORITY}) AS q(s, prio) ON s = fuente),
+#: The records that lead exact merges: w, with the leader m (d, rank r, length n, price p) of each key.
+EXACT = f"""p AS (SELECT rp.*, {KEY} AS k, coalesce(prio, 99) AS rank, length({CLEAN.format('descripcion')}) AS n FROM rp LEFT JOIN (VALUES {PRIORITY}) AS q(s, prio) ON s = fuente),
 g AS (SELECT k, min(doc_id) AS first_id, count(DISTINCT fuente) AS n_sources, count(DISTINCT fuente || id) AS n_ids, max(n) AS longest, list({{'d': doc_id, 'r': rank, 'n': n, 'p': precio}} ORDER BY doc_id) AS l FROM p GROUP BY k),
 w AS (SELECT *, list_reduce(l, lambda a, x: CASE WHEN x.r < a.r OR (x.r = a.r AND x.n > a.n) THEN {{'d': x.d, 'r': x.r, 'n': greatest(a.n, x.n), 'p': CASE WHEN x.p = 0 THEN a.p ELSE x.p END}}
-  ELSE {{'d': a.d, 'r': a.r, 'n': greatest(a.n, x.n), 'p': CASE WHEN a.p = 0 THEN x.p ELSE a.p END}} END) AS m FROM g)
+  ELSE {{'d': a.d, 'r': a.r, 'n': greatest(a.n, x.n), 'p': CASE WHEN a.p = 0 THEN x.p ELSE a.p END}} END) AS m FROM g)"""
+
+
+@query(
+    f"""{RP}, {EXACT}
 SELECT first_id, n_sources, n_ids, longest, m.p AS precio, m.p = 0 AS es_gratis, 'plan:' || fuente || ':' || id AS id, fuente, titulo, lugar, CAST(inicio AS VARCHAR) AS fecha_inicio, CAST(fin AS VARCHAR) AS fecha_fin, url FROM w JOIN rp ON doc_id = m.d"""
 )
 def merge_exact(spark, d):
@@ -332,7 +336,20 @@ def merge_exact(spark, d):
     return m.select(F.col("_ord").alias("first_id"), *counted, "precio", "es_gratis", "id", "fuente", "titulo", "lugar", "fecha_inicio", "fecha_fin", "url")
 
 
-@query()
+#: Exact merges, then those of a day, record by record: each goes into the first open one that holds its words at its place.
+DAYS = f"""{RP.replace("WITH ", "WITH RECURSIVE ", 1)}, {EXACT},
+x AS (SELECT first_id, n_ids, m.d AS d, m.r AS r, m.n AS n, inicio AS day, {TOKENS} AS k, length(replace({SLUG.format('titulo')}, '-', '')) AS letters, {SLUG.format('lugar')} AS place FROM w JOIN rp ON doc_id = m.d),
+o AS (SELECT *, row_number() OVER (ORDER BY day, len(k) DESC, first_id) AS i FROM x WHERE len(k) > 1 AND letters >= 10),
+f(i, held) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, day DATE, k VARCHAR[], place VARCHAR, r INTEGER, n BIGINT, d BIGINT, n_ids BIGINT)[])
+  UNION ALL SELECT i, CASE WHEN t IS NULL THEN list_append(held, {{'i': i, 'day': day, 'k': k, 'place': place, 'r': CAST(r AS INTEGER), 'n': n, 'd': d, 'n_ids': n_ids}})
+    ELSE list_transform(held, lambda e: CASE WHEN e.i <> t THEN e WHEN r < e.r OR (r = e.r AND n > e.n) THEN {{'i': e.i, 'day': day, 'k': e.k, 'place': place, 'r': CAST(r AS INTEGER), 'n': greatest(n, e.n), 'd': d, 'n_ids': n_ids + e.n_ids}}
+      ELSE {{'i': e.i, 'day': day, 'k': e.k, 'place': e.place, 'r': e.r, 'n': greatest(n, e.n), 'd': e.d, 'n_ids': n_ids + e.n_ids}} END) END
+  FROM (SELECT o.*, held, list_filter(held, lambda e: e.day = o.day AND list_has_all(e.k, o.k) AND (len(o.k) >= 3 OR len(o.k) = len(e.k)) AND (starts_with(e.place, o.place) OR starts_with(o.place, e.place)))[1].i AS t FROM f JOIN o ON o.i = f.i + 1)),
+z AS (SELECT unnest(held) AS e FROM f WHERE i = (SELECT max(i) FROM f)),
+days AS (SELECT e.d AS d, e.n_ids AS n_ids FROM z UNION ALL SELECT d, n_ids FROM x WHERE NOT (len(k) > 1 AND letters >= 10))"""
+
+
+@query(f"{DAYS} SELECT 'plan:' || fuente || ':' || id AS id, titulo, CAST(inicio AS VARCHAR) AS fecha_inicio, CAST(n_ids AS INTEGER) AS n_ids FROM days JOIN rp ON doc_id = d")
 def fuzzy_same_day(spark, d):
     """E4."""
     m = resolve.merge_same_day(resolve.merge_exact(plans(spark, d)))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from plazaflow.catalog_functions import CLEAN, SUMMER, O, T, num, orders, said
 from plazaflow.functions import dates, text
-from plazaflow.operators import discover, enrich, joins, normalize, pipeline, publish
+from plazaflow.operators import discover, enrich, index, joins, normalize, pipeline, publish
 from plazaflow.plans import dims, fixtures
 from plazaflow.plans.fixtures import SQL as RP
 from plazaflow.plans.fixtures import feed, now, plans, raw_plans, table, today
 from plazaflow.plans.storage import folder, kept
-from plazaflow.register import query
+from plazaflow.register import ORACLE_SQL, query
 from plazaflow.sources.registry import read_cache, read_feed
 
 N = f"TIMESTAMP '{fixtures.NOW_TEXT}'"
@@ -271,6 +271,26 @@ def geocode_nights(spark, d):
     return geocoding.read(spark, path).join(first, "cache_key").select("cache_key", "lat", "first")
 
 
+def indexed(spark, d):
+    return index.build(view(spark, d), f"{folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+#: The folded text that a search looks into, and a plan's price as the view has it.
+SOUGHT = f"lower(titulo || ' ' || {CLEAN.format('descripcion')} || ' ' || coalesce(lugar, ''))"
+
+
+@query(f"{VIEW} SELECT pid AS id FROM v WHERE contains({SOUGHT}, 'supplier#0') AND contains({SOUGHT}, 'the') AND fuente = 'fever'")
+def indexed_search(spark, d):
+    """Words and a source through the index of the feed."""
+    return index.matching(indexed(spark, d), discover.State(query="Supplier#0 thé", source="fever")).select("id")
+
+
+@query(ORACLE_SQL["facets"])
+def indexed_facets(spark, d):
+    """G3, from the bits of the index."""
+    return index.facets(indexed(spark, d)).select("facet", "value", "n", "first")
+
+
 NEWS = ", ".join(f"'{s}'" for s in dims.NEWS_SOURCES)
 OLD = f"(SELECT source, kind, n FROM (VALUES ('meetup', 'plan', 7), ('gacetin_madrid', 'news', 3)) AS t(source, kind, n))"
 

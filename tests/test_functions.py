@@ -145,3 +145,23 @@ def test_markup(value):
     assert value(markup.best_image(markup.image_candidates(h)), markup.best_image(markup.image_candidates(h), ["cartel"])) == ("http://i/a.jpg", "http://i/b.png")
     assert value(markup.json_strings(lit('{"a":["x",{"b":"y"}],"c":1,"d":"z"}'))) == ["x", "y", "z"]
     assert value(markup.real_image(lit("http://images.unsplash.com/x")), markup.real_image(lit("http://a"))) == (None, "http://a")
+
+
+def test_active_filters():
+    """P14."""
+    from plazaflow.operators import predicates
+
+    assert not predicates.has_active_filters() and not predicates.has_active_filters(date_filter="all")
+    assert all(predicates.has_active_filters(**{k: v}) for k, v in {"query": "x", "source": "s", "category": "c", "zone": "z", "free_only": True, "date_filter": "week"}.items())
+
+
+def test_sql_functions(spark):
+    """Functions in SQL are the columns' own expressions: operators, literals and lambdas in them survive."""
+    from plazaflow.functions import dates, markup, sql, text
+
+    sql.register(spark)
+    rows = spark.createDataFrame([("  Él dijo: '3 <= 4' \\ y  más ",), ("2024-03-31T01:30:00Z",), ("20240203",), (None,), ("<a href='x?a=1&amp;b=(2)'>y</a><h1>T</h1>",)], "t string")
+    own = rows.select(text.clean_text("t").alias("a"), text.slugify("t").alias("b"), dates.parse_temporal("t").alias("c"), text.strip_html("t").alias("d"), text.smart_title("t").alias("e")).collect()
+    assert spark.sql("SELECT clean_text(t) AS a, slugify(t) AS b, parse_temporal(t) AS c, strip_html(t) AS d, smart_title(t) AS e FROM {r}", r=rows).collect() == own
+    found = spark.sql("SELECT l.pos, l.href, l.text FROM {r}, LATERAL page_links(t) AS l", r=rows).collect()
+    assert found == rows.select(F.posexplode(markup.links("t")).alias("pos", "l")).select("pos", "l.href", "l.text").collect() and len(found) == 1

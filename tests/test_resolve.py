@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plazaflow.functions import arrays
-from plazaflow.operators import discover, enrich, folding, geocoding, joins, merging, pipeline, predicates, publish, resolve, validate
+from plazaflow.operators import discover, enrich, folding, geocoding, index, joins, merging, pipeline, predicates, publish, resolve, validate
 from plazaflow.operators.normalize import normalize_news, normalize_plans
 from plazaflow.plans import dims, fixtures, schema
 from plazaflow.plans.compat import Compat
@@ -94,6 +94,17 @@ def test_partitions_do_not_matter(spark):
     assert rows(plans) == rows(plans.repartition(7)) == rows(plans.coalesce(1))
 
 
+@pytest.mark.parametrize("frequent", [1_000, 3])
+def test_containment_pairs(spark, monkeypatch, frequent):
+    """Every pair once, whether tokens are rare or frequent."""
+    monkeypatch.setattr(joins, "FREQUENT", frequent)
+    r = random.Random(5)
+    rows = [(k, k % 2, sorted(r.sample("abcdefg", r.randint(1, 5)))) for k in range(90)]
+    want = sorted((a, b) for a, x, s in rows for b, y, t in rows if a != b and x == y and set(s) <= set(t) and (len(s) >= 3 or len(s) == len(t)))
+    got = joins.containment_pairs(spark.createDataFrame(rows, "id long, block int, tokens array<string>"), "id", "block", "tokens").collect()
+    assert sorted(tuple(x) for x in got) == want and want
+
+
 def test_prefix_chains_over_ranges(spark):
     r = random.Random(6)
     values = sorted({"".join(r.choice("ab-ñ") for _ in range(r.randint(0, 7))) for _ in range(400)} | {"a" * k for k in range(40)})
@@ -124,6 +135,31 @@ def test_merge_news(spark):
     got = {r.url: r for r in resolve.merge_news(news).collect()}
     assert got["https://n/0"].titulo == "T0" and len(got["https://n/0"].descripcion) == 12 and got["https://n/0"].categorias == ["C0", "C2"]
     assert got["https://n/1"].ids_relacionados == ["timeout:1", "timeout:3"]
+    told = news.withColumn("metadata", F.when(F.col("fuente_id") == "0", F.expr("map('a', '', 'b', 'x')")).when(F.col("fuente_id") == "2", F.expr("map('a', 'y', 'b', 'z', 'c', '')")))
+    told = told.withColumns({"etiquetas": F.array(F.lit("Uno"), F.concat(F.lit("UNO "), F.lit("")), F.col("fuente_id")), "url": F.when(F.col("fuente_id") != "3", F.col("url"))})
+    got = {r.ids_relacionados[0]: r for r in resolve.merge_news(told.withColumn("id", F.when(F.col("fuente_id") != "3", F.col("id")))).collect()}
+    assert got["timeout:0"].metadata == {"a": "y", "b": "x", "c": ""} and got["timeout:0"].etiquetas == ["Uno", "0", "2"]
+    assert set(got) == {"timeout:0", "timeout:1", "timeout:3"} and got["timeout:1"].metadata == {}
+
+
+def test_index_equals_the_scan(spark, sf_dir, tmp_path, monkeypatch):
+    """Searches through the index give what a scan gives, and read the buckets that may hold it."""
+    monkeypatch.setattr(index, "SIZE", 16)
+    view = kept(discover.view_events(fixtures.feed(spark, sf_dir), now()))
+    built = index.build(view, f"{tmp_path}/index")
+    word = next(w for w in view.orderBy("id").first().search_blob.split() if len(w) > 8)
+    states = [discover.State(), discover.State(query=word), discover.State(query=f"{word[1:6].upper()} {word[:2]}"), discover.State(query="nowhere at all"), discover.State(source="fever"), discover.State(category="Cine", free_only=True), discover.State(query="the", source="fever", date_filter="week"), discover.State(query="q")]
+    for state in states:
+        got, want = (sorted(r.id for r in df.select("id").collect()) for df in (index.matching(built, state), discover.filtered(view, state)))
+        assert got == want
+    buckets = built.feed.select("_bucket").distinct().count()
+    assert buckets > 5 and index.candidates(built, index.keys_of_search(states[1])).count() < buckets
+    plan = index.matching(built, states[1])._jdf.queryExecution().executedPlan().toString()
+    assert "In(_bucket" in plan or "EqualTo(_bucket" in plan  # pushed to the scan
+    rows = lambda df: sorted(tuple(r) for r in df.select("facet", "value", "n", "first").collect())
+    assert rows(index.facets(built)) == rows(discover.facets(view))
+    none = index.build(view.limit(0), f"{tmp_path}/none")
+    assert not index.matching(none, states[1]).count() and not index.facets(none).count()
 
 
 def test_classify(spark):
