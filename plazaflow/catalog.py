@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from plazaflow.functions import arrays, dates, markup, numbers, text, urls
 from plazaflow.operators import discover, enrich, joins, predicates, publish, resolve, validate
 from plazaflow.operators.discover import Profile, State
+from plazaflow.operators.nights import Nights
 from plazaflow.plans import dims, fixtures
 from plazaflow.plans.fixtures import SQL as RP
 from plazaflow.plans.fixtures import feed, now, plans, raw_plans, table, today
+from plazaflow.plans.storage import folder, kept
 from plazaflow.register import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 #: SQL pieces.
@@ -331,11 +334,27 @@ SELECT first_id, n_sources, n_ids, longest, m.p AS precio, m.p = 0 AS es_gratis,
 )
 def merge_exact(spark, d):
     """The record that leads each merge, by source and completeness, and what the others add to it."""
-    m = resolve.merge_exact(plans(spark, d))
+    return led(resolve.merge_exact(plans(spark, d)))
+
+
+def led(m):
     counted = [F.size("fuentes_relacionadas").cast("bigint").alias("n_sources"), F.size("ids_relacionados").cast("bigint").alias("n_ids"), F.length("contenido").cast("bigint").alias("longest")]
     return m.select(F.col("_ord").alias("first_id"), *counted, "precio", "es_gratis", "id", "fuente", "titulo", "lugar", "fecha_inicio", "fecha_fin", "url")
 
 
+@query(ORACLE_SQL["merge_exact"])
+def second_night(spark, d):
+    """Exact merges of the night after one whose records with ids divisible by ten had another price; the groups
+    without such a record are not merged again."""
+    place, all_ = f"{folder(spark)}/nights-{uuid.uuid4().hex}", kept(plans(spark, d))
+    earlier = all_.withColumn("precio", F.when(F.col("_ord") % 10 == 0, F.lit(1.5)).otherwise(F.col("precio")))
+    for night, rows in (("1", earlier), ("2", all_)):
+        nights = Nights(spark, place, night, fixtures.SCRAPED)
+        m = resolve.merge_exact(nights.marked(rows), nights=nights)
+        nights.commit()
+    return led(m)
+
+
 #: Exact merges, then those of a day, record by record: each goes into the first open one that holds its words at its place.
 DAYS = f"""{RP.replace("WITH ", "WITH RECURSIVE ", 1)}, {EXACT},
 x AS (SELECT first_id, n_ids, m.d AS d, m.r AS r, m.n AS n, inicio AS day, {TOKENS} AS k, length(replace({SLUG.format('titulo')}, '-', '')) AS letters, {SLUG.format('lugar')} AS place FROM w JOIN rp ON doc_id = m.d),

@@ -41,6 +41,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(where)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder, by name; nothing of a folder that isn't there."""
+    store, where = _at(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(where)) if store.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, in whatever store it is."""
     store, where = _at(spark, path)
