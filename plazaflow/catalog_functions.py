@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plazaflow.functions import arrays, dates, markup, numbers, text, urls
 from plazaflow.operators import predicates
 from plazaflow.plans import dims, fixtures
-from plazaflow.plans.fixtures import now, table, today
+from plazaflow.plans.fixtures import dealt, now, table, today
 from plazaflow.register import query
 
 
@@ -23,7 +23,7 @@ def num(c):
 def orders(spark, d):
     """Orders with a day of 2024 (day), that day's parts, and the key as k."""
     k = F.col("o_orderkey")
-    o = table(spark, d, "orders").select(k.alias("k"), "o_orderpriority", F.date_add(F.lit("2024-01-01").cast("date"), (k * 7 % 366).cast("int")).alias("day"))
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").select(k.alias("k"), "o_orderpriority", F.date_add(F.lit("2024-01-01").cast("date"), (k * 7 % 366).cast("int")).alias("day"))
     names = F.array(*map(F.lit, dims.MONTHS_ES))
     return o.withColumns({"y": F.year("day"), "m": F.month("day"), "d": F.dayofmonth("day"), "month": F.get(names, F.month("day") - 1), "iso": F.col("day").cast("string")})
 
@@ -50,7 +50,7 @@ def strip_markdown(spark, d):
     """T14."""
     made = said("# **", F.col("p_name"), "**\n- [", F.col("p_brand"), "](http://x/(a) ![pic](a.png)\n* _by_ `", F.col("p_type"), "`")
     made = F.replace(made, F.lit("(http://x/(a)"), F.lit("(http://x/a)"))
-    return table(spark, d, "part").select("p_partkey", text.strip_markdown(made).alias("plain"))
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", text.strip_markdown(made).alias("plain"))
 
 
 @query(
@@ -61,7 +61,7 @@ def page_fields(spark, d):
     """Fields of a page's text."""
     size = num(F.col("p_size"))
     made = said("Fecha: ", size, " Hora: ", F.col("p_brand"), " Entradas: ", F.col("p_name"), " Lugar: ", F.col("p_type"), " Duración: ", size, " minutos. Compra de entradas ", F.col("p_brand"))
-    p = table(spark, d, "part").withColumn("t", made)
+    p = dealt(table(spark, d, "part"), "p_partkey").withColumn("t", made)
     meta = text.meta_fields("t", {"day": "Fecha:", "hour": "Hora:", "price": "Entradas:", "place": "Lugar:"})
     camel = said("http://x/tipos/", F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), "/")
     return p.select(
@@ -142,7 +142,8 @@ def reader_labels(spark, d):
 def references(spark, d):
     """Character references beyond the common ones, encoded once or twice."""
     made = said("&Uuml;nder &amp;amp; &Ouml;ber ", F.col("p_name"), " &times; 5 &frac14; &amp;ndash; &ordf; &laquo;", F.col("p_brand"), "&raquo; &#161;&#x26;&#33;")
-    return table(spark, d, "part").select("p_partkey", text.web_text(made).alias("plain"))
+    p = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    return p.select("p_partkey", text.web_text(made).alias("plain"))
 
 
 # Dates
@@ -336,7 +337,7 @@ def page_markup(spark, d):
     state = said("<script id='__DATA__' type=\"application/json\"> {\"k\":", num(F.col("p_size")), "} </script>")
     long = "Un texto que pasa de cuarenta caracteres sin duda, "
     body = said("<section><p>Corto</p></section><article><p>", long, name, "</p></article><main><p>Corto</p><p>Otro</p></main><a href='/mas'>Más</a><a href='/comprar/", num(k), "'>Comprar entradas</a>")
-    p = table(spark, d, "part").withColumn("html", said(ld, state, body))
+    p = dealt(table(spark, d, "part"), "p_partkey").withColumn("html", said(ld, state, body))
     term = lambda kind, v: F.struct(F.lit(kind).alias("taxonomy"), v.alias("name"))
     embedded = F.array(F.array(term("category", said("Cine &amp; ", F.col("p_brand"))), term("post_tag", F.lit("no"))), F.lit(None).cast("array<struct<taxonomy:string,name:string>>"))
     return p.select(
@@ -405,10 +406,10 @@ def feed_values(spark, d):
     blob = said("open ", F.when(k % 4 == 0, "salsa").otherwise("x"), F.when(k % 2 == 1, " music").otherwise(""))
     cats = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("Portada"))).otherwise(F.array(F.lit("portada"), F.lit("Danza")))
     times = F.when(k % 3 == 0, F.array(F.lit("2024-01-05T10:00"), F.lit("2024-01-05T12:00"))).when(k % 3 == 1, F.array(F.lit("2024-01-05T10:00"), F.lit("2024-01-06T10:00"))).otherwise(F.transform(F.sequence(F.lit(10), F.lit(20)), lambda i: said("2024-01-", num(i), "T10:00")))
-    return orders(spark, d).select(
+    return orders(spark, d).withColumn("slim", slim).select(
         "k",
-        F.when(slim.isNotNull(), F.size(slim)).otherwise(0).cast("bigint").alias("n_sessions"),
-        F.get(slim, F.lit(0))["fecha"].alias("first_session"),
+        F.when(F.col("slim").isNotNull(), F.size("slim")).otherwise(0).cast("bigint").alias("n_sessions"),
+        F.get("slim", F.lit(0))["fecha"].alias("first_session"),
         F.size(arrays.slim_links(some)).alias("n_links"),
         first.alias("kinds"),
         F.array_join(arrays.lookup(F.when(k % 3 == 0, " danza ").otherwise("x"), {"Danza": ["Danza", "Baile"]}, F.array(F.lit("Otros"))), "|").alias("looked_up"),
