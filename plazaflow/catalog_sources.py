@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plazaflow.catalog_functions import num, said
 from plazaflow.plans import fixtures
-from plazaflow.plans.fixtures import table
+from plazaflow.plans.fixtures import dealt, table
 from plazaflow.register import query
 from plazaflow.sources import extract
 from plazaflow.sources.page_sources import with_years
@@ -18,7 +18,7 @@ P = "WITH p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_size
 
 
 def parts(spark, d):
-    p = table(spark, d, "part")
+    p = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
     return p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int")).alias("day"))
 
 
