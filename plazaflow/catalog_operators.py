@@ -74,8 +74,9 @@ def lookup_by_id(spark, d):
 @query(f"SELECT max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) FILTER (WHERE event_type = 'view') AS disk, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) FILTER (WHERE event_type = 'click') AS committed, CASE WHEN max(ts) FILTER (WHERE event_type = 'click') > max(ts) FILTER (WHERE event_type = 'view') THEN 'committed' ELSE 'disk' END AS use FROM events")
 def freshest_feed(spark, d):
     """Q11, G13."""
-    e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("scraped_en"))
-    return joins.fresher(e.where("event_type = 'view'"), e.where("event_type = 'click'"))
+    e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("scraped_en"))
+    latest = joins.fresher(e.where("event_type = 'view'"), e.where("event_type = 'click'"))
+    return latest.select(F.substring("disk", 1, 19).alias("disk"), F.substring("committed", 1, 19).alias("committed"), "use")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 END * 4294967296 + event_id AS place FROM events WHERE event_type IN ('view', 'click')")
