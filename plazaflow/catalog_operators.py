@@ -184,7 +184,8 @@ SMART = r"""CASE WHEN length({0}) > 12 AND upper({0}) = {0} AND lower({0}) <> {0
 @query(f"{RP}, u AS (SELECT doc_id, upper(titulo) AS u FROM rp) SELECT doc_id, {SMART.format('u')} AS title FROM u")
 def smart_title(spark, d):
     """T9. Titles shouted, then given sentence case again."""
-    return raw_plans(spark, d).select(F.col("_ord").alias("doc_id"), text.smart_title(F.upper("titulo")).alias("title"))
+    shouted = F.upper(F.replace("titulo", F.lit("ß"), F.lit("ẞ")))  # a capital of its own, not SS
+    return raw_plans(spark, d).select(F.col("_ord").alias("doc_id"), text.smart_title(shouted).alias("title"))
 
 
 BODY = rf"""a AS (SELECT *, {CLEAN.format('descripcion')} AS t FROM rp), b AS (SELECT *, CASE WHEN length(t) <= 900 THEN t ELSE regexp_replace(substr(t, 1, 899), ' [^ ]*$', '') || '…' END AS body, substr(t, 1, 320) AS r FROM a),
