@@ -48,8 +48,8 @@ def _lines_text() -> Column:
 
 
 def _bought(words: list[str] = TICKETS, hosts: list[str] = ()) -> Column:
-    link = F.get(F.filter("_links", lambda a: a["href"] == markup.purchase_link("_links", words, hosts)), F.lit(0))["href"]
-    return urls.web_url(urls.join_url(link, "url"))
+    joined = text.let(markup.purchase_link("_links", words, hosts), lambda link: urls.join_url(link, "url"))
+    return text.let(joined, urls.web_url)
 
 
 @adapter("esmadrid", "html", "url string, html string, category string")
@@ -94,9 +94,8 @@ def arts_circle(payload: DataFrame) -> DataFrame:
     df = _pages(payload).withColumns({"_title": text.pick_title(markup.headings("html"), F.coalesce(markup.page_title("html"), F.lit("")), ["agenda", "menú"]), "_plain": _lines_text()})
     core = text.between_lines("_plain", F.col("_title"), ["compartir", "newsletter", "también te puede interesar"])
     df = df.withColumns({"_core": core, "_days": dates.dmy_pair("_text"), "_point": numbers.map_link_point("html")})
-    bought = _bought()
     sessions = dates.section_sessions(F.array_join("_core", " "), F.substring(F.col("_days.first"), 1, 4).try_cast("int"))
-    return records(df, id=urls.last_segment("url"), titulo=F.col("_title"), descripcion=text.paragraphs_text("_core"), precio=numbers.ranked_price("_text"), moneda=F.lit("EUR"), lugar=F.lit("Círculo de Bellas Artes"), direccion=F.lit("Calle de Alcalá, 42, Madrid"), latitud=F.col("_point.lat"), longitud=F.col("_point.lon"), fecha_inicio=F.col("_days.first"), fecha_fin=F.col("_days.last"), fechas_disponibles=sessions, url=urls.normalize_url("url"), url_compra=F.when(urls.specific_purchase(bought, "url", ["actividad", "evento"]), bought), imagen=markup.best_image(markup.image_candidates("html")), categorias=F.array(F.lit("Cultura")))
+    return records(df, id=urls.last_segment("url"), titulo=F.col("_title"), descripcion=text.paragraphs_text("_core"), precio=numbers.ranked_price("_text"), moneda=F.lit("EUR"), lugar=F.lit("Círculo de Bellas Artes"), direccion=F.lit("Calle de Alcalá, 42, Madrid"), latitud=F.col("_point.lat"), longitud=F.col("_point.lon"), fecha_inicio=F.col("_days.first"), fecha_fin=F.col("_days.last"), fechas_disponibles=sessions, url=urls.normalize_url("url"), url_compra=text.let(_bought(), lambda bought: F.when(urls.specific_purchase(bought, "url", ["actividad", "evento"]), bought)), imagen=markup.best_image(markup.image_candidates("html")), categorias=F.array(F.lit("Cultura")))
 
 
 @adapter("casa_mexico", "html", "url string, html string, category string")
