@@ -134,7 +134,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-@lru_cache(1)
+@lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the i and its inverse, modulo 2**64."""
     with np.errstate(over="ignore"):

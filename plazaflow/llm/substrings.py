@@ -9,7 +9,8 @@ rounds, of which the first two only put aside what cannot repeat:
    bucket's, once a group, to the hash's bucket; buckets answer with those that stand in two documents or more.
 2. Around each such anchor a group cuts the context: the bytes that strings with this anchor can cover. Equal contexts of a
    group are one class, owned by the smallest id. Classes go to the anchor's bucket.
-3. A bucket joins classes, takes the contexts of anchors that have more than one class, sorts all their suffixes by the
+3. A bucket joins classes, takes the contexts of anchors that have more than one class, but for those that no other of their
+   anchor agrees with over half a string on either side of it (meeting()), sorts all their suffixes by the
    difference-cover algorithm (suffixes.py: sampled triples, recursion on names, merge) and compares adjacent prefixes of
    LENGTH bytes. A run of equal ones is one string; its first document is the smallest owner in the run. What each
    occurrence loses goes back to its group.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,14 @@ from plazaflow.llm.suffixes import equal_runs, suffix_order
 #: Bytes of a string and of a gram in it; grams of a string.
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
+#: Bytes of a context that no text's end has cut.
+WHOLE = 2 * LENGTH - GRAM
 #: Bytes of text in a group of documents and in a bucket, about; fewest of either.
-GROUP_BYTES, BUCKET_BYTES, FEWEST = 4 << 20, 12 << 20, 24
+GROUP_BYTES, BUCKET_BYTES, FEWEST = 16 << 20, 12 << 20, 24
 #: An anchor that stands more often than this has its strings sent one by one.
 HOT = 2048
-#: Bytes that are looked at together, and that are sorted together.
-SLICE, SORTED = 1 << 19, 300_000
+#: Bytes that are looked at together, and that are sorted together: what is made of them has to fit a core's cache.
+SLICE, SORTED = 1 << 16, 1 << 16
 
 HIGH = np.uint64(0xFFFFFFFF00000000)
 LOW = np.uint64(0xFFFFFFFF)
@@ -98,13 +102,19 @@ def _unpack5(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+@cache
+def _packer() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """A worker's own: to make them anew for each of many short values takes longer than to use them."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Numbers or text, compressed: what moves between stages is mostly these."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+    return _packer()[0].compress(np.ascontiguousarray(x).tobytes())
 
 
 def _unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.frombuffer(_packer()[1].decompress(data), kind)
 
 
 def _deltas(x: np.ndarray) -> np.ndarray:
@@ -158,7 +168,7 @@ def repeated(rows: pa.Table) -> pa.Table:
     blobs = [_unpack5(x.as_py()) for x in rows.column("hashes")]
     times = np.concatenate([_unpacked(x.as_py(), np.uint8) for x in rows.column("times")])
     x = np.concatenate(blobs)
-    order = np.argsort(x, kind="stable")
+    order = np.argsort(x)
     edge = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
     number = np.diff(np.r_[edge, len(x)])
     some = (number > 1) | (np.maximum.reduceat(times[order] >> 7, edge) > 0)
@@ -205,8 +215,8 @@ def context_classes(rows: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
         alone = hot
     context = np.empty(len(low), np.uint64)
     part = group.starts[row] // SLICE
-    for p in np.unique(part):  # sums over a slice at a time
-        own = np.flatnonzero(part == p)
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
+    for own in map(slice, edge[:-1], edge[1:]):  # sums over a slice at a time: rows ascend
         a, b = low[own].min(), high[own].max()
         context[own] = range_hashes(group.raw[a:b], low[own] - a, high[own] - a)
     h = np.where(alone, mixed(context ^ np.uint64(MIX)), h)
@@ -273,6 +283,37 @@ def _masks(owner: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndar
     return out
 
 
+def meeting(h: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Of classes, sorted by anchor, those that may share a string with another of their anchor.
+
+    Of the WINDOW - 1 bytes that a string has beside its anchor, half at least stand on one side. So a whole context, whose
+    anchor is in its middle, is put aside where no other of the anchor has the same bytes there, on either side. Nothing is
+    put aside where a context was cut by a text's end: it doesn't say where its anchor is.
+    """
+    anchor = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+    number = np.bincount(anchor)
+    cut = np.zeros(len(number), bool)
+    cut[anchor[size < WHOLE]] = True
+    some = number[anchor] > 1
+    look = np.flatnonzero(some & ~cut[anchor])
+    out = some & cut[anchor]
+    if not len(look):
+        return out
+    half = WINDOW // 2
+    for low, high in ((WINDOW - 1 - half, WINDOW - 1 + GRAM), (WINDOW - 1, WINDOW - 1 + GRAM + half)):
+        side = np.zeros(len(look), np.uint64)
+        for a, b in _runs(size[look], SLICE):
+            own = start[look[a:b]]
+            all_ = data[own[:, None] + np.arange(low, high)].ravel()
+            at = np.arange(b - a) * (high - low)
+            side[a:b] = range_hashes(all_, at, at + high - low)
+        order = np.lexsort((side, anchor[look]))
+        of, x = anchor[look][order], side[order]
+        same = (of[1:] == of[:-1]) & (x[1:] == x[:-1])
+        out[look[order[np.r_[False, same] | np.r_[same, False]]]] = True
+    return out
+
+
 def lost_strings(rows: pa.Table) -> pa.Table:
     """Round 3, a bucket: for each group the places of occurrences that lose strings, and which (bits by their place)."""
     if not rows.num_rows:
@@ -289,9 +330,7 @@ def lost_strings(rows: pa.Table) -> pa.Table:
     klass = np.empty(len(h), np.int64)
     klass[order] = np.cumsum(fresh) - 1
     mask = np.zeros(len(head), np.uint64)
-    anchor = np.flatnonzero(np.r_[True, h[head][1:] != h[head][:-1]])
-    several = np.repeat(np.diff(np.r_[anchor, len(head)]) > 1, np.diff(np.r_[anchor, len(head)]))
-    many = np.flatnonzero(several)
+    many = np.flatnonzero(meeting(h[head], size[head], start[head], data))
     if len(many):
         total = np.cumsum(size[head[many]] + 1)
         ends = np.flatnonzero(np.r_[h[head[many]][1:] != h[head[many]][:-1], True])
